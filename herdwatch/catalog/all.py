@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from herdwatch.catalog import telemetry
+from herdwatch.catalog import lifecycle, telemetry
 from herdwatch.catalog.base import Entry
 
-AREAS = (telemetry,)
+AREAS = (telemetry, lifecycle)
 
 
 def entries() -> list[Entry]:
