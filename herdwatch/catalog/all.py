@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from herdwatch.catalog import access, lifecycle, registry, settings, snapshots, telemetry
+from herdwatch.catalog import access, lifecycle, registry, settings, snapshots, streams, telemetry
 from herdwatch.catalog.base import Entry
 
-AREAS = (telemetry, lifecycle, snapshots, registry, access, settings)
+AREAS = (telemetry, lifecycle, snapshots, registry, access, settings, streams)
 
 
 def entries() -> list[Entry]:

@@ -99,18 +99,31 @@ def hist_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return per_bound.groupBy(*keys).agg((F.max(F.abs("_d")) == 0).alias("equal"))
 
 
+def _up_to(column: str, i: int) -> str:
+    """Count of values up to bound i; for the index after the last bound, of all values."""
+    return f"count(`{column}`)" if i == len(BOUNDS) else f"count(CASE WHEN `{column}` <= {BOUNDS[i]}L THEN 1 END)"
+
+
+def cumulative_counts(column: str) -> Column:
+    """Aggregate: a histogram as one array, entry i counting the values up to bound i, the last all."""
+    return F.expr("array(" + ", ".join(_up_to(column, i) for i in range(len(BOUNDS) + 1)) + ")")
+
+
 def running_percentile(
     df: DataFrame,
     column: str,
     keys: Sequence[str] = ("node",),
     percentiles: Mapping[str, float] = PERCENTILES,
     order: Sequence[str] = ("ts", "seq"),
+    initial: DataFrame | None = None,
     **slicing,
 ) -> DataFrame:
     """Per row, percentiles over the key's whole past including the row itself.
 
     The histogram behind it is never cleared.  A row whose value is NULL (a tick without
     traffic) adds nothing and reports 0.  After an overflow the percentiles are NULL.
+    ``initial`` may hold what was seen before the frame starts: ``(*keys, counts)`` with arrays
+    of ``cumulative_counts``.
 
     Per slice, 91 running counts ("values up to bound i") are kept by one window; what earlier
     slices contribute arrives as one array per slice.  A percentile is then found by bisection
@@ -120,33 +133,38 @@ def running_percentile(
     had_slices = SLICE in df.columns
     sliced = with_slices(df, keys, order[0], tie, **slicing)
     group = slice_group(keys)
-    run = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    names = lambda columns: ", ".join(f"`{c}`" for c in columns)
+    run = (
+        f"OVER (PARTITION BY {names(group)} ORDER BY {names(order)} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    )
     last = len(BOUNDS)
-
-    def up_to(i: int) -> Column:
-        held = F.col(column).isNotNull() if i == last else F.col(column) <= BOUNDS[i]
-        return F.count(F.when(held, 1))
-
-    totals = sliced.groupBy(*group).agg(*(up_to(i).alias(f"_t{i}") for i in range(last + 1)))
-    carry = carried(totals, keys, {f"_t{i}": F.sum(f"_t{i}") for i in range(last + 1)})
-    carry = carry.select(*group, F.array(*(F.coalesce(f"_t{i}", F.lit(0)) for i in range(last + 1))).alias("_carry"))
-    joined = sliced.withColumns({f"_r{i}": up_to(i).over(run) for i in range(last + 1)}).join(carry, group, "left")
+    places = range(last + 1)
+
+    # One text per count instead of one object per operation: there are 91 of each.
+    totals = sliced.groupBy(*group).agg(*(F.expr(_up_to(column, i)).alias(f"_t{i}") for i in places))
+    carry = carried(totals, keys, {f"_t{i}": F.expr(f"sum(_t{i})") for i in places})
+    carry = carry.selectExpr(*group, "array(" + ", ".join(f"coalesce(_t{i}, 0L)" for i in places) + ") AS _carry")
+    if initial is not None:
+        seen = initial.select(*keys, F.col("counts").alias("_seen"))
+        added = F.coalesce(F.zip_with("_carry", "_seen", lambda a, b: a + b), F.col("_carry"))
+        carry = carry.join(seen, list(keys), "left").select(*group, added.alias("_carry"))
+    running = sliced.selectExpr("*", *(f"{_up_to(column, i)} {run} AS _r{i}" for i in places))
 
     def count(i: int) -> str:
         return f"(_r{i} + _carry[{i}])"
 
+    ranks = {f"_k_{name}": f"CAST(floor({count(last)} * {float(p)!r}D) AS BIGINT)" for name, p in percentiles.items()}
+    overflowed = f"{count(last)} > {count(last - 1)}"
+    joined = running.join(carry, group, "left").selectExpr(
+        "*", *(f"{k} AS {n}" for n, k in ranks.items()), f"{overflowed} AS _over"
+    )
     leaves = [f"{b}L" for b in BOUNDS]
-    reported = {}
-    for name, p in percentiles.items():
-        k = f"CAST(floor({count(last)} * {float(p)!r}D) AS BIGINT)"
-        search = decision_tree(leaves, lambda i: f"{count(i)} >= {k}")
-        reported[name] = F.expr(
-            f"CASE WHEN `{column}` IS NULL OR {k} = 0 AND {count(last)} = {count(last - 1)} THEN 0L "
-            f"WHEN {count(last)} > {count(last - 1)} THEN NULL ELSE {search} END"
+    reported = []
+    for name in percentiles:
+        search = decision_tree(leaves, lambda i, k=f"_k_{name}": f"{count(i)} >= {k}")
+        reported.append(
+            f"CASE WHEN `{column}` IS NULL THEN 0L WHEN _over THEN NULL WHEN _k_{name} = 0 THEN 0L ELSE {search} END AS `{name}`"
         )
-    out = joined.select(
-        *(F.col(c) for c in sliced.columns),
-        *(c.alias(n) for n, c in reported.items()),
-        F.expr(f"{count(last)} > {count(last - 1)}").alias("overflowed"),
-    )
+    out = joined.selectExpr(*(f"`{c}`" for c in sliced.columns), *reported, "_over AS overflowed")
     return out if had_slices else without_slices(out)
