@@ -9,6 +9,7 @@ from herdwatch.catalog import views
 from herdwatch.catalog.base import Entry, on_spark, with_views
 from herdwatch.functions.buckets import BOUNDS, OVERFLOW, hist_label, to_bucket
 from herdwatch.operators import counters, health, histogram, telemetry
+from herdwatch.plans.slices import DAY
 from herdwatch.sources.node_stats import parse_node_stats
 
 W = "(partition by node order by ts, seq)"
@@ -415,12 +416,12 @@ def entries() -> list[Entry]:
         *_sections(),
         Entry(
             "counter_delta",
-            lambda s, d: counters.counter_delta(samples(s, d), search[0]).select("node", "seq", search[0], f"{search[0]}_delta"),
+            lambda s, d: counters.counter_delta(samples(s, d), search[0], width=DAY).select("node", "seq", search[0], f"{search[0]}_delta"),
             _oracle(f"select node, seq, {search[0]}, {_delta_sql(search[0])} as {search[0]}_delta from samples"),
         ),
         Entry(
             "counter_delta_restart",
-            lambda s, d: counters.counter_delta(samples(s, d), search[0], reset="restart").select("node", "seq", f"{search[0]}_delta"),
+            lambda s, d: counters.counter_delta(samples(s, d), search[0], reset="restart", width=DAY).select("node", "seq", f"{search[0]}_delta"),
             _oracle(
                 f"select node, seq, case when {search[0]} < prev then {search[0]} else {search[0]} - prev end as {search[0]}_delta "
                 f"from (select *, coalesce(lag({search[0]}) over {W}, 0) as prev from samples) as p"
@@ -428,7 +429,7 @@ def entries() -> list[Entry]:
         ),
         Entry(
             "timer_delta",
-            lambda s, d: counters.timer_delta(samples(s, d), search[1]).select("node", "seq", search[1], f"{search[1]}_delta"),
+            lambda s, d: counters.timer_delta(samples(s, d), search[1], width=DAY).select("node", "seq", search[1], f"{search[1]}_delta"),
             _oracle(f"select node, seq, {search[1]}, {_timer_sql(search[1])} as {search[1]}_delta from samples"),
         ),
         Entry(
@@ -553,12 +554,12 @@ def entries() -> list[Entry]:
         ),
         Entry(
             "process_down",
-            lambda s, d: health.process_down(samples(s, d)).select("node", "seq", "down"),
+            lambda s, d: health.process_down(samples(s, d), width=DAY).select("node", "seq", "down"),
             _oracle(f"select node, seq, case when up then 0 else 1 end as down from samples qualify max(cast(up as int)) over {RUN} = 1"),
         ),
         Entry(
             "transitions",
-            lambda s, d: health.transitions(samples(s, d)).select("node", "seq", "transition"),
+            lambda s, d: health.transitions(samples(s, d), width=DAY).select("node", "seq", "transition"),
             _oracle(
                 "select node, seq, case when up then 'STARTED' else 'STOPPED' end as transition from "
                 f"(select *, coalesce(lag(up) over {W}, false) as before from samples) as x where up <> before"

@@ -8,10 +8,10 @@ node decides how long the job takes.  Here the history of a key is cut into time
    gives what each slice inherits from the slices before it;
 3. both meet in a join on (key, slice), which is the partitioning the window already has.
 
-A slice is ``width`` seconds long.  Slices that still hold more than ``max_rows`` rows are
-found by counting and cut again, evenly over the time (or, where all rows share one instant,
-over the tie-breaker) that their rows cover.  The result is exact for any cut, because cuts
-follow the row order.
+A slice is ``width`` seconds long.  Counting shows which slices hold more than ``max_rows``
+rows; these are cut at quantiles of their time, an instant that is itself that large at
+quantiles of the tie-breaker, and counted again until all are small.  The result is exact for
+any cut, because cuts follow the row order.
 """
 
 from __future__ import annotations
@@ -21,11 +21,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from herdwatch.session import ensure_checkpoint_dir
+
 DAY = 86_400
+# At one sample a minute a key has 43,200 rows per slice, and one carried row for them.
+WIDTH = 30 * DAY
 SLICE = "_slice"
 PART = "_part"
+# Cuts per hot slice and round; a part's number grows by a factor of BASE per round.
+CUTS = 63
+BASE = 2 * (CUTS + 1)
+ROUNDS = 8
 # More hot slices than this are joined by shuffle instead of being broadcast.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 2_000
 
 
 def _micros(ts: str) -> Column:
@@ -37,57 +45,85 @@ def with_slices(
     keys: Sequence[str],
     ts: str = "ts",
     tie: str | None = "seq",
-    width: int = DAY,
+    width: int = WIDTH,
     max_rows: int | None = 1_000_000,
 ) -> DataFrame:
     """Add ``_slice`` and ``_part``, both non-decreasing in (ts, tie) within a key.
 
-    With ``max_rows`` one counting job looks for slices to cut again; it reads only the keys,
-    the time and the tie-breaker.  Pass None where rows per slice are bounded already, for
-    example after ``one_sample_per_tick``.  Frames that carry slices are returned as they are.
+    With ``max_rows`` a counting job looks for slices to cut; it reads only the keys, the time
+    and the tie-breaker, and usually finds none.  Pass None where rows per slice are bounded
+    already, for example after ``one_sample_per_tick``.  Frames that carry slices are returned
+    as they are.  Only rows that share key, time and tie-breaker cannot be cut apart.
     """
     if SLICE in df.columns:
         return df
-    sliced = df.withColumn(SLICE, F.floor(_micros(ts) / F.lit(width * 1_000_000)))
+    cut = df.withColumn(SLICE, F.floor(_micros(ts) / F.lit(width * 1_000_000))).withColumn(
+        PART, F.lit(0).cast("bigint")
+    )
     if max_rows is None:
-        return sliced.withColumn(PART, F.lit(0).cast("bigint"))
-
-    tie_col = F.col(tie).cast("double") if tie else F.lit(0.0)
-    hot = (
-        sliced.groupBy(*keys, SLICE)
+        return cut
+    was_cut = False
+    for _ in range(ROUNDS):
+        finer = _cut_hot(cut, keys, _micros(ts), F.col(tie).cast("double") if tie else F.lit(0.0), max_rows)
+        if finer is None:
+            break
+        cut, was_cut = finer, True
+    # Without this, a shuffle join with the cuts would leave a hot slice in one partition: its
+    # partitioning by (key, slice) would also do for a window by (key, slice, part).
+    return cut.repartition(*slice_group(keys)) if was_cut else cut
+
+
+def _cut_hot(df: DataFrame, keys: Sequence[str], at: Column, tie: Column, max_rows: int) -> DataFrame | None:
+    """Cut the parts that hold more than ``max_rows`` rows; None if there are none."""
+    group, spark = slice_group(keys), df.sparkSession
+    position = df.select(*group, at.alias("_at"), tie.alias("_tie"))
+    counted = position.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_a"), F.max("_at").alias("_b"),
+        F.min("_tie").alias("_c"), F.max("_tie").alias("_d"),
+    )
+    divisible = (F.col("_a") < F.col("_b")) | (F.col("_c") < F.col("_d"))
+    hot = counted.filter((F.col("_n") > max_rows) & divisible).select(*group, (F.col("_a") < F.col("_b")).alias("_timed"))
+    hot, few = _small(hot, spark)
+    if hot is None:
+        return None
+    at_quantiles = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+    cuts = (
+        position.join(hot, group)
+        .groupBy(*group, "_timed")
         .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(_micros(ts)).alias("_lo"),
-            F.max(_micros(ts)).alias("_hi"),
-            F.min(tie_col).alias("_tlo"),
-            F.max(tie_col).alias("_thi"),
+            F.percentile_approx("_at", at_quantiles, 50 * CUTS).alias("_times"),
+            F.percentile_approx("_tie", at_quantiles, 50 * CUTS).alias("_ties"),
         )
-        .filter(F.col("_n") > max_rows)
-        .withColumn("_n", F.ceil(F.col("_n") / F.lit(max_rows)))
-    )
-    # At most BROADCAST_ROWS + 1 rows reach the driver; normally there are none.
-    found = hot.limit(BROADCAST_ROWS + 1).collect()
-    if not found:
-        return sliced.withColumn(PART, F.lit(0).cast("bigint"))
-    if len(found) <= BROADCAST_ROWS:
-        hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-
-    over_time = F.floor((_micros(ts) - F.col("_lo")) * F.col("_n") / (F.col("_hi") - F.col("_lo") + 1))
-    over_tie = F.floor((tie_col - F.col("_tlo")) * F.col("_n") / (F.col("_thi") - F.col("_tlo") + 1))
-    part = (
-        F.when(F.col("_n").isNull(), F.lit(0))
-        .when(F.col("_hi") > F.col("_lo"), over_time)
-        .otherwise(over_tie)
-        .cast("bigint")
-    )
-    return (
-        sliced.join(hot, [*keys, SLICE], "left")
-        .withColumn(PART, part)
-        .drop("_n", "_lo", "_hi", "_tlo", "_thi")
-        # Without this, a shuffle join above would leave a hot slice in one partition: its
-        # partitioning by (key, slice) also satisfies a window by (key, slice, part).
-        .repartition(*keys, SLICE, PART)
     )
+    # The quantiles are estimates: they are fixed here, so that all uses see the same cuts.
+    if few:
+        cuts = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
+    else:
+        ensure_checkpoint_dir(spark)
+        cuts = cuts.checkpoint()
+
+    def place(value: Column, among: Column) -> Column:
+        """Twice the number of cuts below, plus one on a cut: a crowded instant gets its own part."""
+        below = F.size(F.filter(among, lambda c: c < value))
+        return 2 * below + F.array_contains(among, value).cast("int")
+
+    sub = F.when(F.col("_timed"), place(at, F.col("_times"))).otherwise(place(tie, F.col("_ties")))
+    part = F.col(PART) * BASE + F.coalesce(sub, F.lit(0))
+    # Parts that are not cut are renumbered as well, so that numbers stay in order.
+    return df.join(cuts, group, "left").withColumn(PART, part).drop("_timed", "_times", "_ties")
+
+
+def _small(df: DataFrame, spark) -> tuple[DataFrame | None, bool]:
+    """A frame that is usually empty or small: None if empty, broadcast if small, else as it is.
+
+    At most ``BROADCAST_ROWS`` + 1 rows reach the driver.
+    """
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    if not rows:
+        return None, True
+    if len(rows) > BROADCAST_ROWS:
+        return df, False
+    return F.broadcast(spark.createDataFrame(rows, df.schema)), True
 
 
 def slice_group(keys: Sequence[str]) -> list[str]:

@@ -39,3 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return tempfile.mkdtemp(prefix="herdwatch-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let ``checkpoint()`` write to the shared folder, unless the cluster has set one already."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
