@@ -49,6 +49,12 @@ def to_bucket(column: str, bounds: list[int] = BOUNDS) -> Column:
     return F.expr(f"CASE WHEN `{column}` IS NOT NULL THEN {tree} END")
 
 
+def bucket_index(column: str, bounds: list[int] = BOUNDS) -> Column:
+    """Place of the bucket that the BIGINT column falls in, the overflow bucket being the last."""
+    tree = decision_tree([str(i) for i in range(len(bounds) + 1)], lambda i: f"`{column}` <= {bounds[i]}L")
+    return F.expr(f"CASE WHEN `{column}` IS NOT NULL THEN {tree} END")
+
+
 def bound_before(column: str, bounds: list[int] = BOUNDS) -> Column:
     """The bound one below the given bound; 0 below the first."""
     tree = decision_tree([f"{b}L" for b in [0, *bounds]], lambda i: f"`{column}` <= {bounds[i]}L")

@@ -10,13 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from herdwatch.functions.buckets import BOUNDS, OVERFLOW, bound_before, decision_tree, hist_label, to_bucket
+from herdwatch.functions.buckets import BOUNDS, OVERFLOW, bound_before, bucket_index, hist_label, to_bucket
 from herdwatch.plans.slices import SLICE, carried, slice_group, with_slices, without_slices
 
 PERCENTILES = {"p95": 0.95, "p99": 0.99}
+EDGES = [*BOUNDS, OVERFLOW]
+_PLACES = [f"_b{i}" for i in range(len(EDGES))]
 
 
 def histogram(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -99,14 +104,10 @@ def hist_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return per_bound.groupBy(*keys).agg((F.max(F.abs("_d")) == 0).alias("equal"))
 
 
-def _up_to(column: str, i: int) -> str:
-    """Count of values up to bound i; for the index after the last bound, of all values."""
-    return f"count(`{column}`)" if i == len(BOUNDS) else f"count(CASE WHEN `{column}` <= {BOUNDS[i]}L THEN 1 END)"
-
-
-def cumulative_counts(column: str) -> Column:
-    """Aggregate: a histogram as one array, entry i counting the values up to bound i, the last all."""
-    return F.expr("array(" + ", ".join(_up_to(column, i) for i in range(len(BOUNDS) + 1)) + ")")
+def counts_array(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Histograms as one array per key: ``(*keys, counts)``, entry i counting bucket i."""
+    per_bucket = [F.expr(f"sum(CASE WHEN bound = {b}L THEN n ELSE 0L END)").alias(f"_b{i}") for i, b in enumerate(EDGES)]
+    return hist.groupBy(*keys).agg(*per_bucket).select(*keys, F.array(*_PLACES).alias("counts"))
 
 
 def running_percentile(
@@ -122,49 +123,100 @@ def running_percentile(
 
     The histogram behind it is never cleared.  A row whose value is NULL (a tick without
     traffic) adds nothing and reports 0.  After an overflow the percentiles are NULL.
-    ``initial`` may hold what was seen before the frame starts: ``(*keys, counts)`` with arrays
-    of ``cumulative_counts``.
+    ``initial`` may hold what was seen before the frame starts, as ``counts_array``.
 
-    Per slice, 91 running counts ("values up to bound i") are kept by one window; what earlier
-    slices contribute arrives as one array per slice.  A percentile is then found by bisection
-    over these counts, which grow with i.
+    Every slice gets one extra row in front with the counts of all earlier slices; Spark brings
+    the rows of a slice together in order, and the counting itself runs over Arrow batches.
+    91 running counts per row are too many for a window: it updates them one by one.
     """
     tie = order[1] if len(order) > 1 else None
     had_slices = SLICE in df.columns
     sliced = with_slices(df, keys, order[0], tie, **slicing)
     group = slice_group(keys)
-    names = lambda columns: ", ".join(f"`{c}`" for c in columns)
-    run = (
-        f"OVER (PARTITION BY {names(group)} ORDER BY {names(order)} "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    )
-    last = len(BOUNDS)
-    places = range(last + 1)
-
-    # One text per count instead of one object per operation: there are 91 of each.
-    totals = sliced.groupBy(*group).agg(*(F.expr(_up_to(column, i)).alias(f"_t{i}") for i in places))
-    carry = carried(totals, keys, {f"_t{i}": F.expr(f"sum(_t{i})") for i in places})
-    carry = carry.selectExpr(*group, "array(" + ", ".join(f"coalesce(_t{i}, 0L)" for i in places) + ") AS _carry")
-    if initial is not None:
-        seen = initial.select(*keys, F.col("counts").alias("_seen"))
-        added = F.coalesce(F.zip_with("_carry", "_seen", lambda a, b: a + b), F.col("_carry"))
-        carry = carry.join(seen, list(keys), "left").select(*group, added.alias("_carry"))
-    running = sliced.selectExpr("*", *(f"{_up_to(column, i)} {run} AS _r{i}" for i in places))
 
-    def count(i: int) -> str:
-        return f"(_r{i} + _carry[{i}])"
-
-    ranks = {f"_k_{name}": f"CAST(floor({count(last)} * {float(p)!r}D) AS BIGINT)" for name, p in percentiles.items()}
-    overflowed = f"{count(last)} > {count(last - 1)}"
-    joined = running.join(carry, group, "left").selectExpr(
-        "*", *(f"{k} AS {n}" for n, k in ranks.items()), f"{overflowed} AS _over"
+    # A slice without any value still needs its row in front, hence the outer join.
+    per_slice = counts_array(histogram(sliced, group, column), group)
+    every = sliced.select(*group).distinct().join(per_slice, group, "left")
+    wide = every.select(*group, *(F.coalesce(F.col("counts")[i], F.lit(0)).alias(c) for i, c in enumerate(_PLACES)))
+    front = carried(wide, keys, {c: F.expr(f"sum({c})") for c in _PLACES})
+    counts = F.array(*(F.coalesce(c, F.lit(0)) for c in _PLACES))
+    if initial is None:
+        front = front.select(*group, counts.alias("_counts"))
+    else:
+        seen = initial.select(*keys, F.col("counts").alias("_seen"))
+        added = F.coalesce(F.zip_with(counts, "_seen", lambda a, b: a + b), counts)
+        front = front.join(seen, list(keys), "left").select(*group, added.alias("_counts"))
+
+    rows = sliced.withColumn("_bucket", bucket_index(column))
+    together = (
+        rows.unionByName(front, allowMissingColumns=True)
+        .repartition(*group)
+        .sortWithinPartitions(*group, F.col("_counts").isNull(), *order)
     )
-    leaves = [f"{b}L" for b in BOUNDS]
-    reported = []
-    for name in percentiles:
-        search = decision_tree(leaves, lambda i, k=f"_k_{name}": f"{count(i)} >= {k}")
-        reported.append(
-            f"CASE WHEN `{column}` IS NULL THEN 0L WHEN _over THEN NULL WHEN _k_{name} = 0 THEN 0L ELSE {search} END AS `{name}`"
-        )
-    out = joined.selectExpr(*(f"`{c}`" for c in sliced.columns), *reported, "_over AS overflowed")
+    names, shares = list(percentiles), list(percentiles.values())
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in sliced.schema])
+    for name in names:
+        schema = schema.add(name, T.LongType())
+    schema = schema.add("overflowed", T.BooleanType())
+    out = together.mapInArrow(_running(sliced.columns, names, shares), schema)
     return out if had_slices else without_slices(out)
+
+
+# Rows counted at a time: small enough for 91 counts per row to stay in the processor's cache.
+_BLOCK = 1024
+
+
+def _running(columns: list[str], names: list[str], shares: list[float]):
+    """The counting of ``running_percentile`` over the ordered batches of one task."""
+    bounds, last = np.array([*BOUNDS, 0]), len(EDGES) - 1
+
+    def ranks(base, seg, upto, share):
+        """First bucket whose count reaches the rank, by bisection in all rows at once."""
+        row = np.arange(len(seg))
+        count = lambda i: base[seg, i] + upto[row, i]
+        k = np.floor(count(last) * share).astype(np.int64)
+        low, high = np.zeros(len(seg), dtype=np.int64), np.full(len(seg), last)
+        for _ in range(last.bit_length()):
+            middle = (low + high) // 2
+            enough = count(middle) >= k
+            low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
+        return np.where(k == 0, 0, bounds[low])
+
+    def run(batches):
+        # Values up to each bound, and values above the last one, of the slice a batch starts in.
+        seen, above = np.zeros(last + 1, dtype=np.int64), 0
+        for batch in batches:
+            counts = batch.column("_counts")
+            start = np.flatnonzero(counts.is_valid().to_numpy(zero_copy_only=False))
+            given = counts.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, last + 1)
+            given = np.vstack([seen[None, :], given.cumsum(axis=1)]).astype(np.int64)
+            bucket = batch.column("_bucket").fill_null(-1).to_numpy(zero_copy_only=False)
+            part = np.searchsorted(start, np.arange(len(bucket)), side="right")
+
+            over = (bucket == last).cumsum()
+            front = np.concatenate([[above], given[1:, last] - given[1:, last - 1] - over[start]])
+            over = over + front[part]
+
+            held = np.flatnonzero(bucket >= 0)
+            found = {n: np.zeros(len(bucket), dtype=np.int64) for n in names}
+            for at in range(0, len(held), _BLOCK):
+                rows = held[at : at + _BLOCK]
+                upto = (bucket[rows, None] <= np.arange(last + 1)).cumsum(axis=0, dtype=np.int32)
+                change = np.flatnonzero(np.diff(part[rows])) + 1
+                seg = np.zeros(len(rows), dtype=np.int64)
+                seg[change] = 1
+                seg = seg.cumsum()
+                base = given[part[rows[np.concatenate([[0], change])]]]
+                base[1:] -= upto[change - 1]
+                for name, share in zip(names, shares, strict=True):
+                    found[name][rows] = ranks(base, seg, upto, share)
+                given[part[rows[-1]]] = base[seg[-1]] + upto[-1]
+            if len(bucket):
+                seen, above = given[part[-1]], over[-1]
+
+            results = [pa.array(found[n], mask=(over > 0) & (bucket >= 0)) for n in names]
+            arrays = [batch.column(c) for c in columns] + results + [pa.array(over > 0)]
+            whole = pa.RecordBatch.from_arrays(arrays, [*columns, *names, "overflowed"])
+            yield whole.filter(counts.is_null())
+
+    return run

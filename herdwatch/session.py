@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Sessions that run many different plans would compile the same code again and again.
+    "spark.sql.codegen.cache.maxEntries": "1000",
 }
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from herdwatch.functions.buckets import to_bucket
 from herdwatch.operators.counters import OPERATIONS, operation_deltas
 from herdwatch.operators.health import process_down, transitions
-from herdwatch.operators.histogram import PERCENTILES, cumulative_counts, running_percentile
+from herdwatch.operators.histogram import PERCENTILES, counts_array, histogram, running_percentile
 from herdwatch.streaming.state import StateTable, mark_late
 
 WATERMARK = "10 minutes"
@@ -84,15 +84,14 @@ def stream_latencies(
         table.write(_next_state(spark.read.parquet(f"{out}/epoch={epoch}"), state), epoch)
 
     def _next_state(done: DataFrame, state: DataFrame | None) -> DataFrame:
-        columns = [*keys, *ORDER, *counters, *timers]
-        rows = done.select(*columns, *(f"{op}_latency_us" for op in percentile_of))
-        hists = {op: cumulative_counts(f"{op}_latency_us") for op in percentile_of}
-        counted = rows.groupBy(*keys).agg(
+        counted = done.groupBy(*keys).agg(
             F.max(F.struct(*ORDER)).alias("_at"),
             *(F.max(c).alias(c) for c in counters),
             *(F.max_by(t, F.struct(*ORDER)).alias(t) for t in timers),
-            *(h.alias(f"hist_{op}") for op, h in hists.items()),
         )
+        for op in percentile_of:
+            hist = counts_array(histogram(done, keys, f"{op}_latency_us"), keys)
+            counted = counted.join(hist.withColumnRenamed("counts", f"hist_{op}"), list(keys), "left")
         new = counted.select(*keys, "_at.*", *counters, *timers, *(f"hist_{op}" for op in percentile_of))
         if state is None:
             return new

@@ -133,7 +133,7 @@ def test_running_percentile_goes_on_from_an_initial_histogram(spark):
     df = counters.operation_deltas(spark.createDataFrame(rows, SCHEMA), OPS, keep_slices=True)
     split = START + timedelta(days=15)
     first, second = df.filter(F.col("ts") < split), df.filter(F.col("ts") >= split)
-    seen = first.groupBy("node").agg(histogram.cumulative_counts("op_latency_us").alias("counts"))
+    seen = histogram.counts_array(histogram.histogram(first, ["node"], "op_latency_us"), ["node"])
     out = histogram.running_percentile(second, "op_latency_us", initial=seen)
     expected = replay(rows)
     for r in out.collect():
