@@ -147,6 +147,8 @@ def running_percentile(
         added = F.coalesce(F.zip_with(counts, "_seen", lambda a, b: a + b), counts)
         front = front.join(seen, list(keys), "left").select(*group, added.alias("_counts"))
 
+    # As text: a column of mostly missing arrays is slow to hand over.
+    front = front.withColumn("_counts", F.array_join(F.col("_counts").cast("array<string>"), " "))
     rows = sliced.withColumn("_bucket", bucket_index(column))
     together = (
         rows.unionByName(front, allowMissingColumns=True)
@@ -188,8 +190,8 @@ def _running(columns: list[str], names: list[str], shares: list[float]):
         for batch in batches:
             counts = batch.column("_counts")
             start = np.flatnonzero(counts.is_valid().to_numpy(zero_copy_only=False))
-            given = counts.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, last + 1)
-            given = np.vstack([seen[None, :], given.cumsum(axis=1)]).astype(np.int64)
+            given = [np.array(text.split(), dtype=np.int64).cumsum() for text in counts.drop_null().to_pylist()]
+            given = np.vstack([seen, *given])
             bucket = batch.column("_bucket").fill_null(-1).to_numpy(zero_copy_only=False)
             part = np.searchsorted(start, np.arange(len(bucket)), side="right")
 

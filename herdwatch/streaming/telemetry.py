@@ -29,9 +29,14 @@ def _start(stream: DataFrame, handle: Callable, checkpoint: str, mode: str = "ap
 
 
 def _per_batch(handle: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """The batch is read several times; keep it while it is handled."""
+    """The batch is read several times; keep it while it is handled.
+
+    Streams switch adaptive execution off; these queries hold no state of their own and need it
+    for joins on a hot key.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
+        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
         batch = batch.persist()
         try:
             handle(batch, epoch)
