@@ -49,7 +49,7 @@ def test_known_patterns_need_no_table(spark):
 @pytest.mark.parametrize(
     ("pattern", "error"),
     [
-        ("nf_errors_logYYYY", "unsupported field n"),
+        ("web_errors_logYYYY", "unsupported field w"),
         ("'open", "unterminated quote"),
         ("'a'yyyy[MM]", "reserved character outside quotes"),
         ("'a'YYYY-ww-dd", "unsupported week pattern"),
@@ -71,10 +71,10 @@ def test_policies_are_read(spark):
     rows = resolved(
         spark,
         '[{"retentionType":"monthly","retentionPeriod":20}]',
-        '[{"retentionType":"monthly","indexName":"nf_errors_log"}]',
-        '[{"retentionType":"monthly","indexName":"nf_errors_log","retentionPeriod":"A"}]',
-        '[{"indexNamePattern":"nf_errors_logYYYY","retentionPeriod":"P1M"}]',
-        '[{"retentionType":"monthly","indexName":"nf_errors_log",',
+        '[{"retentionType":"monthly","indexName":"web_errors_log"}]',
+        '[{"retentionType":"monthly","indexName":"web_errors_log","retentionPeriod":"A"}]',
+        '[{"indexNamePattern":"web_errors_logYYYY","retentionPeriod":"P1M"}]',
+        '[{"retentionType":"monthly","indexName":"web_errors_log",',
         '[{"indexNamePattern":"\'nf\'YYYY","retentionPeriod":"PT5M","unknown":[1]}]',
         '[{"indexNamePattern":"\'nf\'YYYY","indexName":"x","retentionType":"hourly","retentionPeriod":"P18M","preCreate":true}]',
         "[]",
@@ -86,7 +86,7 @@ def test_policies_are_read(spark):
     assert (seen[0, 0].pattern, seen[0, 0].actionable, seen[0, 0].period.months) == (None, False, 20)
     assert (seen[1, 0].period, seen[1, 0].actionable, seen[1, 0].error) == (None, False, None)
     assert seen[2, 0].error == "bad retention period"
-    assert seen[3, 0].error == "unsupported field n"
+    assert seen[3, 0].error == "unsupported field w"
     assert seen[4, None].error == "bad json"
     assert (seen[5, 0].period.minutes, seen[5, 0].actionable) == (5, True)
     assert (seen[6, 0].pattern, seen[6, 0].period.months, seen[6, 0].pre_create) == ("'nf'YYYY", 18, True)
@@ -100,7 +100,7 @@ def test_cutoffs_and_next_names(spark):
         spark,
         '[{"indexName":"index","retentionType":"yearly","retentionPeriod":20}]',
         '[{"indexName":"0","retentionType":"monthly","retentionPeriod":20}]',
-        '[{"indexName":"nf_errors_log_useast1","retentionPeriod":20}]',
+        '[{"indexName":"web_errors_log_useast1","retentionPeriod":20}]',
         '[{"indexName":"index1","retentionType":"hourly","retentionPeriod":20},{"indexName":"index1","retentionType":"hourly","retentionPeriod":40}]',
     )
     now = "2017-11-15 12:34:56"
@@ -108,7 +108,7 @@ def test_cutoffs_and_next_names(spark):
     assert [(r.cutoff, r.next_name) for r in out] == [
         (datetime(1997, 1, 1), "index2018"),
         (datetime(2016, 3, 1), "0201712"),
-        (datetime(2017, 10, 26), "nf_errors_log_useast120171116"),
+        (datetime(2017, 10, 26), "web_errors_log_useast120171116"),
         (datetime(2017, 11, 14, 16), "index12017111513"),
         (datetime(2017, 11, 13, 20), "index12017111513"),
     ]
@@ -124,29 +124,29 @@ def names(spark, *values):
 
 
 def test_retention_runs(spark):
-    hourly = resolved(spark, '[{"indexName":"nf_errors_log","retentionType":"hourly","retentionPeriod":2}]')
-    listed = names(spark, *(f"nf_errors_log20170622{h}" for h in range(10, 15)))
+    hourly = resolved(spark, '[{"indexName":"web_errors_log","retentionType":"hourly","retentionPeriod":2}]')
+    listed = names(spark, *(f"web_errors_log20170622{h}" for h in range(10, 15)))
     plan = lifecycle.expired(listed, hourly, "2017-06-22 13:30:00")
-    assert [r.name for r in plan.collect()] == ["nf_errors_log2017062210"]
+    assert [r.name for r in plan.collect()] == ["web_errors_log2017062210"]
 
-    yearly = resolved(spark, '[{"indexName":"nf_errors_log","retentionType":"yearly","retentionPeriod":3}]')
-    listed = names(spark, *(f"nf_errors_log{y}" for y in range(2012, 2019)))
+    yearly = resolved(spark, '[{"indexName":"web_errors_log","retentionType":"yearly","retentionPeriod":3}]')
+    listed = names(spark, *(f"web_errors_log{y}" for y in range(2012, 2019)))
     plan = lifecycle.expired(listed, yearly, "2017-06-01 00:00:00")
-    assert sorted(r.name for r in plan.collect()) == ["nf_errors_log2012", "nf_errors_log2013"]
+    assert sorted(r.name for r in plan.collect()) == ["web_errors_log2012", "web_errors_log2013"]
 
 
 def test_overlapping_policies_count_each(spark):
     both = resolved(
         spark,
-        '[{"indexName":"nf_errors_log","retentionType":"hourly","retentionPeriod":2},'
-        '{"indexName":"nf_errors_log201712","retentionType":"yearly","retentionPeriod":1}]',
+        '[{"indexName":"web_errors_log","retentionType":"hourly","retentionPeriod":2},'
+        '{"indexName":"web_errors_log201712","retentionType":"yearly","retentionPeriod":1}]',
     )
-    listed = names(spark, *(f"nf_errors_log20171211{h}" for h in range(10, 15)))
+    listed = names(spark, *(f"web_errors_log20171211{h}" for h in range(10, 15)))
     matched = lifecycle.match_policies(both, listed).groupBy("pattern").count().collect()
     # The rest after the literal of the second policy, 1110 to 1114, reads as a year.
     assert {(r.pattern, r["count"]) for r in matched} == {
-        ("'nf_errors_log'YYYYMMddHH", 5),
-        ("'nf_errors_log201712'YYYY", 5),
+        ("'web_errors_log'YYYYMMddHH", 5),
+        ("'web_errors_log201712'YYYY", 5),
     }
 
 
