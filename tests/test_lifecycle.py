@@ -49,7 +49,7 @@ def test_known_patterns_need_no_table(spark):
 @pytest.mark.parametrize(
     ("pattern", "error"),
     [
-        ("web_errors_logYYYY", "unsupported field w"),
+        ("web_errors_logYYYY", "unsupported field e"),
         ("'open", "unterminated quote"),
         ("'a'yyyy[MM]", "reserved character outside quotes"),
         ("'a'YYYY-ww-dd", "unsupported week pattern"),
@@ -86,7 +86,7 @@ def test_policies_are_read(spark):
     assert (seen[0, 0].pattern, seen[0, 0].actionable, seen[0, 0].period.months) == (None, False, 20)
     assert (seen[1, 0].period, seen[1, 0].actionable, seen[1, 0].error) == (None, False, None)
     assert seen[2, 0].error == "bad retention period"
-    assert seen[3, 0].error == "unsupported field w"
+    assert seen[3, 0].error == "unsupported field e"
     assert seen[4, None].error == "bad json"
     assert (seen[5, 0].period.minutes, seen[5, 0].actionable) == (5, True)
     assert (seen[6, 0].pattern, seen[6, 0].period.months, seen[6, 0].pre_create) == ("'nf'YYYY", 18, True)
