@@ -56,3 +56,14 @@ def test_counts_older_than_the_watermark_do_not_come_back(spark, tmp_path):
     feed(spark, root, [("a", START + timedelta(minutes=2), 3, 0, 5), ("a", START + timedelta(hours=2), 4, 0, 9)], start)
     rows = streams.read_updates(spark, f"{root}/out", ["node", "window_start", "bound"]).orderBy("window_start").collect()
     assert [(r.bound, r.n) for r in rows] == [(5, 3), (10, 1)]
+
+
+def test_micro_batches_run_adaptively(spark, tmp_path):
+    plans = []
+
+    def handle(batch, epoch):
+        counted = batch.groupBy((batch.seq % 7).alias("k")).count()
+        plans.append(counted._jdf.queryExecution().executedPlan().toString())
+
+    feed(spark, str(tmp_path), random_rows(1, 20), lambda s, r: streams._start(s, streams._per_batch(handle), f"{r}/cp", **NOW))
+    assert plans[0].startswith("AdaptiveSparkPlan")
