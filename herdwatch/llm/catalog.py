@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdwatch.llm import decontamination
+from herdwatch.llm import decontamination, near_duplicates
 from herdwatch.llm.oracles import ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_minmax_near_dedup": near_duplicates.op4_minmax_near_dedup,
         "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     }
 

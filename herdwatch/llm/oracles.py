@@ -23,4 +23,20 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op8_benchmark_decontamination": DECONTAMINATION.format(documents="documents")}
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPACED_WORDS} AS w FROM {{documents}}),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+       FROM d, unnest(generate_series(1, greatest(1, len(w) - 3))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {
+    "op4_minmax_near_dedup": NEAR_DUPLICATES.format(documents="documents"),
+    "op8_benchmark_decontamination": DECONTAMINATION.format(documents="documents"),
+}
