@@ -37,7 +37,9 @@ class Vocabulary:
         self.weight = np.append(score, score.min() - 10)  # the last is a character as bytes
 
     def open(self) -> Vocabulary:
-        """Build the tables for walking texts (not sent along, they are large)."""
+        """Build the tables for walking texts, once in a worker (not sent along, they are large)."""
+        if hasattr(self, "inner"):
+            return self
         chars = sorted({c for p in self.pieces if p for c in p})
         self.char = np.zeros(0x110000, np.int32)
         self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)

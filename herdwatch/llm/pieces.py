@@ -23,7 +23,7 @@ U+2581 in it, which becomes a space.  Extra columns are passed through.
 from __future__ import annotations
 
 import heapq
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,16 +176,13 @@ def sampler(spark: SparkSession, model: str = MODEL, k: int = SAMPLES, theta: fl
     sent = spark.sparkContext.broadcast(Vocabulary(model))
     salt = keys(1, seed)[0]
 
-    @lru_cache(maxsize=1)
-    def opened() -> Vocabulary:
-        return sent.value.open()
-
     @F.arrow_udf(SAMPLE)
     def sample(text: pa.Array, key: pa.Array) -> pa.Array:
+        vocabulary = sent.value.open()
         samples, ids, sizes, score, inclusion = [], [], [], [], []
         for part in parts(pa.RecordBatch.from_arrays([text, key], names=["text", "key"]), "text", PART_BYTES):
             row_key = mix(pa.compute.fill_null(part["key"], 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ salt)
-            n, pieces, begins, s, i = sample_texts(opened(), part["text"].to_pylist(), row_key, k, theta)
+            n, pieces, begins, s, i = sample_texts(vocabulary, part["text"].to_pylist(), row_key, k, theta)
             samples += n
             ids.append(pieces)
             sizes.append(np.diff(begins))
@@ -223,15 +220,13 @@ def decoder(spark: SparkSession, model: str = MODEL):
 def encoder(model: str = MODEL):
     """A column function from text to the model's own single encoding."""
 
-    @lru_cache(maxsize=1)
-    def opened():
+    @F.arrow_udf("array<int>")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import sentencepiece
 
-        return sentencepiece.SentencePieceProcessor(model_file=model)
-
-    @F.arrow_udf("array<int>")
-    def encode(text: pa.Array) -> pa.Array:
-        return pa.array(opened().encode(pa.compute.fill_null(text, "").to_pylist(), num_threads=1), pa.list_(pa.int32()))
+        spm = sentencepiece.SentencePieceProcessor(model_file=model)
+        for text in texts:
+            yield pa.array(spm.encode(pa.compute.fill_null(text, "").to_pylist(), num_threads=1), pa.list_(pa.int32()))
 
     return encode
 
