@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdwatch.llm import decontamination, licenses, near_duplicates, pieces, private_data, quality
+from herdwatch.llm import decontamination, language, licenses, near_duplicates, pieces, private_data, quality
 from herdwatch.llm.oracles import ORACLES
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii_bootstrapped": private_data.op2_pii_bootstrapped,
         "op3_license_diagonals": licenses.op3_license_diagonals,
         "op4_minmax_near_dedup": near_duplicates.op4_minmax_near_dedup,
+        "op5_language_ftrl": language.op5_language_ftrl,
         "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
         "op9_quality_resampling": quality.op9_quality_resampling,
     }
