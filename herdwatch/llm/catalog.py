@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdwatch.llm import decontamination, language, licenses, near_duplicates, pieces, private_data, quality
+from herdwatch.llm import decontamination, language, licenses, near_duplicates, pieces, private_data, quality, toxicity
 from herdwatch.llm.oracles import ORACLES
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_diagonals": licenses.op3_license_diagonals,
         "op4_minmax_near_dedup": near_duplicates.op4_minmax_near_dedup,
         "op5_language_ftrl": language.op5_language_ftrl,
+        "op6_toxicity_automata": toxicity.op6_toxicity_automata,
         "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
         "op9_quality_resampling": quality.op9_quality_resampling,
     }
