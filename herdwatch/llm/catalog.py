@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdwatch.llm import decontamination, language, licenses, near_duplicates, pieces, private_data, quality, toxicity
+from herdwatch.llm import decontamination, fingerprints, language, licenses, near_duplicates, pieces, private_data, quality, toxicity, warc
 from herdwatch.llm.oracles import ORACLES
 
 
@@ -18,8 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minmax_near_dedup": near_duplicates.op4_minmax_near_dedup,
         "op5_language_ftrl": language.op5_language_ftrl,
         "op6_toxicity_automata": toxicity.op6_toxicity_automata,
+        "op7_closed_syncmers": fingerprints.op7_closed_syncmers,
         "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
         "op9_quality_resampling": quality.op9_quality_resampling,
+        "op10_warc_revisits": warc.op10_warc_revisits,
     }
 
 

@@ -1,5 +1,7 @@
 """DuckDB texts for the operators that SQL can express, by the contract's plain definitions."""
 
+from herdwatch.llm import warc
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALNUM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SPACED_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+')"
@@ -36,7 +38,37 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+WARC = f"""
+WITH cap AS ({warc.CAPTURES.format(pages="pages")}),
+u AS (SELECT *, lpad(CAST(page_id AS VARCHAR), 12, '0') || '-' || CAST(visit AS VARCHAR) AS record_id,
+             regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM cap),
+p AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', '') AS host,
+             regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+               lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|sessionid|jsessionid|sid|phpsessid)(=|$)'))) AS q FROM u),
+r AS (SELECT *, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM p),
+w AS (SELECT *, max(CASE WHEN record_type = 'response' THEN lpad(CAST(seconds AS VARCHAR), 15, '0') || record_id END)
+             OVER (PARTITION BY canonical_url ORDER BY seconds, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM r),
+j AS (SELECT w.*, o.record_id AS old_id, o.etag AS old_etag, o.modified AS old_modified, o.cache AS old_cache, o.html AS old_html
+      FROM w LEFT JOIN r o ON w.record_type = 'revisit' AND o.record_type = 'response' AND o.record_id = substr(w.latest, 16)),
+s AS (SELECT *, CASE WHEN record_type = 'response' THEN 'response' WHEN old_id IS NULL THEN 'no-response'
+       WHEN etag IS NOT NULL AND old_etag IS NOT NULL
+       THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(old_etag, '^W/', '') THEN 'etag' ELSE 'mismatch' END
+       WHEN modified IS NOT NULL AND old_modified IS NOT NULL THEN CASE WHEN modified = old_modified THEN 'last-modified' ELSE 'mismatch' END
+       ELSE 'unvalidated' END AS status FROM j)
+SELECT record_id, record_type, canonical_url, seconds, status,
+  CASE WHEN status = 'response' THEN record_id WHEN status IN ('etag', 'last-modified', 'unvalidated') THEN old_id END AS refers_to,
+  CASE WHEN status = 'response'
+       THEN concat_ws(';', 'cache-control=' || cache, 'content-type=text/html', 'etag=' || etag, 'last-modified=' || modified)
+       WHEN status IN ('etag', 'last-modified', 'unvalidated')
+       THEN concat_ws(';', 'cache-control=' || coalesce(cache, old_cache), 'content-type=text/html', 'etag=' || coalesce(etag, old_etag),
+                      'last-modified=' || coalesce(modified, old_modified)) END AS headers,
+  CASE WHEN status = 'response' THEN sha256(html) WHEN status IN ('etag', 'last-modified', 'unvalidated') THEN sha256(old_html) END AS payload_digest
+FROM s
+"""
+
 ORACLES = {
     "op4_minmax_near_dedup": NEAR_DUPLICATES.format(documents="documents"),
+    "op10_warc_revisits": WARC,
     "op8_benchmark_decontamination": DECONTAMINATION.format(documents="documents"),
 }
