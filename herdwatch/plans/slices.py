@@ -10,8 +10,8 @@ node decides how long the job takes.  Here the history of a key is cut into time
 
 A slice is ``width`` seconds long.  Counting shows which slices hold more than ``max_rows``
 rows; these are cut at quantiles of their time, an instant that is itself that large at
-quantiles of the tie-breaker, and counted again until all are small.  The result is exact for
-any cut, because cuts follow the row order.
+evenly spaced values of the tie-breaker, which may be of any type, and counted again until all
+are small.  The result is exact for any cut, because cuts follow the row order.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ DAY = 86_400
 WIDTH = 30 * DAY
 SLICE = "_slice"
 PART = "_part"
-# Cuts per hot slice and round; a part's number grows by a factor of BASE per round.
+# Cuts per hot slice and round; a part's number grows by a factor of BASE per round, and fits into
+# 64 bits for ROUNDS rounds.  Each divides by about CUTS: more rounds are an error, not an end.
 CUTS = 63
 BASE = 2 * (CUTS + 1)
 ROUNDS = 8
+# Distinct tie-breakers of a hot slice that its cuts are chosen from.
+TIES = 50 * CUTS
 # More hot slices than this are joined by shuffle instead of being broadcast.
 BROADCAST_ROWS = 2_000
 
@@ -62,12 +65,11 @@ def with_slices(
     )
     if max_rows is None:
         return cut
-    was_cut = False
-    for _ in range(ROUNDS):
-        finer = _cut_hot(cut, keys, _micros(ts), F.col(tie).cast("double") if tie else F.lit(0.0), max_rows)
-        if finer is None:
-            break
-        cut, was_cut = finer, True
+    was_cut = 0
+    while (finer := _cut_hot(cut, keys, _micros(ts), F.col(tie) if tie else F.lit(0), max_rows)) is not None:
+        if was_cut == ROUNDS:
+            raise RuntimeError(f"slices of more than {max_rows} rows are left after {ROUNDS} rounds of cutting")
+        cut, was_cut = finer, was_cut + 1
     # Without this, a shuffle join with the cuts would leave a hot slice in one partition: its
     # partitioning by (key, slice) would also do for a window by (key, slice, part).
     return cut.repartition(*slice_group(keys)) if was_cut else cut
@@ -87,14 +89,18 @@ def _cut_hot(df: DataFrame, keys: Sequence[str], at: Column, tie: Column, max_ro
     if hot is None:
         return None
     at_quantiles = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    cuts = (
-        position.join(hot, group)
-        .groupBy(*group, "_timed")
-        .agg(
-            F.percentile_approx("_at", at_quantiles, 50 * CUTS).alias("_times"),
-            F.percentile_approx("_tie", at_quantiles, 50 * CUTS).alias("_ties"),
-        )
+    rows = position.join(hot, group)
+    share = F.lit(float(TIES)) / F.approx_count_distinct("_tie")
+    rows = rows.join(rows.groupBy(*group).agg(share.alias("_share")), group)
+    # A hash chooses among the distinct tie-breakers; the first one is there in any case.
+    chosen = F.when(F.abs(F.xxhash64("_tie") % 1_000_000) < F.col("_share") * 1_000_000, F.col("_tie"))
+    cuts = rows.groupBy(*group, "_timed").agg(
+        F.percentile_approx("_at", at_quantiles, 50 * CUTS).alias("_times"),
+        F.array_sort(F.array_union(F.collect_set(chosen), F.array(F.min("_tie")))).alias("_all"),
     )
+    place = lambda i: F.floor(F.lit(i) * F.size("_all") / (CUTS + 1)).cast("int")
+    spaced = F.array_distinct(F.array(*(F.element_at("_all", place(i) + 1) for i in range(1, CUTS + 1))))
+    cuts = cuts.withColumn("_ties", F.when(F.size("_all") <= CUTS, F.col("_all")).otherwise(spaced)).drop("_all")
     # The quantiles are estimates: they are fixed here, so that all uses see the same cuts.
     if few:
         cuts = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
