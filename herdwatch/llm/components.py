@@ -18,14 +18,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     give an empty table.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges, before = store.keep(edges, "links"), None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        if now == before:
-            break
-        before = now
+    edges = store.keep(edges, "links")
+    while not _are_stars(edges):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: larger neighbours of u move to the smallest of u and its neighbours.
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -37,3 +31,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = store.keep(small.filter("u <> v").distinct(), "links")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none of its own."""
+    ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    twice = ends.filter("n > 1").select("u")
+    onward = edges.select(F.col("v").alias("u")).join(ends.select("u"), "u", "left_semi")
+    return not twice.unionAll(onward).head(1)

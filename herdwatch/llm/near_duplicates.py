@@ -9,9 +9,10 @@ of similarity 0.8 miss each other in all bands with a chance of (1 - 0.8**4)**32
 Documents with equal sets form a class, and classes are compared instead of documents.  Every
 bucket (equal band) first proposes the link of each member to the bucket's first member.  Links
 are confirmed on full shingle sets.  What the confirmed links join is one component; buckets
-that still hold several components propose every pair across components if they are small, and
-else are cut finer by the members' other bands.  A large group of near copies is one component
-after the first round, so its pairs are never listed; no bucket is dropped or capped.
+that still hold several components compare the members outside their largest one with all others,
+or if these are many, find links among their members by prefix filtering on the full sets, which
+is exact.  A large group of near copies is one component after the first round, so its pairs are
+never listed; no bucket is dropped or capped.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are
 kept; fewer than k words are one shingle; rows with a null id link like others, and their
@@ -33,14 +34,21 @@ from herdwatch.llm.components import components
 from herdwatch.llm.words import SPACED, keys, mix, parts, words
 
 PERMUTATIONS, BANDS = 64, 32
-#: Buckets of at most so many classes list their pairs across components; larger ones are cut finer.
-SMALL = 32
-#: After so many cuts a bucket lists its pairs whatever its size.
-CUTS = 4
-#: Equal values, of 128, below which a pair can't have a similarity of 0.8 (six standard deviations).
-LEAST_EQUAL = 64
-
-SIGNATURES = "doc_id bigint, n int, set_a bigint, set_b bigint, bands array<bigint>"
+#: Buckets with at most so many classes outside their largest component compare those with all members.
+SMALL = 24
+#: Equal values, of 128, below which a pair can't have a similarity of 0.8 (five standard deviations).
+LEAST_EQUAL = 80
+#: Sets of at most so many shingles go with the signature and are compared themselves.
+FEW = 48
+#: Shingle frequencies, which only order shingles, are counted in so many hash buckets; CHUNK of them are one row.
+FREQUENCIES, CHUNK = 1 << 17, 1 << 10
+COUNTS = "chunk int, counts binary"
+#: Bands whose buckets propose links to their first member.
+STAR_BANDS = 6
+#: At most so many ids are sent to all tasks to find their texts; more are joined.
+FEW_IDS = 200_000
+
+SIGNATURES = "doc_id bigint, n int, set_a bigint, set_b bigint, bands array<bigint>, few array<bigint>"
 SETS = "n int, set_a bigint, set_b bigint, shingles binary"
 
 
@@ -87,9 +95,10 @@ def _signatures(k: int):
                 lanes = (mix(lanes) & np.uint64(0xFFFF)).reshape(len(sets), BANDS, 4)
                 bands = lanes[..., 0] | lanes[..., 1] << np.uint64(16) | lanes[..., 2] << np.uint64(32) | lanes[..., 3] << np.uint64(48)
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+                few = pa.array([x.view(np.int64) if len(x) <= FEW else None for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], *_identity(sets), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel()))],
-                    names=["doc_id", "n", "set_a", "set_b", "bands"],
+                    [part["doc_id"], *_identity(sets), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())), few],
+                    names=["doc_id", "n", "set_a", "set_b", "bands", "few"],
                 )
 
     return run
@@ -119,6 +128,47 @@ def _similar(percent: int):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often shingles of each hash bucket stand in the sets, in chunks of buckets."""
+    total = np.zeros(FREQUENCIES, np.int64)
+    for batch in batches:
+        for s in batch["s"]:
+            total += np.bincount(_bucket(np.frombuffer(s.as_py(), np.uint64)), minlength=FREQUENCIES)
+    if total.any():
+        yield _chunks({i: total[i * CHUNK : (i + 1) * CHUNK] for i in range(FREQUENCIES // CHUNK)})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.int64)
+    yield _chunks(total)
+
+
+def _chunks(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["chunk", "counts"])
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(FREQUENCIES)).astype(np.int64)
+
+
+def _prefixes(sent, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first shingles of each set in the common order: by their bucket's frequency, then by hash."""
+        for batch in batches:
+            for c, s in zip(batch["c"].to_pylist(), batch["s"], strict=True):
+                shingles = np.frombuffer(s.as_py(), np.uint64)
+                size = len(shingles)
+                first = size - -(-size * percent // 100) + 1
+                token = shingles[np.argsort(sent.value[_bucket(shingles)], kind="stable")[:first]].view(np.int64)
+                whole = [np.full(first, c), np.full(first, size, np.int32), np.arange(first, dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(token), *map(pa.array, whole)], names=["token", "c", "n", "i"])
+
+    return run
+
+
 def _equal_values(a: Column, b: Column) -> Column:
     """How many of the 16-bit values of two signatures are equal."""
     def lanes(x: Column, y: Column) -> Column:
@@ -138,67 +188,109 @@ class _Search:
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int):
         self.docs, self.nodes, self.k, self.percent = docs, nodes, k, percent
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes whose full sets are similar enough."""
-        side = {s: self.nodes.select(F.col("c").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"s_{s}")) for s in "ab"}
-        likely = (
-            pairs.distinct()
-            .join(side["a"], "a")
-            .join(side["b"], "b")
-            .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-            .filter(_equal_values(F.col("s_a"), F.col("s_b")) >= LEAST_EQUAL * self.percent / 80)
-        )
-        likely = store.keep(likely.select("a", "b"), "likely")
-        if not _any_rows(likely):
-            return likely
+    def sets_of(self, classes: DataFrame) -> DataFrame:
+        """(c, s): the full shingle sets of the given classes (c), sorted."""
+        used = self.nodes.select("c", "n", "set_a", "set_b", "min_id").join(classes, "c")
         # One text per class is read again; which of its rows gives it does not matter.
-        used = likely.select(F.col("a").alias("c")).unionAll(likely.select(F.col("b").alias("c"))).distinct()
-        used = self.nodes.select("c", "n", "set_a", "set_b", "min_id").join(used, "c")
-        ids = used.select(F.col("min_id").alias("_id")).distinct()
+        ids = store.keep(used.select(F.col("min_id").alias("_id")).distinct(), "ids")
+        ids = F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
         sets = texts.mapInArrow(_full_sets(self.k), SETS)
         sets = sets.join(used.select("c", "n", "set_a", "set_b"), ["n", "set_a", "set_b"]).groupBy("c").agg(F.first("shingles").alias("s"))
-        sets = store.keep(sets, "sets")
+        return store.keep(sets, "sets")
+
+    def confirmed(self, likely: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) of classes whose full sets are similar enough."""
+        if not _any_rows(likely):
+            return likely
+        if sets is None:
+            sets = self.sets_of(likely.select(F.col("a").alias("c")).unionAll(likely.select(F.col("b").alias("c"))).distinct())
         both = likely.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
         return store.keep(both.select("a", "b", "x", "y").mapInArrow(_similar(self.percent), "a bigint, b bigint"), "confirmed")
 
+    def _prefix_labels(self, classes: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, label) after adding all links between the given classes (c) to ``links``.
+
+        Prefix filtering (Xiao et al., 2008): with shingles in one order, rare ones first, two sets
+        that are similar enough have a common shingle among the first few of both, and there as many
+        shingles follow as they must share.  Classes first meet the first and the last class of each of
+        their shingles; what this does not join meets across components.
+        """
+        sets = self.sets_of(classes)
+        often = sets.select("s").mapInArrow(_counted, COUNTS).repartition("chunk").mapInArrow(_summed, COUNTS).collect()
+        counts = np.zeros(FREQUENCIES, np.int64)
+        for row in often:
+            counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(bytes(row.counts), np.int64)
+        sent = self.docs.sparkSession.sparkContext.broadcast(counts)
+        prefix = store.keep(sets.mapInArrow(_prefixes(sent, self.percent), "token bigint, c bigint, n int, i int"), "prefix")
+        sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
+        follow = 1 + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
+        able = sizes & (follow * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent)
+
+        def side(rows: DataFrame, name: str) -> DataFrame:
+            return rows.select("token", *(F.col(x).alias(f"{x}_{name}") for x in rows.columns if x != "token"))
+
+        ends = prefix.groupBy("token").agg(F.min(F.struct("c", "n", "i")).alias("x"), F.max(F.struct("c", "n", "i")).alias("y"))
+        lead = ends.select("token", F.explode(F.array("x", "y")).alias("x")).select("token", "x.*")
+        met = side(lead, "a").join(side(prefix, "b"), "token").filter(able & (F.col("c_a") != F.col("c_b")))
+        pairs = met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
+        links = links.unionAll(self.confirmed(store.keep(pairs, "likely"), sets))
+        names = components(links)
+        named = prefix.join(names.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        met = side(named, "a").join(side(named, "b"), "token").filter(able & (F.col("label_a") < F.col("label_b")))
+        pairs = met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
+        more = self.confirmed(store.keep(pairs, "likely"), sets)
+        return components(links.unionAll(more)) if _any_rows(more) else names
+
+    def _side(self, name: str) -> DataFrame:
+        return self.nodes.select(F.col("c").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("n", "bands", "few")))
+
+    def _likely(self) -> Column:
+        """Whether sizes and signatures of sides a and b allow the similarity asked for; small sets are compared themselves."""
+        sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
+        both = F.size(F.array_intersect("few_a", "few_b"))
+        exact = both * 100 >= (F.col("n_a") + F.col("n_b") - both) * self.percent
+        signature = _equal_values(F.col("bands_a"), F.col("bands_b")) >= int(LEAST_EQUAL * self.percent / 80)
+        return sizes & F.when(F.col("few_a").isNotNull() & F.col("few_b").isNotNull(), exact).otherwise(signature)
+
     def labels(self) -> DataFrame:
         """(node, label): classes that are linked, and the first class of their component."""
-        rows = self.nodes.select("c", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(BANDS - 1)).alias("j"), F.col("bands").alias("v"))).alias("e"))
-        rows = rows.select("c", F.xxhash64("e.j", "e.v").alias("key"))
-        found = self.confirmed(self._stars(rows))
-        links, names = found, components(found)
-        for cut in range(CUTS + 1):
-            labelled = rows.join(names.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-            mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            mixed = mixed.filter("lo < hi").select("key", "size")
-            open_rows = store.keep(labelled.join(mixed, "key"), "open")
-            if not _any_rows(open_rows):
-                break
-            last = cut == CUTS
-            small = open_rows if last else open_rows.filter(F.col("size") <= SMALL)
-            other = small.select("key", F.col("c").alias("c2"), F.col("label").alias("label2"))
-            pairs = small.join(other, "key").filter("label < label2").select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
-            large = open_rows.filter(F.col("size") > SMALL)
-            if not last:
-                pairs = pairs.unionAll(self._stars(large.select("c", "key")))
-            more = self.confirmed(pairs)
-            if _any_rows(more):
-                links = links.unionAll(more)
-                names = store.keep(components(links), "labels")
-            if last or not _any_rows(large):
-                break
-            # Large buckets are cut by every other band of their members.
-            rows = large.select("c", "key").join(self.nodes.select("c", "bands"), "c")
-            rows = rows.select("c", "key", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(BANDS - 1)).alias("j"), F.col("bands").alias("v"))).alias("e"))
-            rows = store.keep(rows.select("c", F.xxhash64("key", "e.j", "e.v").alias("key")).distinct(), "cut")
+        bands = F.arrays_zip(F.sequence(F.lit(0), F.lit(BANDS - 1)).alias("j"), F.col("bands").alias("v"))
+        rows = self.nodes.select("c", F.explode(bands).alias("e")).select("c", F.col("e.j").alias("j"), F.xxhash64("e.j", "e.v").alias("key"))
+        shared = rows.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).filter("lead < last").select("key", "lead")
+        # From here on only buckets of two classes or more.
+        rows = store.keep(rows.join(shared, "key"), "buckets")
+        stars = rows.filter((F.col("j") < STAR_BANDS) & (F.col("c") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
+        links = self.confirmed(store.keep(stars.join(self._side("a"), "a").join(self._side("b"), "b").filter(self._likely()).select("a", "b"), "likely"))
+        rows = rows.select("c", "key")
+        labelled = rows.join(self._near_labels(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        mixed = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
+            F.sum("m").alias("size"), F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels")
+        ).filter("labels > 1").select("key", F.col("top.label").alias("top"), (F.col("size") - F.col("top.m")).alias("others"))
+        open_rows = store.keep(labelled.join(mixed, "key"), "open")
+        # Members outside a small bucket's largest component meet all others.
+        listed = open_rows.filter(F.col("others") <= SMALL).join(self.nodes.select("c", "n", "bands", "few"), "c")
+        sides = {s: listed.select("key", "top", F.col("c").alias(s), F.col("label").alias(f"l_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in ("n", "bands", "few"))) for s in "ab"}
+        one, two = sides["a"].filter("l_a <> top").drop("top"), sides["b"]
+        apart = (F.col("l_a") < F.col("l_b")) | ((F.col("l_b") == F.col("top")) & (F.col("l_a") != F.col("l_b")))
+        met = one.join(two, (one["key"] == two["key"]) & apart & self._likely())
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionAll(self.confirmed(store.keep(pairs, "likely")))
+        large = store.keep(open_rows.filter(F.col("others") > SMALL).select("c").distinct(), "large")
+        return self._prefix_labels(large, links) if _any_rows(large) else components(links)
+
+    @staticmethod
+    def _near_labels(links: DataFrame) -> DataFrame:
+        """(c, label): a class of the same component, nearly always the same one for all of it.
+
+        The first linked class, and the first one linked to that, and once more.
+        """
+        names = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("label"))
+        for _ in range(2):
+            onward = names.select(F.col("c").alias("label"), F.col("label").alias("further"))
+            names = names.join(onward, "label", "left").select("c", F.coalesce("further", "label").alias("label"))
         return names
 
-    def _stars(self, rows: DataFrame) -> DataFrame:
-        """Each member of a bucket with its first member."""
-        first = rows.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select("key", "a")
-        return rows.join(first, "key").filter("a < c").select("a", F.col("c").alias("b"))
-
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: size of its shingle set, smallest id of its component, and whether it is that one."""
@@ -206,7 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     plain = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     rows = store.keep(plain.mapInArrow(_signatures(k), SIGNATURES), "signatures")
     identity = ["n", "set_a", "set_b"]
-    nodes = rows.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"))
+    nodes = rows.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"), F.first("few").alias("few"))
     nodes = store.keep(nodes.withColumn("c", F.monotonically_increasing_id()), "classes")
     names = _Search(plain, nodes, k, percent).labels()
     placed = nodes.select(*identity, "c", "min_id").join(names.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -217,5 +309,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, with all its columns: that of the smallest id.
+
+    Of rows that share that id, text and all, one stays; documents without words all stay.
+    """
+    found = near_duplicates(docs, k, percent)
+    copies = found.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    marked = docs.join(copies, docs["doc_id"].cast("bigint").eqNullSafe(copies["_id"]))
+    single = marked.filter("_rows = 1").select(*docs.columns)
+    # Repeated ids are few: only their rows are compared.
+    several = marked.filter("_rows > 1").select(*docs.columns)
+    return single.unionAll(several.dropDuplicates(["doc_id", "text"]))
+
+
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
