@@ -1,14 +1,26 @@
 """A corpus from raw documents: quality, near-duplicates, benchmark passages, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes a stage's rows as
-Parquet in the shared folder and reads them again for the next one.
+Parquet in the shared folder and reads them again for the next one.  All stages but the last return
+the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from herdwatch.llm import decontamination, store
+from herdwatch.llm import decontamination, near_duplicates, pieces, private_data, quality, store
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the labelled good ones does not draw go."""
+    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, similarity 0.8) one document stays."""
+    return near_duplicates.keep_one(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +28,27 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; ``n_chars`` is counted anew."""
+    clean = private_data.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every text."""
+    out = pieces.with_samples(docs.select("doc_id", "text"))
+    return out.select("doc_id", "samples")
+
+
 STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", keep_first),
     ("benchmark decontamination", decontaminate),
+    ("PII", redact),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
-#: Sampling, a trained model and token sampling can't be said in SQL; tests hold it against plain versions.
+#: A trained model and sampling can't be said in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
