@@ -177,13 +177,12 @@ def _found(rows: DataFrame, rounds: int) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, carry: bool = True) -> DataFrame:
-    """The documents with ``_base`` and ``_spans``: arrays of (s, k, e), k being the number of the kind.
+    """``_base`` and ``_spans`` of every row: arrays of (s, k, e), k being the number of the kind.
 
-    ``carry`` passes all columns on; without it only ``doc_id`` is kept beside the spans.
+    With ``carry`` the whole row goes along as the struct ``_doc``, else only ``doc_id``.
     """
-    kept = docs if carry else docs.select("doc_id", text)
-    rows = with_matches(kept.withColumn("_text", kept[text].cast("string"))).drop("_text")
-    rows = rows if carry else rows.drop(text)
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("_doc") if carry else docs["doc_id"]
+    rows = with_matches(docs.select(whole, docs[text].cast("string").alias("_text"))).drop("_text")
     rows = store.keep(rows.withColumn("_rid", F.monotonically_increasing_id()), "spans")
     out = rows.join(_found(rows.select("_rid", "_base", "_candidates"), rounds), "_rid", "left")
     base = F.transform("_base", lambda b: F.struct(b["s"], b["k"], b["e"]))
@@ -194,8 +193,10 @@ def with_spans(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, carry:
 def redact(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """The documents with every span of their text replaced by its kind in brackets."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    spans = with_spans(docs, text, rounds).withColumn("_text", F.col(f"_doc.{text}").cast("string"))
+
     def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col(text), acc["pos"] + 1, F.greatest(F.lit(0), s["s"] - acc["pos"]))
+        before = F.substring("_text", acc["pos"] + 1, F.greatest(F.lit(0), s["s"] - acc["pos"]))
         piece = F.when(s["s"] < acc["pos"], F.lit("")).otherwise(F.concat(before, F.element_at(names, s["k"] + 1)))
         return F.struct(F.greatest(acc["pos"], s["e"]).alias("pos"), F.concat(acc["out"], piece).alias("out"))
 
@@ -203,10 +204,10 @@ def redact(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFra
         "_spans",
         F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
         step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["pos"] + 1, F.length(text))),
+        lambda acc: F.concat(acc["out"], F.substring("_text", acc["pos"] + 1, F.length("_text"))),
     )
-    spans = with_spans(docs, text, rounds)
-    return spans.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    clean = F.when(F.size("_spans") > 0, clean).otherwise(F.col("_text"))
+    return spans.select(*(clean.alias(c) if c == text else F.col(f"_doc.{c}") for c in docs.columns))
 
 
 def _text_of(spans: str) -> Column:

@@ -211,10 +211,11 @@ def threshold(draws: DataFrame, model: Model, k: int | None = None) -> float | N
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
     """The documents that are sampled, with all their columns; ``k`` states the size, else it is found."""
     model = learn(docs, labels, sample)
-    least = threshold(store.keep(scored(docs, model, seed).select("_log_weight", "_draw"), "draws"), model, k)
+    least = threshold(store.keep(scored(_plain(docs), model, seed).select("_log_weight", "_draw"), "draws"), model, k)
     if least is None:
         return docs
-    return scored(docs, model, seed).filter(F.col("_draw") >= least).select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
+    return scored(whole, model, seed).filter(F.col("_draw") >= least).select("_doc.*")
 
 
 def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
