@@ -22,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdwatch.llm import store
@@ -153,10 +153,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     total, n = _frequencies(known)
     if not n:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    drawn = drawn.select(F.col("doc_id").alias("_id")).distinct().collect()
-    ids = docs.sparkSession.createDataFrame(drawn, "_id bigint")
+    names = [r.lang for r in known.select("lang").distinct().orderBy("lang").collect()]
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    # Each language's first rows are found task by task: no language meets in one task.
+    drawn = {(r.doc_id,) for name in names for r in known.filter(F.col("lang") == name).select("doc_id").orderBy(*order).limit(per_language).collect()}
+    ids = docs.sparkSession.createDataFrame(sorted(drawn), "_id bigint")
     chosen = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id").alias("key"), "lang", "text")
     inverse = np.log((1 + n) / (1 + total)) + 1
     sent = docs.sparkSession.sparkContext.broadcast(inverse)
