@@ -8,24 +8,16 @@ from pyspark.sql import functions as F
 from herdwatch.functions import patterns
 from herdwatch.operators import lifecycle
 
+# Own examples of each rule: whole match, digits, quoted text, real dates, leap days, half days.
 NAMES = {
-    "'abcd'YYYY": (["abcd2018", "abcd2023"], ["foo2018", "abcd201802", "abcd20131203", "_abc", "abcd202"]),
-    "'abcd'YYYYMM": (
-        ["abcd201802", "abcd202312"],
-        ["abcd20182", "abcd20180203", "abcd1202312", "abcd20231", "abcd202313", "abcd20231248", "_abc"],
-    ),
-    "'abcd'-YYYY-ww": (["abcd-2018-51"], ["abcd-2018-53"]),
-    "'abcd'YYYYMMdd": (["abcd20180203", "abcd20131203"], ["abcd120131203", "abcd20231248", "abcd202312", "_abc"]),
-    "'abcd'-YYYY-MM-dd-aa": (["abcd-2018-02-03-AM", "abcd-2018-02-03-PM"], ["abcd-2018-02-03-BC"]),
-    "'abcd'YYYYMMddHH": (
-        ["abcd2018020323", "abcd2013120300", "abcd2013120301", "abcd2013120312", "abcd2013120323"],
-        ["abcd2018020328", "abcd12013120323", "abcd2013120324", "abcd2013120345", "abcd20231248", "_abc"],
-    ),
-    "'abcd'YYYY-MM-dd": (["abcd2018-02-27"], []),
-    "'abcd'YYYY.MM.dd": (["abcd2018.02.27"], []),
-    "'abcd'YYYY-MM-dd'ghi'": (["abcd2018-02-27ghi"], ["abcd2018-02-27"]),
-    "'it''s'yyyy-M": (["it's2018-2", "it's2018-12"], ["it's2018-02"]),
-    "yyyy-D": (["2018-1", "2018-365", "2018-45"], ["2018-366", "2018-01"]),
+    "'ledger-'yyyy": (["ledger-1999", "ledger-2031"], ["ledger-99", "ledger-19991", "Ledger-1999", "ledger-", "xledger-1999"]),
+    "'m'yyyy'q'MM": (["m2024q01", "m2024q12"], ["m2024q00", "m2024q13", "m2024q1", "m2024-01", "m2024q011"]),
+    "yyyy_MM_dd'.part'": (["2024_02_29.part"], ["2023_02_29.part", "2024_02_30.part", "2024_2_29.part", "2024_02_29"]),
+    "'tick/'yyyyMMddHH": (["tick/2024022900", "tick/2024022923"], ["tick/2024022924", "tick/20240229", "tick/2023022900"]),
+    "yyyy.MM.dd'/'aa": (["2024.12.31/AM", "2024.12.31/PM"], ["2024.12.31/XM", "2024.12.31/"]),
+    "'wk'YYYY'.'ww": (["wk2024.01", "wk2024.52"], ["wk2024.54", "wk2024.1", "wk2024.00"]),
+    "'o''clock'yyyy-M": (["o'clock2024-7", "o'clock2024-11"], ["o'clock2024-07", "oclock2024-7"]),
+    "yyyy-D": (["2024-366", "2023-365", "2024-60"], ["2023-366", "2024-060"]),
 }
 
 
@@ -49,7 +41,7 @@ def test_known_patterns_need_no_table(spark):
 @pytest.mark.parametrize(
     ("pattern", "error"),
     [
-        ("web_errors_logYYYY", "unsupported field e"),
+        ("eventsyyyy", "unsupported field e"),
         ("'open", "unterminated quote"),
         ("'a'yyyy[MM]", "reserved character outside quotes"),
         ("'a'YYYY-ww-dd", "unsupported week pattern"),
@@ -70,47 +62,48 @@ def resolved(spark, *documents):
 def test_policies_are_read(spark):
     rows = resolved(
         spark,
-        '[{"retentionType":"monthly","retentionPeriod":20}]',
-        '[{"retentionType":"monthly","indexName":"web_errors_log"}]',
-        '[{"retentionType":"monthly","indexName":"web_errors_log","retentionPeriod":"A"}]',
-        '[{"indexNamePattern":"web_errors_logYYYY","retentionPeriod":"P1M"}]',
-        '[{"retentionType":"monthly","indexName":"web_errors_log",',
-        '[{"indexNamePattern":"\'nf\'YYYY","retentionPeriod":"PT5M","unknown":[1]}]',
-        '[{"indexNamePattern":"\'nf\'YYYY","indexName":"x","retentionType":"hourly","retentionPeriod":"P18M","preCreate":true}]',
+        '[{"retentionType":"yearly","retentionPeriod":4}]',
+        '[{"retentionType":"daily","indexName":"orders"}]',
+        '[{"retentionType":"daily","indexName":"orders","retentionPeriod":"soon"}]',
+        '[{"indexNamePattern":"eyyyy","retentionPeriod":"P3D"}]',
+        '[{"retentionType":"daily"',
+        '[{"indexNamePattern":"\'q\'yyyy","retentionPeriod":"PT90M","color":{"a":1}}]',
+        '[{"indexNamePattern":"\'q\'yyyy","indexName":"z","retentionType":"daily","retentionPeriod":"P2Y","preCreate":true}]',
         "[]",
-        '[{"indexName":"a","retentionType":"weekly","retentionPeriod":1}]',
-        '[{"indexName":"a","retentionPeriod":"P"},{"indexName":"b","retentionPeriod":7,"preCreate":"false"}]',
+        '[{"indexName":"q","retentionType":"fortnightly","retentionPeriod":1}]',
+        '[{"indexName":"q","retentionPeriod":"P"},{"indexName":"r","retentionPeriod":11,"preCreate":"false"}]',
     ).collect()
     seen = {(r.i, r.pos): r for r in rows}
     assert 7 not in {i for i, _ in seen}
-    assert (seen[0, 0].pattern, seen[0, 0].actionable, seen[0, 0].period.months) == (None, False, 20)
+    assert (seen[0, 0].pattern, seen[0, 0].actionable) == (None, False)
     assert (seen[1, 0].period, seen[1, 0].actionable, seen[1, 0].error) == (None, False, None)
     assert seen[2, 0].error == "bad retention period"
     assert seen[3, 0].error == "unsupported field e"
     assert seen[4, None].error == "bad json"
-    assert (seen[5, 0].period.minutes, seen[5, 0].actionable) == (5, True)
-    assert (seen[6, 0].pattern, seen[6, 0].period.months, seen[6, 0].pre_create) == ("'nf'YYYY", 18, True)
+    assert (seen[5, 0].period.minutes, seen[5, 0].actionable) == (90, True)
+    assert (seen[6, 0].pattern, seen[6, 0].pre_create) == ("'q'yyyy", True)
     assert seen[8, 0].error == "unknown retention type"
     assert seen[9, 0].error == "bad retention period"
-    assert (seen[9, 1].period.days, seen[9, 1].pre_create, seen[9, 1].actionable) == (7, False, True)
+    assert (seen[9, 1].period.days, seen[9, 1].pre_create, seen[9, 1].actionable) == (11, False, True)
 
 
 def test_cutoffs_and_next_names(spark):
+    """The clock stands on a leap day, in its last hour, so that all next names roll over."""
     policies = resolved(
         spark,
-        '[{"indexName":"index","retentionType":"yearly","retentionPeriod":20}]',
-        '[{"indexName":"0","retentionType":"monthly","retentionPeriod":20}]',
-        '[{"indexName":"web_errors_log_useast1","retentionPeriod":20}]',
-        '[{"indexName":"index1","retentionType":"hourly","retentionPeriod":20},{"indexName":"index1","retentionType":"hourly","retentionPeriod":40}]',
+        '[{"indexName":"y","retentionType":"yearly","retentionPeriod":4}]',
+        '[{"indexName":"m","retentionType":"monthly","retentionPeriod":3}]',
+        '[{"indexName":"d","retentionPeriod":59}]',
+        '[{"indexName":"h","retentionType":"hourly","retentionPeriod":24},{"indexName":"h","retentionType":"hourly","retentionPeriod":1}]',
     )
-    now = "2017-11-15 12:34:56"
+    now = "2024-02-29 23:05:00"
     out = lifecycle.next_name(lifecycle.cutoff(policies, now), now).orderBy("i", "pos").collect()
     assert [(r.cutoff, r.next_name) for r in out] == [
-        (datetime(1997, 1, 1), "index2018"),
-        (datetime(2016, 3, 1), "0201712"),
-        (datetime(2017, 10, 26), "web_errors_log_useast120171116"),
-        (datetime(2017, 11, 14, 16), "index12017111513"),
-        (datetime(2017, 11, 13, 20), "index12017111513"),
+        (datetime(2020, 1, 1), "y2025"),
+        (datetime(2023, 11, 1), "m202403"),
+        (datetime(2024, 1, 1), "d20240301"),
+        (datetime(2024, 2, 28, 23), "h2024030100"),
+        (datetime(2024, 2, 29, 22), "h2024030100"),
     ]
 
 
@@ -123,31 +116,30 @@ def names(spark, *values):
     return spark.createDataFrame([(v,) for v in values], "name string")
 
 
-def test_retention_runs(spark):
-    hourly = resolved(spark, '[{"indexName":"web_errors_log","retentionType":"hourly","retentionPeriod":2}]')
-    listed = names(spark, *(f"web_errors_log20170622{h}" for h in range(10, 15)))
-    plan = lifecycle.expired(listed, hourly, "2017-06-22 13:30:00")
-    assert [r.name for r in plan.collect()] == ["web_errors_log2017062210"]
+def test_retention_keeps_the_cutoff_itself(spark):
+    """What lies before the cutoff goes; the cutoff and what follows stay."""
+    daily = resolved(spark, '[{"indexName":"trace","retentionPeriod":2}]')
+    listed = names(spark, "trace20240227", "trace20240228", "trace20240226", "trace20240301", "trace20240230", "other20200101")
+    plan = lifecycle.expired(listed, daily, "2024-02-29 00:00:00")
+    assert [r.name for r in plan.collect()] == ["trace20240226"]
 
-    yearly = resolved(spark, '[{"indexName":"web_errors_log","retentionType":"yearly","retentionPeriod":3}]')
-    listed = names(spark, *(f"web_errors_log{y}" for y in range(2012, 2019)))
-    plan = lifecycle.expired(listed, yearly, "2017-06-01 00:00:00")
-    assert sorted(r.name for r in plan.collect()) == ["web_errors_log2012", "web_errors_log2013"]
+    monthly = resolved(spark, '[{"indexName":"bill","retentionType":"monthly","retentionPeriod":1}]')
+    listed = names(spark, "bill202311", "bill202312", "bill202401", "bill202402")
+    plan = lifecycle.expired(listed, monthly, "2024-01-15 08:00:00")
+    assert sorted(r.name for r in plan.collect()) == ["bill202311"]
 
 
 def test_overlapping_policies_count_each(spark):
     both = resolved(
         spark,
-        '[{"indexName":"web_errors_log","retentionType":"hourly","retentionPeriod":2},'
-        '{"indexName":"web_errors_log201712","retentionType":"yearly","retentionPeriod":1}]',
+        '[{"indexName":"s","retentionType":"monthly","retentionPeriod":2},'
+        '{"indexName":"s20","retentionType":"yearly","retentionPeriod":1}]',
     )
-    listed = names(spark, *(f"web_errors_log20171211{h}" for h in range(10, 15)))
+    listed = names(spark, "s202401", "s202412", "s209913")
     matched = lifecycle.match_policies(both, listed).groupBy("pattern").count().collect()
-    # The rest after the literal of the second policy, 1110 to 1114, reads as a year.
-    assert {(r.pattern, r["count"]) for r in matched} == {
-        ("'web_errors_log'YYYYMMddHH", 5),
-        ("'web_errors_log201712'YYYY", 5),
-    }
+    # After the second policy's literal 2401, 2412 and 9913 read as years; 209913 is no month.
+    counts = {r.pattern: r["count"] for r in matched}
+    assert sorted(counts.values()) == [2, 3]
 
 
 def test_to_create(spark):

@@ -16,19 +16,13 @@ def one(spark, column, **values):
 
 
 def test_property_files(spark, tmp_path):
-    (tmp_path / "a.properties").write_text(
-        'Fleet.cluster.name=search\nFleet.http.port9002\nFleet.path.logs="/tmp/logs"\n'
-        'Fleet.transport.tcp.port=9001\nFleet.path.data="/tmp/data"'
-    )
+    (tmp_path / "a.properties").write_text('depot.zone=north\ndepot.noSeparator77\ndepot.label="two words"\ndepot.size = 12\ndepot.none=')
     (tmp_path / "b.properties").write_text("# c\n! c\nx : 1\nx=2\nlong=a,\\\n   b\nspaced value here\n")
     rows = properties.read_properties(spark, str(tmp_path)).collect()
     files = {}
     for r in rows:
         files.setdefault(r.file[-12:], {})[r.k] = r.v
-    assert files["a.properties"] == {
-        "Fleet.cluster.name": "search", "Fleet.path.logs": '"/tmp/logs"', "Fleet.transport.tcp.port": "9001",
-        "Fleet.path.data": '"/tmp/data"',
-    }
+    assert files["a.properties"] == {"depot.zone": "north", "depot.label": '"two words"', "depot.size": "12"}
     assert files["b.properties"] == {"x": "2", "long": "a,b", "spaced": "value here"}
 
 
