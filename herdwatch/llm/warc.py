@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from herdwatch.llm import store
 from herdwatch.plans.slices import running_before, without_slices
 
 # Headers that a 304 answer updates in the stored response.
@@ -44,13 +45,20 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", F.concat(host, port, path, asked))
 
 
-def headers(block: Column) -> Column:
-    """The header lines of a block as a map; names in lower case, repeated ones joined by commas."""
+def with_headers(df: DataFrame, block: str, out: str) -> DataFrame:
+    """Add ``out``: the header lines of a block as a map; names in lower case, repeated ones joined by commas."""
     lines = F.filter(F.split(block, CRLF), lambda line: line.rlike("^[^:\\s]+:"))
-    pairs = F.transform(lines, lambda line: F.struct(F.lower(F.substring_index(line, ":", 1)).alias("k"), F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    joined = F.transform(names, lambda n: F.struct(n.alias("k"), F.array_join(F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"]), ", ").alias("v")))
-    return F.map_from_entries(joined)
+    names = F.transform(lines, lambda line: F.lower(F.substring_index(line, ":", 1)))
+    values = F.transform(lines, lambda line: F.trim(F.substring(line, F.instr(line, ":") + 1, F.length(line))))
+    df = df.withColumns({"_names": names, "_values": values}).withColumn("_once", F.array_distinct("_names"))
+
+    def of(name: Column) -> Column:
+        pairs = F.filter(F.arrays_zip("_names", "_values"), lambda p: p["_names"] == name)
+        return F.array_join(F.transform(pairs, lambda p: p["_values"]), ", ")
+
+    joined = F.map_from_arrays("_once", F.transform("_once", of))
+    single = F.size("_once") == F.size("_names")
+    return df.withColumn(out, F.when(single, F.map_from_arrays("_names", "_values")).otherwise(joined)).drop("_names", "_values", "_once")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -61,8 +69,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def parse(records: DataFrame, column: str = "record") -> DataFrame:
     """(record_id, record_type, url, date, profile, http_status, headers, payload) of records as text."""
-    blocks = F.split(records[column], CRLF + CRLF, 3)
-    out = records.select(blocks.alias("b")).select(headers(F.col("b")[0]).alias("w"), F.col("b")[1].alias("http"), F.when(F.size("b") > 2, F.col("b")[2]).alias("payload"))
+    blocks = records.select(F.split(records[column], CRLF + CRLF, 3).alias("b"))
+    out = blocks.select(F.get("b", 0).alias("warc"), F.get("b", 1).alias("http"), F.get("b", 2).alias("payload"))
+    out = with_headers(with_headers(out, "warc", "w"), "http", "headers")
     return out.select(
         F.col("w")["warc-record-id"].alias("record_id"),
         F.lower(F.col("w")["warc-type"]).alias("record_type"),
@@ -70,8 +79,8 @@ def parse(records: DataFrame, column: str = "record") -> DataFrame:
         F.try_to_timestamp(F.col("w")["warc-date"]).alias("date"),
         F.col("w")["warc-profile"].alias("profile"),
         F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]{3})", 1).alias("http_status"),
-        headers(F.col("http")).alias("headers"),
-        F.regexp_replace("payload", "(\r\n\r\n)$", "").alias("payload"),
+        "headers",
+        F.when(F.col("payload").endswith(CRLF + CRLF), F.left("payload", F.length("payload") - 4)).otherwise(F.col("payload")).alias("payload"),
     )
 
 
@@ -80,7 +89,8 @@ def resolve(records: DataFrame) -> DataFrame:
     responses and not-modified revisits; ``records`` as from ``parse``."""
     rows = records.select("record_id", "record_type", canonical_url(F.col("url")).alias("canonical_url"), "date", "headers", F.sha2("payload", 256).alias("digest"), "profile", "http_status")
     revisit = (F.col("record_type") == "revisit") & (F.col("profile").endswith("server-not-modified") | (F.col("http_status") == "304"))
-    rows = rows.filter((F.col("record_type") == "response") | revisit).drop("profile", "http_status")
+    # Parsed once; without payloads the captures are small.
+    rows = store.keep(rows.filter((F.col("record_type") == "response") | revisit).drop("profile", "http_status"), "captures")
     placed = rows.filter("canonical_url is not null and date is not null")
     full = F.when(F.col("record_type") == "response", F.struct("date", "record_id"))
     asof = without_slices(running_before(placed, ["canonical_url"], {"latest": ("max", full)}, order=("date", "record_id")))
@@ -88,7 +98,10 @@ def resolve(records: DataFrame) -> DataFrame:
     lost = rows.filter("canonical_url is null or date is null").withColumn("_to", F.lit(None).cast(rows.schema["record_id"].dataType))
     first = F.min_by(F.struct("headers", "digest"), F.struct("date", "digest")).alias("o")
     found = placed.filter("record_type = 'response' and record_id is not null").groupBy(F.col("record_id").alias("_to")).agg(first)
-    both = asof.unionByName(lost).join(found, "_to", "left").withColumn("old", F.col("o.headers"))
+    # Only revisits with an earlier response are joined: all others would meet under the null id.
+    linked = asof.filter("_to is not null").join(found, "_to", "left")
+    alone = asof.filter("_to is null").unionByName(lost).withColumn("o", F.lit(None).cast(found.schema["o"].dataType))
+    both = linked.unionByName(alone).withColumn("old", F.col("o.headers"))
 
     tag = lambda h: F.regexp_replace(F.col(h)["etag"], "^W/", "")
     modified = lambda h: F.col(h)["last-modified"]
