@@ -63,7 +63,7 @@ def _after_delete(spark, sf_dir):
 
 
 def _json_round_trip(spark, sf_dir):
-    listings = registry.instances_to_json(instances(spark, sf_dir), per_document=100)
+    listings = registry.instances_to_json(instances(spark, sf_dir), pages=16)
     back = registry.instances_from_json(listings.select("listing"), "listing")
     return back.select("app", "id", "instance_id", "availability_zone", "public_ip", "host_name", "dc", "update_time")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from herdwatch.catalog import views
@@ -106,14 +108,14 @@ def _restores(spark, sf_dir):
 
 def _stored(spark, sf_dir):
     """Write the chosen datasets as a snapshot, read the catalog rows back."""
-    root = shared_dir(spark) + "/catalog-write"
+    root = f"{shared_dir(spark)}/catalog-write-{uuid.uuid4().hex}"
     written = snapshot_store.write_snapshot(parts(spark, sf_dir), root, "es", "199906151234", SPEC, NOW)
     return written.select("repo", "snapshot", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "dataset", "row_count")
 
 
 def _restored(spark, sf_dir):
     """Write everything as a snapshot, restore a part of it under other names."""
-    root = shared_dir(spark) + "/catalog-restore"
+    root = f"{shared_dir(spark)}/catalog-restore-{uuid.uuid4().hex}"
     snapshot_store.write_snapshot(parts(spark, sf_dir), root, "es", "199906151234")
     back = snapshot_store.restore_snapshot(spark, root, "es", "199906151234", "orders_1998*", "^orders_(.*)$", "restored-$1")
     return back.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("price").cast("bigint")).alias("price"))

@@ -62,6 +62,7 @@ def _percentiles(spark, sf_dir):
         F.col("search_query_latency_us").alias("us"),
         F.col("search_query_p95").alias("p95"),
         F.col("search_query_p99").alias("p99"),
+        F.col("search_query_overflowed").alias("overflowed"),
     )
 
 
@@ -102,7 +103,7 @@ def entries() -> list[Entry]:
         Entry(
             "stream_running_percentile",
             _percentiles,
-            f"select node, seq, us, p95, p99 from ({same['running_percentile']}) as r",
+            same["running_percentile"],
         ),
         Entry("stream_process_down", _signals("down", "down"), same["process_down"]),
         Entry("stream_transitions", _signals("transitions", "transition"), same["transitions"]),

@@ -304,8 +304,11 @@ def _sections() -> list[Entry]:
 
 
 def _read(spark, sf_dir):
-    as_json = nested_samples(spark, sf_dir).select(F.to_json(F.struct("*")).alias("j"))
+    """Every third sample has its text cut short: it comes back as a row with an error."""
+    text = F.to_json(F.struct("*"))
+    as_json = nested_samples(spark, sf_dir).select(F.when(F.col("seq") % 3 == 0, F.left(text, F.lit(10))).otherwise(text).alias("j"))
     return parse_node_stats(as_json, "j").select(
+        "error",
         "node",
         "seq",
         "up",
@@ -333,7 +336,7 @@ def _long_metrics_sql() -> str:
         "available_disk_percent": "case when fs_total <> 0 then fs_available * 100 // fs_total end",
     }
     rows = [
-        f"select node, seq, '{m}' as metric, 'GAUGE' as kind, cast({e} as double) as value from samples where status is not null"
+        f"select node, seq, '{m}' as metric, 'GAUGE' as kind, cast({e} as double) as value, cast({e} as bigint) as long_value from samples where status is not null"
         for m, e in fs.items()
     ]
     for name, factor in (("index", 2), ("get", 3), ("search", 5), ("bulk", 7)):
@@ -346,14 +349,14 @@ def _long_metrics_sql() -> str:
             "completed": f"seq * {factor}",
         }
         rows += [
-            f"select node, seq, '{name}_{f}', '{'COUNTER' if f in ('rejected', 'completed') else 'GAUGE'}', cast({e} as double) from samples"
+            f"select node, seq, '{name}_{f}', '{'COUNTER' if f in ('rejected', 'completed') else 'GAUGE'}', cast({e} as double), cast({e} as bigint) from samples"
             for f, e in values.items()
         ]
     return " union all ".join(rows)
 
 
 def _health(spark, sf_dir):
-    # How many nodes reported on the day is what a registry would know; 4 is the desired count.
+    # What a registry would know is made of the sample's value; 4 is the desired count.
     df = samples(spark, sf_dir).withColumn("known", (F.col("v") % 5 + 2).cast("int"))
     out = health.health_codes(df, registry_nodes="known", discovery_nodes=F.lit(4))
     return out.select("node", "seq", "green_or_red", "green_or_yellow", "node_match", "discovery_node_match")
@@ -397,8 +400,9 @@ def entries() -> list[Entry]:
             "read_node_stats",
             _read,
             _oracle(
-                "select node, seq, up, status, nodes, case when status is not null then search_query_time end as query_time, "
-                "uptime_ms, cast(5 as bigint) as pools, case when v % 5 <> 0 then cast(1.5 as double) end as overhead from samples"
+                "select null as error, node, seq, up, status, nodes, case when status is not null then search_query_time end as query_time, "
+                "uptime_ms, cast(5 as bigint) as pools, case when v % 5 <> 0 then cast(1.5 as double) end as overhead from samples where seq % 3 <> 0 "
+                "union all select 'bad json', null, null, null, null, null, null, null, null, null from samples where seq % 3 = 0"
             ),
         ),
         Entry(

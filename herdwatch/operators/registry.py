@@ -75,16 +75,16 @@ def delete_instances(current: DataFrame, dead: DataFrame) -> DataFrame:
     return current.join(dead.select(*KEY).distinct(), list(KEY), "left_anti")
 
 
-def instances_to_json(df: DataFrame, per_document: int = 1000, group: str = "app") -> DataFrame:
+def instances_to_json(df: DataFrame, pages: int = 1, group: str = "app") -> DataFrame:
     """Listings ``{"instances": {"instance-0": {...}, ...}}`` per cluster: ``(app, page, listing)``.
 
-    A cluster of up to ``per_document`` instances gives one document.  Larger ones are spread
-    over several, so that no document grows with the fleet; each is complete in itself.
+    A cluster's instances are dealt to ``pages`` documents by a hash of their key, whatever the
+    cluster's size; each is numbered from 0 and complete in itself.  State as many pages as keep a
+    document of the largest cluster in one task; pages without instances are left out.
     """
-    sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / per_document).alias("_pages"))
-    page = F.pmod(F.xxhash64(*KEY), F.col("_pages"))
+    page = F.pmod(F.xxhash64(*KEY), F.lit(pages))
     body = F.struct(*(F.col(f).alias(n) for f, n in JSON_NAMES.items()))
-    paged = df.join(sizes, group).select(group, page.alias("page"), body.alias("_body"))
+    paged = df.select(group, page.alias("page"), body.alias("_body"))
     in_page = F.sort_array(F.collect_list(F.struct("_body.availability_zone", "_body.id", "_body")))
     numbered = F.transform(
         F.col("_all"),

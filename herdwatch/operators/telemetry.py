@@ -244,12 +244,25 @@ COUNTER_METRICS = (
 )
 
 
+#: From this n on Spark no longer limits groups before the shuffle; PARTS of a key are ranked apart then.
+GROUP_LIMIT, PARTS = 1_000, 64
+
+
 def to_long_metrics(df: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
-    """One row per sample and metric: ``(*ids, metric, kind, value)`` with the value as DOUBLE."""
-    metrics = [c for c in df.columns if c not in ids]
-    doubles = df.select(*ids, *(F.col(m).cast("double").alias(m) for m in metrics))
-    kind = F.when(F.col("metric").isin(*COUNTER_METRICS), "COUNTER").otherwise("GAUGE")
-    return doubles.unpivot(list(ids), metrics, "metric", "value").select(*ids, "metric", kind.alias("kind"), "value")
+    """One row per sample and metric: ``(*ids, metric, kind, value, long_value)``.
+
+    ``value`` is a DOUBLE; ``long_value`` holds whole numbers exactly, which a DOUBLE does not beyond
+    2**53, and is NULL for metrics that are no whole numbers.
+    """
+    whole = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")}
+
+    def entry(m: str) -> Column:
+        exact = F.col(m).cast("bigint") if m in whole else F.lit(None).cast("bigint")
+        return F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), exact.alias("long_value"))
+
+    entries = F.explode(F.array(*(entry(c) for c in df.columns if c not in ids)))
+    kind = F.when(F.col("_m.metric").isin(*COUNTER_METRICS), "COUNTER").otherwise("GAUGE")
+    return df.select(*ids, entries.alias("_m")).select(*ids, "_m.metric", kind.alias("kind"), "_m.value", "_m.long_value")
 
 
 def latest_per_node(df: DataFrame, keys: Sequence[str] = ("node",), order: Sequence[str] = ("ts", "seq")) -> DataFrame:
@@ -262,8 +275,13 @@ def top_n_distinct(df: DataFrame, keys: Sequence[str], column: str, n: int) -> D
     """The n largest distinct values per key, with their rank.
 
     Distinct values are counted before ranking; tasks keep n candidates per key each, so only
-    these meet.
+    these meet.  Spark does that by itself for small n; for larger ones a key's values are first
+    ranked in parts, of which each keeps n.
     """
     distinct = df.filter(F.col(column).isNotNull()).select(*keys, column).distinct()
     largest = Window.partitionBy(*keys).orderBy(F.col(column).desc())
+    if n >= GROUP_LIMIT:
+        parts = Window.partitionBy(*keys, "_part").orderBy(F.col(column).desc())
+        split = distinct.withColumn("_part", F.pmod(F.xxhash64(column), F.lit(PARTS)))
+        distinct = split.withColumn("_rank", F.row_number().over(parts)).filter(F.col("_rank") <= n).select(*keys, column)
     return distinct.withColumn("rank", F.row_number().over(largest)).filter(F.col("rank") <= n)

@@ -16,16 +16,15 @@ def read_node_stats(spark: SparkSession, path: str | list[str], fmt: str = "parq
 
 
 def parse_node_stats(df: DataFrame, column: str) -> DataFrame:
-    """Samples from a column of JSON text; unknown fields are ignored, bad JSON is dropped.
+    """Samples from a column of JSON text, with ``error`` and, where it is set, the ``raw`` text.
 
-    Use ``bad_node_stats`` for the rows that this leaves out.
+    Unknown fields are ignored.  Text that is no sample (``bad json``) or has no node (``no node``)
+    gives a row as well, so that nothing vanishes; filter on ``error`` before using the samples.
     """
     parsed = F.from_json(F.col(column), NODE_STATS)
-    return df.select(parsed.alias("_s")).filter(F.col("_s.node").isNotNull()).select("_s.*")
-
-
-def bad_node_stats(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(F.from_json(F.col(column), NODE_STATS)["node"].isNull())
+    rows = df.select(F.col(column).alias("_raw"), parsed.alias("_s"), F.try_parse_json(column).isNull().alias("_broken"))
+    error = F.when(F.col("_broken"), "bad json").when(F.col("_s.node").isNull(), "no node")
+    return rows.select("_s.*", error.alias("error"), F.when(error.isNotNull(), F.col("_raw")).alias("raw"))
 
 
 def stream_node_stats(

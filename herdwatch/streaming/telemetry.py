@@ -59,7 +59,7 @@ def stream_latencies(
     """Deltas and interval latency as samples arrive (G2), with running percentiles.
 
     Writes the samples with the columns of ``operation_deltas``; for each operation in
-    ``percentile_of`` also ``<op>_<percentile>``.  Late samples go to ``<out>-late``.
+    ``percentile_of`` also ``<op>_<percentile>`` and ``<op>_overflowed``.  Late samples go to ``<out>-late``.
     """
     table = StateTable(f"{checkpoint}/state")
     counters = [c for c, _ in operations.values()]
@@ -73,7 +73,9 @@ def stream_latencies(
         fresh = marked.filter("NOT late").drop("late").withColumn("_seed", F.lit(False))
         if state is not None:
             # A key's state is written as one more sample, older than all new ones.
+            # Keys that did not report need none.
             seeds = state.select(*keys, *ORDER, *counters, *timers).withColumn("_seed", F.lit(True))
+            seeds = seeds.join(fresh.select(*keys).distinct(), list(keys), "left_semi")
             fresh = fresh.unionByName(seeds, allowMissingColumns=True)
         result = operation_deltas(fresh, operations, keys, keep_slices=bool(percentile_of))
         for op in percentile_of:
@@ -83,7 +85,8 @@ def stream_latencies(
             initial = None if state is None else state.select(*keys, F.col(f"hist_{op}").alias("counts"))
             named = {name: F.col(name) for name in percentiles}
             result = running_percentile(result, latency, keys, percentiles, ORDER, initial=initial)
-            result = result.withColumns({f"{op}_{n}": c for n, c in named.items()}).drop(*percentiles, "overflowed")
+            named["overflowed"] = F.col("overflowed")
+            result = result.withColumns({f"{op}_{n}": c for n, c in named.items()}).drop(*named)
         result = result.filter("NOT _seed").drop("_seed", "_slice", "_part")
         result.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         table.write(_next_state(spark.read.parquet(f"{out}/epoch={epoch}"), state), epoch)
@@ -119,20 +122,24 @@ def stream_latencies(
 def stream_process_signals(
     samples: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("node",), **trigger
 ) -> StreamingQuery:
-    """Down codes and up/down changes (G4): ``<out>-down`` and ``<out>-transitions``."""
+    """Down codes and up/down changes (G4): ``<out>-down``, ``<out>-transitions`` and ``<out>-late``."""
     table = StateTable(f"{checkpoint}/state")
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         state = table.read(spark, epoch)
         columns = [*keys, *ORDER, "up"]
-        fresh = mark_late(batch.select(*columns), state, keys, ORDER).filter("NOT late").drop("late")
+        marked = mark_late(batch.select(*columns), state, keys, ORDER)
+        marked.filter("late").drop("late").write.mode("overwrite").parquet(f"{out}-late/epoch={epoch}")
+        fresh = marked.filter("NOT late").drop("late")
+        here = fresh.select(*keys).distinct()
         fresh = fresh.withColumn("_seed", F.lit(False))
 
         def seeded(flag: str) -> DataFrame:
             if state is None:
                 return fresh
-            return fresh.unionByName(state.select(*keys, *ORDER, F.col(flag).alias("up"), F.lit(True).alias("_seed")))
+            seeds = state.select(*keys, *ORDER, F.col(flag).alias("up"), F.lit(True).alias("_seed"))
+            return fresh.unionByName(seeds.join(here, list(keys), "left_semi"))
 
         down = process_down(seeded("seen"), keys).filter("NOT _seed").drop("_seed")
         turned = transitions(seeded("last_up"), keys).filter("NOT _seed").drop("_seed")

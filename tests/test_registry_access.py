@@ -67,9 +67,9 @@ def test_listing_equals_the_expected_document(spark):
 
 def test_large_listings_are_split_and_come_back_whole(spark):
     df = spark.createDataFrame([instance(n) for n in range(500)] + [instance(n, app="small") for n in range(3)], ROW)
-    pages = registry.instances_to_json(df, per_document=40)
-    assert pages.filter("app = 'small'").count() == 1
-    assert pages.filter("app = 'c'").count() > 5
+    pages = registry.instances_to_json(df, pages=13)
+    assert pages.filter("app = 'small'").count() <= 3
+    assert pages.filter("app = 'c'").count() == 13
     back = registry.instances_from_json(pages.select("listing"), "listing")
     assert back.count() == 503
     assert back.select("app", "id").exceptAll(df.select("app", "id")).count() == 0

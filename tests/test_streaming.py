@@ -33,6 +33,20 @@ def test_stream_equals_the_replay_and_sets_late_rows_apart(spark, tmp_path):
     assert [r.seq for r in spark.read.parquet(f"{root}/out-late").collect()] == [10_000]
 
 
+def test_late_process_signals_are_set_apart(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "node string, ts timestamp, seq long, up boolean"
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        streams.stream_process_signals(spark.readStream.schema(schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/cp", **NOW).awaitTermination()
+
+    step([("a", START, 1, True), ("b", START, 2, True)])
+    step([("a", START + timedelta(minutes=1), 3, False), ("a", START - timedelta(minutes=1), 4, True)])
+    assert [r.seq for r in spark.read.parquet(f"{root}/out-late").collect()] == [4]
+    assert sorted((r.seq, r.transition) for r in spark.read.parquet(f"{root}/out-transitions").collect() if r.seq == 3) == [(3, "STOPPED")]
+
+
 def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
     table = StateTable(str(tmp_path / "state"))
     first = spark.createDataFrame([("a", 1)], "node string, v long")

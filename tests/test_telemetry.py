@@ -190,3 +190,25 @@ def test_long_metrics_kinds(spark):
     df = spark.createDataFrame(rows, "node string, ts timestamp, seq long, search_query_total long, open_files long")
     kinds = {r.metric: r.kind for r in telemetry.to_long_metrics(df).collect()}
     assert kinds == {"search_query_total": "COUNTER", "open_files": "GAUGE"}
+
+
+def test_long_metrics_keep_whole_numbers(spark):
+    df = spark.createDataFrame([("n", START, 1, 2**53 + 1, 0.5)], "node string, ts timestamp, seq long, open_files long, load double")
+    rows = {r.metric: (r.value, r.long_value) for r in telemetry.to_long_metrics(df).collect()}
+    assert rows == {"open_files": (float(2**53), 2**53 + 1), "load": (0.5, None)}
+
+
+def test_top_n_of_any_size(spark):
+    df = spark.createDataFrame([("a", i % 3000) for i in range(6000)], "node string, v long")
+    rows = telemetry.top_n_distinct(df, ["node"], "v", 1500).orderBy("rank").collect()
+    assert [r.v for r in rows] == list(range(2999, 1499, -1))
+
+
+@pytest.mark.parametrize("tie", [lambda i: 2**60 + i, lambda i: f"run-{i:05d}"])
+def test_one_instant_is_cut_by_any_tie_breaker(spark, tie):
+    kind = "long" if isinstance(tie(0), int) else "string"
+    df = spark.createDataFrame([("a", START, tie(i), i) for i in range(200)], f"node string, ts timestamp, seq {kind}, v long")
+    sizes = slices.with_slices(df, ["node"], max_rows=20).groupBy(*slices.slice_group(["node"])).count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 20
+    rows = slices.running_before(df, ["node"], {"s": ("sum", "v"), "l": ("last", "v")}, max_rows=20).collect()
+    assert all((r.l, r.s) == ((r.v - 1, r.v * (r.v - 1) // 2) if r.v else (None, None)) for r in rows)
