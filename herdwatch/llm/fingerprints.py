@@ -34,21 +34,23 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     n = F.size(u)
     units = F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0))
     df = df.withColumn(u, F.transform(F.coalesce(units, F.array().cast("array<string>")), lambda x: F.xxhash64(x)))
-    inner = F.transform(F.sequence(F.lit(1), n - s + 1), lambda i: F.xxhash64(F.slice(u, i, s)))
-    df = df.withColumn(m, F.when(n >= k, inner))
-
-    def at_edge(i: Column) -> Column:
-        least = F.array_min(F.slice(m, i, w))
-        return (F.element_at(m, i) == least) | (F.element_at(m, i + (w - 1)) == least)
-
-    starts = F.filter(F.sequence(F.lit(1), n - k + 1), at_edge)
-    syncmers = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(u, i, k)).alias("h"), (i - 1).alias("at")))
+    smers = F.col(u)
+    for shift in range(1, s):
+        smers = F.zip_with(F.slice(smers, 1, n - shift), F.slice(u, 1 + shift, n - shift), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn(m, F.when(n >= k, smers))
+    least, size = F.col(m), F.size(m)
+    for shift in range(1, w):
+        least = F.zip_with(F.slice(least, 1, size - shift), F.slice(m, 1 + shift, size - shift), lambda x, y: F.least(x, y))
+    df = df.withColumn(f"_l_{out}", least)
+    chosen = F.transform(f"_l_{out}", lambda x, i: F.when((F.get(m, i) == x) | (F.get(m, i + (w - 1)) == x), i))
+    starts = F.filter(chosen, lambda i: i.isNotNull())
+    syncmers = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(u, i + 1, k)).alias("h"), i.alias("at")))
     df = df.withColumn(out, F.when(n >= k, syncmers))
     single = F.transform(u, lambda x, i: F.struct(x.alias("h"), i.alias("at")))
     whole = F.when(F.length(text) > 0, F.array(F.struct(F.xxhash64(F.lit("text"), text).alias("h"), F.lit(0).alias("at"))))
     none = F.array().cast("array<struct<h:bigint,at:int>>")
     short = F.when(n > 0, single).otherwise(F.coalesce(whole, none))
-    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(short)).drop(u, m)
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(short)).drop(u, m, f"_l_{out}")
 
 
 def sketch(anchors: str, size: int = SIZE) -> Column:
