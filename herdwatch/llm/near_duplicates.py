@@ -38,18 +38,20 @@ PERMUTATIONS, BANDS = 64, 32
 SMALL = 24
 #: Equal values, of 128, below which a pair can't have a similarity of 0.8 (five standard deviations).
 LEAST_EQUAL = 80
-#: Sets of at most so many shingles go with the signature and are compared themselves.
-FEW = 48
+#: Each set has a bitmap of so many bits, turned over by each of its shingles.
+PARITY_BITS = 2048
 #: Shingle frequencies, which only order shingles, are counted in so many hash buckets; CHUNK of them are one row.
 FREQUENCIES, CHUNK = 1 << 17, 1 << 10
 COUNTS = "chunk int, counts binary"
 #: Bands whose buckets propose links to their first member.
 STAR_BANDS = 6
-#: At most so many ids are sent to all tasks to find their texts; more are joined.
-FEW_IDS = 200_000
+#: Pairs that one task confirms at least.
+PAIRS_A_TASK = 4_000
+#: At most so many classes (40 bytes each) are sent to all tasks to find their texts; more are joined.
+FEW_CLASSES = 400_000
 
-SIGNATURES = "doc_id bigint, n int, set_a bigint, set_b bigint, bands array<bigint>, few array<bigint>"
-SETS = "n int, set_a bigint, set_b bigint, shingles binary"
+SIGNATURES = "doc_id bigint, n int, set_a bigint, set_b bigint, bands array<bigint>, parity array<bigint>"
+SETS = "c bigint, s binary"
 
 
 def _document_sets(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -95,10 +97,12 @@ def _signatures(k: int):
                 lanes = (mix(lanes) & np.uint64(0xFFFF)).reshape(len(sets), BANDS, 4)
                 bands = lanes[..., 0] | lanes[..., 1] << np.uint64(16) | lanes[..., 2] << np.uint64(32) | lanes[..., 3] << np.uint64(48)
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-                few = pa.array([x.view(np.int64) if len(x) <= FEW else None for x in sets], pa.list_(pa.int64()))
+                words_ = PARITY_BITS // 64
+                parity = np.array([np.packbits(np.bincount((x % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64) for x in sets]).reshape(-1)
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words_), pa.array(parity.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], *_identity(sets), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())), few],
-                    names=["doc_id", "n", "set_a", "set_b", "bands", "few"],
+                    [part["doc_id"], *_identity(sets), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())), parity],
+                    names=["doc_id", "n", "set_a", "set_b", "bands", "parity"],
                 )
 
     return run
@@ -109,7 +113,9 @@ def _full_sets(k: int):
         for batch in batches:
             for part in parts(batch, "text"):
                 sets, _, _ = _document_sets(part, k)
-                yield pa.RecordBatch.from_arrays([*_identity(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "set_a", "set_b", "shingles"])
+                same = [np.asarray(mine) == np.asarray(part[name]) for mine, name in zip(_identity(sets), ("n", "set_a", "set_b"), strict=True)]
+                found = pa.RecordBatch.from_arrays([part["c"], pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
+                yield found.filter(pa.array(np.all(same, axis=0)))
 
     return run
 
@@ -188,70 +194,72 @@ class _Search:
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int):
         self.docs, self.nodes, self.k, self.percent = docs, nodes, k, percent
 
-    def sets_of(self, classes: DataFrame) -> DataFrame:
-        """(c, s): the full shingle sets of the given classes (c), sorted."""
-        used = self.nodes.select("c", "n", "set_a", "set_b", "min_id").join(classes, "c")
-        # One text per class is read again; which of its rows gives it does not matter.
-        ids = store.keep(used.select(F.col("min_id").alias("_id")).distinct(), "ids")
-        ids = F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
-        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
-        sets = texts.mapInArrow(_full_sets(self.k), SETS)
-        sets = sets.join(used.select("c", "n", "set_a", "set_b"), ["n", "set_a", "set_b"]).groupBy("c").agg(F.first("shingles").alias("s"))
-        return store.keep(sets, "sets")
+    def sets_of(self, classes: DataFrame, few: bool) -> DataFrame:
+        """(c, s): the full shingle sets of the given classes (c), sorted; ``few`` of them are sent to all tasks."""
+        used = self.nodes.join(classes, "c").select("c", "n", "set_a", "set_b", F.col("min_id").alias("_id"))
+        used = F.broadcast(used) if few else used
+        # One text per class is read again.  Its id may have other texts too: their sets are other ones.
+        texts = self.docs.join(used, self.docs["doc_id"].eqNullSafe(used["_id"])).select("c", "n", "set_a", "set_b", "text")
+        return store.keep(texts.mapInArrow(_full_sets(self.k), SETS).groupBy("c").agg(F.first("s").alias("s")), "sets")
 
     def confirmed(self, likely: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) of classes whose full sets are similar enough."""
-        if not _any_rows(likely):
+        pairs = likely.count()
+        if not pairs:
             return likely
         if sets is None:
-            sets = self.sets_of(likely.select(F.col("a").alias("c")).unionAll(likely.select(F.col("b").alias("c"))).distinct())
+            classes = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+            sets = self.sets_of(classes, 2 * pairs <= FEW_CLASSES)
         both = likely.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
-        return store.keep(both.select("a", "b", "x", "y").mapInArrow(_similar(self.percent), "a bigint, b bigint"), "confirmed")
+        # A task is worth its start from some thousand pairs on.
+        both = both.select("a", "b", "x", "y").coalesce(max(1, pairs // PAIRS_A_TASK))
+        return store.keep(both.mapInArrow(_similar(self.percent), "a bigint, b bigint"), "confirmed")
 
-    def _prefix_labels(self, classes: DataFrame, links: DataFrame) -> DataFrame:
-        """(node, label) after adding all links between the given classes (c) to ``links``.
+    def _prefix_links(self, classes: DataFrame, links: DataFrame) -> DataFrame:
+        """``links`` with all links between the given classes (c) that could still join components.
 
         Prefix filtering (Xiao et al., 2008): with shingles in one order, rare ones first, two sets
         that are similar enough have a common shingle among the first few of both, and there as many
         shingles follow as they must share.  Classes first meet the first and the last class of each of
         their shingles; what this does not join meets across components.
         """
-        sets = self.sets_of(classes)
+        sets = self.sets_of(classes, classes.count() <= FEW_CLASSES)
         often = sets.select("s").mapInArrow(_counted, COUNTS).repartition("chunk").mapInArrow(_summed, COUNTS).collect()
         counts = np.zeros(FREQUENCIES, np.int64)
         for row in often:
             counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(bytes(row.counts), np.int64)
         sent = self.docs.sparkSession.sparkContext.broadcast(counts)
         prefix = store.keep(sets.mapInArrow(_prefixes(sent, self.percent), "token bigint, c bigint, n int, i int"), "prefix")
-        sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
+        prefix = prefix.join(self.nodes.select("c", "parity"), "c")
         follow = 1 + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
-        able = sizes & (follow * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent)
+        able = (follow * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent) & self._able()
 
         def side(rows: DataFrame, name: str) -> DataFrame:
             return rows.select("token", *(F.col(x).alias(f"{x}_{name}") for x in rows.columns if x != "token"))
 
-        ends = prefix.groupBy("token").agg(F.min(F.struct("c", "n", "i")).alias("x"), F.max(F.struct("c", "n", "i")).alias("y"))
+        ends = prefix.groupBy("token").agg(F.min(F.struct("c", "n", "i", "parity")).alias("x"), F.max(F.struct("c", "n", "i", "parity")).alias("y"))
         lead = ends.select("token", F.explode(F.array("x", "y")).alias("x")).select("token", "x.*")
         met = side(lead, "a").join(side(prefix, "b"), "token").filter(able & (F.col("c_a") != F.col("c_b")))
         pairs = met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
         links = links.unionAll(self.confirmed(store.keep(pairs, "likely"), sets))
-        names = components(links)
-        named = prefix.join(names.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        met = side(named, "a").join(side(named, "b"), "token").filter(able & (F.col("label_a") < F.col("label_b")))
+        named = prefix.join(self._near_labels(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        met = side(named, "a").join(side(named, "b"), "token").filter((F.col("label_a") < F.col("label_b")) & able)
         pairs = met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
-        more = self.confirmed(store.keep(pairs, "likely"), sets)
-        return components(links.unionAll(more)) if _any_rows(more) else names
+        return links.unionAll(self.confirmed(store.keep(pairs, "likely"), sets))
 
     def _side(self, name: str) -> DataFrame:
-        return self.nodes.select(F.col("c").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("n", "bands", "few")))
+        return self.nodes.select(F.col("c").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("n", "bands", "parity")))
 
-    def _likely(self) -> Column:
-        """Whether sizes and signatures of sides a and b allow the similarity asked for; small sets are compared themselves."""
+    def _able(self) -> Column:
+        """Whether sizes and bitmaps of sides a and b allow the similarity asked for; exact, as bits that
+        differ are no more than shingles that differ (Sandes et al., 2020)."""
         sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
-        both = F.size(F.array_intersect("few_a", "few_b"))
-        exact = both * 100 >= (F.col("n_a") + F.col("n_b") - both) * self.percent
-        signature = _equal_values(F.col("bands_a"), F.col("bands_b")) >= int(LEAST_EQUAL * self.percent / 80)
-        return sizes & F.when(F.col("few_a").isNotNull() & F.col("few_b").isNotNull(), exact).otherwise(signature)
+        differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return sizes & (differ * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent))
+
+    def _likely(self) -> Column:
+        """``_able``, and the signatures are like enough too."""
+        return self._able() & (_equal_values(F.col("bands_a"), F.col("bands_b")) >= int(LEAST_EQUAL * self.percent / 80))
 
     def labels(self) -> DataFrame:
         """(node, label): classes that are linked, and the first class of their component."""
@@ -269,27 +277,25 @@ class _Search:
         ).filter("labels > 1").select("key", F.col("top.label").alias("top"), (F.col("size") - F.col("top.m")).alias("others"))
         open_rows = store.keep(labelled.join(mixed, "key"), "open")
         # Members outside a small bucket's largest component meet all others.
-        listed = open_rows.filter(F.col("others") <= SMALL).join(self.nodes.select("c", "n", "bands", "few"), "c")
-        sides = {s: listed.select("key", "top", F.col("c").alias(s), F.col("label").alias(f"l_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in ("n", "bands", "few"))) for s in "ab"}
+        listed = open_rows.filter(F.col("others") <= SMALL).join(self.nodes.select("c", "n", "bands", "parity"), "c")
+        sides = {s: listed.select("key", "top", F.col("c").alias(s), F.col("label").alias(f"l_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in ("n", "bands", "parity"))) for s in "ab"}
         one, two = sides["a"].filter("l_a <> top").drop("top"), sides["b"]
         apart = (F.col("l_a") < F.col("l_b")) | ((F.col("l_b") == F.col("top")) & (F.col("l_a") != F.col("l_b")))
         met = one.join(two, (one["key"] == two["key"]) & apart & self._likely())
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.unionAll(self.confirmed(store.keep(pairs, "likely")))
         large = store.keep(open_rows.filter(F.col("others") > SMALL).select("c").distinct(), "large")
-        return self._prefix_labels(large, links) if _any_rows(large) else components(links)
+        return components(self._prefix_links(large, links) if _any_rows(large) else links)
 
     @staticmethod
     def _near_labels(links: DataFrame) -> DataFrame:
         """(c, label): a class of the same component, nearly always the same one for all of it.
 
-        The first linked class, and the first one linked to that, and once more.
+        The first linked class, or the first one linked to that.
         """
         names = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("label"))
-        for _ in range(2):
-            onward = names.select(F.col("c").alias("label"), F.col("label").alias("further"))
-            names = names.join(onward, "label", "left").select("c", F.coalesce("further", "label").alias("label"))
-        return names
+        onward = names.select(F.col("c").alias("label"), F.col("label").alias("further"))
+        return names.join(onward, "label", "left").select("c", F.coalesce("further", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,7 +304,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     plain = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     rows = store.keep(plain.mapInArrow(_signatures(k), SIGNATURES), "signatures")
     identity = ["n", "set_a", "set_b"]
-    nodes = rows.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"), F.first("few").alias("few"))
+    nodes = rows.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
     nodes = store.keep(nodes.withColumn("c", F.monotonically_increasing_id()), "classes")
     names = _Search(plain, nodes, k, percent).labels()
     placed = nodes.select(*identity, "c", "min_id").join(names.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -316,11 +322,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = near_duplicates(docs, k, percent)
     copies = found.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    marked = docs.join(copies, docs["doc_id"].cast("bigint").eqNullSafe(copies["_id"]))
-    single = marked.filter("_rows = 1").select(*docs.columns)
+    whole = docs.select(docs["doc_id"].cast("bigint").alias("_of"), F.xxhash64(docs["text"]).alias("_text"), F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
+    marked = whole.join(copies, whole["_of"].eqNullSafe(copies["_id"]))
+    single = marked.filter("_rows = 1").select("_doc.*")
     # Repeated ids are few: only their rows are compared.
-    several = marked.filter("_rows > 1").select(*docs.columns)
-    return single.unionAll(several.dropDuplicates(["doc_id", "text"]))
+    several = marked.filter("_rows > 1").dropDuplicates(["_of", "_text"]).select("_doc.*")
+    return single.unionAll(several)
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
