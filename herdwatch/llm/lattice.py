@@ -52,11 +52,16 @@ class Vocabulary:
                     step[states[piece[: n - 1]] * self.width + int(self.char[ord(piece[n - 1])])] = states[piece[:n]]
             if piece:
                 ends[states[piece]] = i
-        self.step = np.array(sorted(step), np.int64)
-        self.next = np.array([step[k] for k in sorted(step)], np.int64)
+        size = np.int32 if len(states) * self.width < 2**31 else np.int64
+        self.step = np.array(sorted(step), size)
+        self.next = np.array([step[k] for k in sorted(step)], size)
         self.ends = np.full(len(states), -1)
         self.ends[list(ends)] = list(ends.values())
         self.longest = max(len(p or "") for p in self.pieces)
+        # States after one character: the first steps of most walks, in a table of their own.
+        self.start = np.zeros(self.width, size)
+        first = self.step < self.width
+        self.start[self.step[first]] = self.next[first]
         self.inner = np.zeros((self.width, self.width), bool)
         for p in self.pieces:
             if p and len(p) > 1:
@@ -106,28 +111,30 @@ class Lattice:
         n = int(self.size.sum())
         owner = np.repeat(np.arange(self.count), self.size)
         at = np.arange(n) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        ids = vocabulary.char[points[np.repeat(start, self.size) + at]]
         self.letter = points[np.repeat(start, self.size) + at]
-        live, state, found = np.arange(n), np.zeros(n, np.int64), []
+        ids = vocabulary.char[self.letter]
+        left = self.size[owner] - at
+        live, state, found = np.arange(n), vocabulary.start[ids], []
+        width = vocabulary.step.dtype.type(vocabulary.width)
+        missing = np.flatnonzero(vocabulary.ends[state] < 0)
+        found.append((missing, np.ones(len(missing), np.int64), np.full(len(missing), len(vocabulary.pieces))))
+        live, state = live[state > 0], state[state > 0]
         for length in range(1, vocabulary.longest + 1):
-            key = state * vocabulary.width + ids[live + length - 1]
-            where = np.minimum(np.searchsorted(vocabulary.step, key), len(vocabulary.step) - 1)
-            ok = vocabulary.step[where] == key
-            if length == 1:
-                single = np.where(ok, vocabulary.ends[vocabulary.next[where]], -1)
-                missing = live[single < 0]
-                found.append((missing, np.ones(len(missing), np.int64), np.full(len(missing), len(vocabulary.pieces))))
-            live, state = live[ok], vocabulary.next[where[ok]]
+            if length > 1:
+                key = state * width + ids[live + (length - 1)]
+                where = np.minimum(np.searchsorted(vocabulary.step, key), len(vocabulary.step) - 1)
+                ok = vocabulary.step[where] == key
+                live, state = live[ok], vocabulary.next[where[ok]]
             piece = vocabulary.ends[state]
             has = piece >= 0
             found.append((live[has], np.full(int(has.sum()), length), piece[has]))
-            more = at[live] + length < self.size[owner[live]]
+            more = left[live] > length
             live, state = live[more], state[more]
             if not len(live):
                 break
         begin, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         self.to = self.offset[at[begin] + length] + owner[begin]
-        order = np.argsort(self.to, kind="stable")
+        order = np.argsort(self.to * (vocabulary.longest + 1) + length)  # all keys differ
         begin = begin[order]
         self.to, self.piece = self.to[order], piece[order]
         self.source = self.offset[at[begin]] + owner[begin]
