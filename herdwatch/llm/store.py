@@ -24,7 +24,3 @@ def bounded_batches(spark: SparkSession, megabytes: int = 16, rows: int = 4_000)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input can't clash with working names."""
-    return df.select(*(df[n] for n in names))

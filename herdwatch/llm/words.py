@@ -93,7 +93,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     longest = int((ends - starts).max())
     powers = _POWERS
     while len(powers) < longest:
-        powers = np.concatenate([powers, powers * (powers[-1] * np.uint64(_BASE))])
+        powers = np.concatenate([powers, powers * (powers[-1:] * np.array([_BASE], np.uint64))])
     # Bytes between words may lie further from a word's start than the powers go; they cancel out.
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers[np.minimum(at, len(powers) - 1)], out=total[1:])
