@@ -52,6 +52,7 @@ def _requests(spark, sf_dir):
         F.when(k % 5 == 0, F.concat(F.lit("10.1.2."), (k % 300).cast("string")))
         .when(k % 5 == 1, F.lit("10.01.2.3"))
         .when(k % 5 == 2, F.concat(F.lit("host"), k.cast("string")))
+        .when(k % 5 == 3, F.concat(F.lit("2001:db8::"), (k % 1000).cast("string")))
         .otherwise(F.concat(F.lit("192.168.7."), (k % 256).cast("string")))
     )
     return table(spark, sf_dir, "customer").select(
@@ -122,11 +123,11 @@ def entries() -> list[Entry]:
         Entry(
             "normalize_cidr",
             lambda s, d: access.normalize_cidr(_requests(s, d)),
-            "select * exclude (ok), case when ok then ip || '/' || case when mask is null or (action = 'add' and mask < 8) then 32 else mask end end as cidr, "
+            "select * exclude (ok), case when ok then ip || '/' || case when mask is null or (action = 'add' and mask < 8) then case when c_custkey % 5 = 3 then 128 else 32 end else mask end end as cidr, "
             "case when not ok then 'invalid address' end as error from ("
             "select *, case when c_custkey % 5 = 0 then c_custkey % 300 < 256 when c_custkey % 5 in (1, 2) then false else true end as ok from ("
             "select c_custkey, case when c_custkey % 5 = 0 then '10.1.2.' || c_custkey % 300 when c_custkey % 5 = 1 then '10.01.2.3' "
-            "when c_custkey % 5 = 2 then 'host' || c_custkey else '192.168.7.' || c_custkey % 256 end as ip, "
+            "when c_custkey % 5 = 2 then 'host' || c_custkey when c_custkey % 5 = 3 then '2001:db8::' || c_custkey % 1000 else '192.168.7.' || c_custkey % 256 end as ip, "
             "cast(case when c_custkey % 4 <> 0 then c_custkey % 33 end as int) as mask, case when c_custkey % 2 = 0 then 'add' else 'remove' end as action from customer) as a) as b",
         ),
         Entry(

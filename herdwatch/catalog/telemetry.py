@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from herdwatch.catalog import views
 from herdwatch.catalog.base import Entry, on_spark, with_views
-from herdwatch.functions.buckets import BOUNDS, OVERFLOW, hist_label, to_bucket
+from herdwatch.functions.buckets import OVERFLOW, hist_label, to_bucket
 from herdwatch.operators import counters, health, histogram, telemetry
 from herdwatch.plans.slices import DAY
 from herdwatch.sources.node_stats import parse_node_stats
@@ -158,7 +158,11 @@ def _deltas_sql(ops: dict[str, tuple[str, str]]) -> str:
     return f"select *, {latency} from (select *, {deltas} from samples) as d"
 
 
-BOUND_LIST = "[" + ",".join(map(str, BOUNDS)) + "]"
+# Made in SQL, so that a wrong bound in the library shows.
+BOUND_LIST = (
+    "(with recursive steps(i, b) as (select 1, cast(1 as bigint) union all "
+    "select i + 1, greatest(b + 1, cast(floor(b * cast(1.2 as double) + 0.5) as bigint)) from steps where i < 90) select list(b order by i) from steps)"
+)
 
 
 def _bound_sql(value: str) -> str:

@@ -82,6 +82,16 @@ def is_ipv4(ip: Column) -> Column:
     return F.coalesce(ip.rlike(IPV4), F.lit(False))
 
 
+def is_ipv6(ip: Column) -> Column:
+    """Eight groups of up to four hex digits, one run of zero groups written as ``::``; the last two
+    groups may be an IPv4 address."""
+    group = "[0-9A-Fa-f]{1,4}"
+    plain = F.regexp_replace(ip, rf":{_OCTET}(\.{_OCTET}){{3}}$", ":0:0")
+    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+    short = plain.rlike(rf"^({group}(:{group})*)?::({group}(:{group})*)?$") & (groups <= 7)
+    return F.coalesce(plain.rlike(rf"^{group}(:{group}){{7}}$") | short, F.lit(False))
+
+
 def wildcard_rule(word: str) -> str:
     """A name with ``*`` wildcards as an anchored regular expression."""
     quoted = "".join(".*" if c == "*" else c if c.isalnum() or c == "_" else "\\" + c for c in word)

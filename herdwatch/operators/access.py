@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from herdwatch.functions.text import is_ipv4, single_address
+from herdwatch.functions.text import is_ipv4, is_ipv6, single_address
 
 TRIBE_PREFIX = "es_tribe_"
 
@@ -103,11 +103,12 @@ def tribe_acl_plan(instances: DataFrame, rules: DataFrame, cluster_ports: Mappin
 def normalize_cidr(df: DataFrame, ip: str = "ip", mask: str = "mask", action: str = "action") -> DataFrame:
     """Requests with a ``cidr``; a bad address gives none, but an ``error``.
 
-    A missing mask means a single address; so does, when adding, one wider than /8.
+    Addresses of both families are good.  A missing mask means a single address; so does, when
+    adding, one wider than /8.
     """
     wide = F.col(mask).isNull() | ((F.col(action) == "add") & (F.col(mask) < 8))
-    used = F.when(wide, 32).otherwise(F.col(mask))
-    good = is_ipv4(F.col(ip))
+    used = F.when(wide, F.when(is_ipv6(F.col(ip)), 128).otherwise(32)).otherwise(F.col(mask))
+    good = is_ipv4(F.col(ip)) | is_ipv6(F.col(ip))
     return df.withColumns(
         {
             "cidr": F.when(good, F.concat_ws("/", F.col(ip), used.cast("string"))),

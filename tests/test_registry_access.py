@@ -157,6 +157,15 @@ def test_tribe_plan(spark):
         ("10.0.0.256", 24, "add", None),
         ("10.0.0", 24, "add", None),
         (None, 24, "add", None),
+        ("2001:db8::1", None, "add", "2001:db8::1/128"),
+        ("fe80:0:0:0:1:2:3:4", 64, "add", "fe80:0:0:0:1:2:3:4/64"),
+        ("::", 16, "remove", "::/16"),
+        ("::ffff:10.0.0.1", None, "add", "::ffff:10.0.0.1/128"),
+        ("1:2:3:4:5:6:7", None, "add", None),
+        ("1::2::3", None, "add", None),
+        ("1:2:3:4:5:6:7::8", None, "add", None),
+        ("12345::", None, "add", None),
+        ("::g", None, "add", None),
     ],
 )
 def test_requests(spark, ip, mask, action, cidr):
