@@ -19,7 +19,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 16, rows: int = 4_000) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 4, rows: int = 2_000) -> None:
     """Bound what one Arrow batch between the JVM and Python can hold, for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

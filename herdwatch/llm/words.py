@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 
 SPACE = 32
 #: Bytes of text that are worked on at once; a longer single text is a part of its own.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 def _table(is_separator) -> np.ndarray:
