@@ -80,6 +80,12 @@ def _identity(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
     return (pa.array(np.array([len(s) for s in sets], np.int32)), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums))
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """The set's bitmap: bit i is the parity of the number of shingles that hash to it."""
+    bits = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(k: int):
     factors = keys(PERMUTATIONS, 7) | np.uint64(1)
 
@@ -97,9 +103,8 @@ def _signatures(k: int):
                 lanes = (mix(lanes) & np.uint64(0xFFFF)).reshape(len(sets), BANDS, 4)
                 bands = lanes[..., 0] | lanes[..., 1] << np.uint64(16) | lanes[..., 2] << np.uint64(32) | lanes[..., 3] << np.uint64(48)
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-                words_ = PARITY_BITS // 64
-                parity = np.array([np.packbits(np.bincount((x % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64) for x in sets]).reshape(-1)
-                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words_), pa.array(parity.astype(np.int64)))
+                parity = np.concatenate([_parity(x) for x in sets])
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(parity))
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], *_identity(sets), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())), parity],
                     names=["doc_id", "n", "set_a", "set_b", "bands", "parity"],
@@ -170,7 +175,8 @@ def _prefixes(sent, percent: int):
                 first = size - -(-size * percent // 100) + 1
                 token = shingles[np.argsort(sent.value[_bucket(shingles)], kind="stable")[:first]].view(np.int64)
                 whole = [np.full(first, c), np.full(first, size, np.int32), np.arange(first, dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(token), *map(pa.array, whole)], names=["token", "c", "n", "i"])
+                bitmap = pa.ListArray.from_arrays(pa.array(np.arange(first + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(np.tile(_parity(shingles), first)))
+                yield pa.RecordBatch.from_arrays([pa.array(token), *map(pa.array, whole), bitmap], names=["token", "c", "n", "i", "parity"])
 
     return run
 
@@ -215,8 +221,8 @@ class _Search:
         both = both.select("a", "b", "x", "y").coalesce(max(1, pairs // PAIRS_A_TASK))
         return store.keep(both.mapInArrow(_similar(self.percent), "a bigint, b bigint"), "confirmed")
 
-    def _prefix_links(self, classes: DataFrame, links: DataFrame) -> DataFrame:
-        """``links`` with all links between the given classes (c) that could still join components.
+    def _prefix_labels(self, classes: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, label) after adding to ``links`` all that could still join components of the given classes (c).
 
         Prefix filtering (Xiao et al., 2008): with shingles in one order, rare ones first, two sets
         that are similar enough have a common shingle among the first few of both, and there as many
@@ -229,8 +235,7 @@ class _Search:
         for row in often:
             counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(bytes(row.counts), np.int64)
         sent = self.docs.sparkSession.sparkContext.broadcast(counts)
-        prefix = store.keep(sets.mapInArrow(_prefixes(sent, self.percent), "token bigint, c bigint, n int, i int"), "prefix")
-        prefix = prefix.join(self.nodes.select("c", "parity"), "c")
+        prefix = store.keep(sets.mapInArrow(_prefixes(sent, self.percent), "token bigint, c bigint, n int, i int, parity array<bigint>"), "prefix")
         follow = 1 + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
         able = (follow * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent) & self._able()
 
@@ -242,10 +247,12 @@ class _Search:
         met = side(lead, "a").join(side(prefix, "b"), "token").filter(able & (F.col("c_a") != F.col("c_b")))
         pairs = met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
         links = links.unionAll(self.confirmed(store.keep(pairs, "likely"), sets))
-        named = prefix.join(self._near_labels(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        names = components(links)
+        named = prefix.join(names.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
         met = side(named, "a").join(side(named, "b"), "token").filter((F.col("label_a") < F.col("label_b")) & able)
         pairs = met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
-        return links.unionAll(self.confirmed(store.keep(pairs, "likely"), sets))
+        more = self.confirmed(store.keep(pairs, "likely"), sets)
+        return components(links.unionAll(more)) if _any_rows(more) else names
 
     def _side(self, name: str) -> DataFrame:
         return self.nodes.select(F.col("c").alias(name), *(F.col(x).alias(f"{x}_{name}") for x in ("n", "bands", "parity")))
@@ -285,7 +292,7 @@ class _Search:
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.unionAll(self.confirmed(store.keep(pairs, "likely")))
         large = store.keep(open_rows.filter(F.col("others") > SMALL).select("c").distinct(), "large")
-        return components(self._prefix_links(large, links) if _any_rows(large) else links)
+        return self._prefix_labels(large, links) if _any_rows(large) else components(links)
 
     @staticmethod
     def _near_labels(links: DataFrame) -> DataFrame:
