@@ -8,7 +8,7 @@ node fixes one segmentation, drawn from the lattice by its forward masses, and s
 step, the sets that leave it there.  The first k segmentations popped are the k largest of all
 perturbed ones, hence a sample without replacement.  The next priority is the threshold: a
 segmentation of log probability s was included with probability 1 - exp(-exp(s - threshold)).
-All noise is a hash of the seed and the row's key.
+All noise is a hash of the seed and the row's key.  Inclusions below the smallest number are 0.
 
 Log probabilities are the model's scores, or Zipf log probabilities of merge ranks, times
 ``theta``, normalised over the lattice.  The steps of a text are its chunks from left to right,
@@ -58,10 +58,14 @@ class _Search:
         priority.  As many sets are kept as can still be popped, and one more.
         """
         lattice, sizes = self.lattice, np.diff(cuts)
-        running = np.append(0, np.cumsum(lattice.share[edges]))
         row = np.repeat(np.arange(len(texts)), sizes)
         step = np.arange(len(edges)) - np.repeat(cuts[:-1], sizes)
-        before = running[:-1] - running[cuts[:-1]][row]
+        # Sums are taken text by text, so that they do not depend on the texts around.
+        share, before, scores = lattice.share[edges], np.zeros(len(edges)), []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            total = np.cumsum(share[a:b])
+            before[a + 1 : b] = total[:-1]
+            scores.append(float(total[-1]))
         mass = np.where(step >= start[row], before + lattice.rest[edges], -np.inf)
         for i, edges_out in enumerate(out):
             if len(edges_out) > 1:
@@ -72,11 +76,11 @@ class _Search:
         number = len(self.found[texts[0]])
         exponential = -np.log(uniforms(self.key[texts][row], number + 1000, step, 7))
         priority = mass - np.log(np.exp(mass - bound[row]) + exponential)
-        scores, most = running[cuts[1:]] - running[cuts[:-1]], self.k - number
+        most = self.k - number
         for i, t in enumerate(texts):
             a, b = cuts[i], cuts[i + 1]
             self.found[t].append(edges[a:b])
-            self.score[t].append(float(scores[i]))
+            self.score[t].append(scores[i])
             here = priority[a:b]
             steps = np.argpartition(-here, most - 1)[:most] if b - a > most else np.arange(b - a)
             for s in steps[here[steps] > -np.inf]:

@@ -130,8 +130,9 @@ class Automaton:
 _ADDRESS = np.sort(hashes(np.frombuffer(" ".join(ADDRESS).encode(), np.uint8), *spans(ALNUM[np.frombuffer(" ".join(ADDRESS).encode(), np.uint8)], np.array([0, len(" ".join(ADDRESS).encode())]))[:2]))
 #: Counts are capped here: more finds of a kind than this say nothing new.
 CAPS = (3, 2, 2, 2, 2, 3)
-#: Weights before anything is learned, and how strongly they hold: labelled samples hardly have misspellings.
-PRIOR, HOLD = (4.0, 3.5, 2.0, 0.0, 0.5, 0.0), 1.0
+#: Weights before anything is learned, and how strongly they hold.  Labelled samples hardly have misspellings,
+#: so a find with edits counts as a find, less a little unless good documents show more of them.
+PRIOR, HOLD = (4.0, -0.5, -1.5, 0.0, 0.5, 0.0), 1.0
 
 
 def _quoted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -151,8 +152,8 @@ def _quoted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def features(automaton: Automaton, harmless: np.ndarray, column: pa.Array) -> np.ndarray:
-    """Per text: exact finds, finds with one and with two edits, quoted finds, addressed finds (all
-    capped), and the size of the text."""
+    """Per text: all finds, those with one and with two edits, quoted finds, addressed finds (all
+    capped), and the size of the text.  Quoted finds are only counted as such."""
     raw, offsets = text_bytes(column)
     data = ALNUM[raw]
     starts, ends, first = spans(data, offsets)
@@ -172,7 +173,7 @@ def features(automaton: Automaton, harmless: np.ndarray, column: pa.Array) -> np
             address = np.isin(_hash_at(data, starts[at], ends[at]), _ADDRESS)
             near[np.flatnonzero(inside)[address]] = True
         said = edits[hit].astype(np.int64)
-        for column_, chosen in enumerate([(said == 0) & ~quoted, (said == 1) & ~quoted, (said == 2) & ~quoted, quoted, near & ~quoted]):
+        for column_, chosen in enumerate([~quoted, (said == 1) & ~quoted, (said == 2) & ~quoted, quoted, near & ~quoted]):
             out[:, column_] = np.bincount(row[hit[chosen]], minlength=len(out))
     out[:, 5] = np.log10(np.maximum(np.diff(first), 1)).astype(np.int64)
     return np.minimum(out, CAPS)
