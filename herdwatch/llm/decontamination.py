@@ -317,8 +317,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_bad_id"]), "left_anti")
+    rows = store.numbered(docs, "rows")
+    found = contamination(rows.select(F.col("_rid").alias("doc_id"), F.col("_doc.text").alias("text")), benchmark)
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("_rid"))
+    return rows.join(bad, "_rid", "left_anti").select("_doc.*")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

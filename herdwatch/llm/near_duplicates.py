@@ -323,18 +323,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all its columns: that of the smallest id.
+    """One row of each component, with all its columns: that of the smallest id, null ids being last.
 
-    Of rows that share that id, text and all, one stays; documents without words all stay.
+    Of rows that share that id one stays; documents without words all stay.
     """
-    found = near_duplicates(docs, k, percent)
-    copies = found.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    whole = docs.select(docs["doc_id"].cast("bigint").alias("_of"), F.xxhash64(docs["text"]).alias("_text"), F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
-    marked = whole.join(copies, whole["_of"].eqNullSafe(copies["_id"]))
-    single = marked.filter("_rows = 1").select("_doc.*")
-    # Repeated ids are few: only their rows are compared.
-    several = marked.filter("_rows > 1").dropDuplicates(["_of", "_text"]).select("_doc.*")
-    return single.unionAll(several)
+    rows = store.numbered(docs, "rows")
+    found = near_duplicates(rows.select("_rid", F.col("_doc.text").alias("text")), k, percent, "_rid")
+    ids = rows.select("_rid", F.col("_doc.doc_id").cast("bigint").alias("_id"))
+    placed = found.select(F.col("doc_id").alias("_rid"), "component_id").join(ids, "_rid")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("unknown"), "_id", "_rid")).alias("f"))
+    return rows.join(first.select(F.col("f._rid").alias("_rid")), "_rid", "left_semi").select("_doc.*")
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from herdwatch.session import shared_dir
 
@@ -19,6 +20,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(_rid, _doc): every row as a struct with a number of its own, written out so that the numbers stay.
+
+    Ids may be null or repeated; what is decided about a row is joined back by its number.
+    """
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("_doc")
+    return keep(docs.select(F.monotonically_increasing_id().alias("_rid"), whole), name)
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 4, rows: int = 2_000) -> None:
     """Bound what one Arrow batch between the JVM and Python can hold, for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")

@@ -73,6 +73,14 @@ def test_decontamination_of_awkward_tables(spark):
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    bad = prose(random.Random(4), "en", 20)
+    bench = spark.createDataFrame([(0, bad)], "item_id bigint, text string")
+    docs = plain(spark, [bad, "clean one", "clean one", None, bad, "clean two"], [None, None, None, None, 7, 7])
+    kept = [(r.doc_id, r.text) for r in decontamination.remove_contaminated(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "clean one"), (None, "clean one"), (None, None), (7, "clean two")], key=str)
+
+
 # Near-duplicates
 
 
@@ -136,6 +144,18 @@ def test_near_duplicates_of_awkward_tables(spark):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_a_component_stays_whatever_its_id(spark):
+    rng = random.Random(6)
+    one, two, three = (prose(rng, "en", 60) for _ in range(3))
+    texts = [one, one + " more", two, two, one, three, three + " more", "", "", None]
+    docs = plain(spark, texts, [None, None, None, None, 9, 4, 4, None, None, None])
+    kept = [(r.doc_id, r.text) for r in near_duplicates.keep_one(docs).collect()]
+    assert sorted(i for i, t in kept if t and t.startswith(one)) == [9]
+    assert [i for i, t in kept if t == two] == [None]
+    assert [i for i, t in kept if t and t.startswith(three)] == [4]
+    assert len(kept) == 6 and sum(not t for _, t in kept) == 3
+
+
 # Personal data
 
 KINDS = ("email", "ip", "card", "phone")
