@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
 Seeds are what the four base patterns find and validate: e-mail addresses, IPv4 addresses, card
-numbers (Luhn) and phone numbers.  Every identifier-like word (with a digit or @) is a candidate.
-What stands left and right of a seed or candidate, together with its shape, are its lexical
-patterns.  Patterns and instances form a graph, scored in rounds: a pattern is as good as the share
-of its instances that are trusted, an instance is trusted if its patterns are (noisy or).
-Instances that reach the stated trust through well-supported patterns are personal data too, and
-their occurrences become further spans of the kind of their seeds.
+numbers (Luhn) and phone numbers.  Candidates are identifier-like words (with a digit or @) and
+groups of digits joined by spaces, brackets, hyphens and dots.  The words left and right of a seed
+or candidate are its lexical patterns, each alone and together with its shape; a candidate takes
+part for the kinds that its form could be of (``FORMS``), whatever forms the seeds have.
+Patterns and instances form a graph, scored in rounds: a pattern is as good as the share of its
+instances that are trusted and counts once enough of them are, seeds or found in earlier rounds;
+an instance is trusted if its contexts are (noisy or, each by its better pattern).
+Instances that reach the stated trust are personal data too, and their occurrences become further
+spans of the kind of their seeds.
 
 The graph is built of distinct edges, so copies of a document weigh nothing; every step is an
 aggregate or a join that the session may split, no key's rows are gathered.
@@ -35,7 +38,7 @@ DIGIT_GAP, DOMAIN_DOT, OTHER = "\u0001", "\u0002", "\u0003"
 #: Code points of context that are looked at on each side.
 CONTEXT = 48
 ROUNDS = 3
-#: A pattern takes part if so many distinct seeds have it; its confidence is damped by DAMPING.
+#: A pattern counts if so many distinct trusted instances have it; its confidence is damped by DAMPING.
 SUPPORT, DAMPING = 3, 1.0
 #: Confidence of a pattern, and trust in an instance, from which they count.
 PATTERN_CONFIDENCE, INSTANCE_TRUST = 0.5, 0.8
@@ -46,6 +49,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 CARD = rf"[0-9][0-9{DIGIT_GAP}]*[0-9]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A separator inside a group of digits, one character at a time.
+GROUP_GAP = (
+    r"(?<=[0-9)][\x20-]{0,2})[\x20-](?=[\x20-]{0,2}\(?[0-9])|(?<=[0-9)])\.(?=\(?[0-9])"
+    r"|\((?=[0-9])|(?<=[0-9])\)(?=[\x20.-]?[\x20-]{0,2}\(?[0-9])"
+)
+GROUP = rf"(?<![0-9A-Za-z_@{DIGIT_GAP}])[+{DIGIT_GAP}]{{0,2}}+[0-9][0-9{DIGIT_GAP}]*+(?![A-Za-z_@])"
+#: What a candidate must look like to be of a kind at all; loose, so that forms no seed has can be found.
+FORMS = {"email": r"^[^@]+@[^@]+$", "ip": r"^[^g-zG-Z@.:]*[.:][^g-zG-Z@.:]*[.:][^g-zG-Z@]*$", "card": r"^[^\p{L}@]*$", "phone": r"^[^\p{L}@]*$"}
+#: Fewest and most digits of a candidate of a kind.
+FORM_DIGITS = {"card": (12, 19), "phone": (6, 15)}
 BYTE = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])\.){3}0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 SPAN = "struct<s:int,k:int,e:int,m:string,l:string,r:string>"
@@ -77,7 +90,9 @@ RULES: dict[str, tuple[str, Callable[[Column], Column], Callable[[Column], Colum
     "card": (CARD, lambda t: t.rlike(r"(?:[0-9][\x20-]?){13}[0-9]"), _valid_card),
     "phone": (PHONE, lambda t: t.rlike(r"\+[0-9]"), lambda m: F.length(_digits(m)).between(10, 15)),
     "candidate": (CANDIDATE, lambda t: t.rlike("[0-9@]"), lambda m: F.length(m) >= 6),
+    "group": (GROUP, lambda t: t.rlike("[0-9]"), lambda m: F.length(_digits(m)) >= 6),
 }
+CANDIDATES = ("candidate", "group")
 
 
 def _marked(name: str, text: Column) -> Column:
@@ -86,6 +101,8 @@ def _marked(name: str, text: Column) -> Column:
         return F.regexp_replace(clean, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOMAIN_DOT)
     if name == "card":
         return F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", DIGIT_GAP)
+    if name == "group":
+        return F.regexp_replace(clean, GROUP_GAP, DIGIT_GAP)
     return clean
 
 
@@ -120,8 +137,10 @@ def with_matches(docs: DataFrame, text: str = "_text") -> DataFrame:
         docs = docs.withColumn(f"_s_{name}", F.when(g.isNotNull(), _folded(zipped, kind, valid)).otherwise(F.expr(EMPTY)))
     docs = docs.drop(*(f"_{x}_{n}" for n in RULES for x in "mg"))
     docs = docs.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_s_{n}") for n in KINDS))))
+    # A word that is just a group of digits is one candidate.
+    words = F.filter("_s_candidate", lambda c: ~F.exists("_s_group", lambda g: (g["s"] == c["s"]) & (g["e"] == c["e"])))
     # A candidate that touches a base span is no new identifier.
-    free = F.filter("_s_candidate", lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    free = F.filter(F.concat(words, "_s_group"), lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     return docs.withColumn("_candidates", free).drop(*(f"_s_{n}" for n in RULES))
 
 
@@ -133,36 +152,63 @@ def _shape(m: Column) -> Column:
     return F.concat(shape, F.length(_digits(m)).cast("string"))
 
 
+def _could_be(m: Column) -> Column:
+    """The kinds that a candidate's form allows."""
+    digits = F.length(_digits(m))
+    kinds = []
+    for kind, name in enumerate(KINDS):
+        able = m.rlike(FORMS[name])
+        if name in FORM_DIGITS:
+            able &= digits.between(*FORM_DIGITS[name])
+        kinds.append(F.when(able, F.lit(kind)))
+    return F.filter(F.array(*kinds), lambda k: k.isNotNull())
+
+
 def _edges(rows: DataFrame) -> DataFrame:
-    """Distinct (pattern, instance, seed kind or null) over all seeds and candidates."""
+    """Distinct (context, pattern, instance, kind, is it a seed) over all seeds and candidates."""
     both = F.concat("_base", "_candidates")
     found = rows.select(F.explode(both).alias("x")).select(
-        F.lower("x.m").alias("instance"),
+        # The same number may come with separators or marks in their place.
+        F.lower(F.translate("x.m", DIGIT_GAP + DOMAIN_DOT, " .")).alias("instance"),
         F.when(F.col("x.k") < len(KINDS), F.col("x.k")).alias("seed"),
         _shape(F.col("x.m")).alias("shape"),
-        F.lower(F.regexp_extract("x.l", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("left"),
-        F.lower(F.regexp_extract("x.r", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("right"),
-    )
-    sides = F.array(F.concat_ws(" ", F.lit("l"), "left", "shape"), F.concat_ws(" ", F.lit("r"), "shape", "right"))
-    return found.select(F.explode(sides).alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.min("seed").alias("seed"))
+        _could_be(F.translate("x.m", DIGIT_GAP + DOMAIN_DOT, " .")).alias("kinds"),
+        *(F.translate(f"x.{side}", DIGIT_GAP + DOMAIN_DOT, " .").alias(side) for side in "lr"),
+    ).select(
+        "instance", "seed", "shape", "kinds",
+        F.lower(F.regexp_extract("l", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("left"),
+        F.lower(F.regexp_extract("r", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("right"),
+    )
+    kinds = F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.col("kinds"))
+    sides = F.array(*(F.struct(F.concat_ws(" ", F.lit(x), w).alias("context"), (F.col(w) != "").alias("word")) for x, w in (("l", "left"), ("r", "right"))))
+    found = found.select("instance", F.col("seed").isNotNull().alias("seed"), "shape", kinds.alias("kinds"), F.explode(sides).alias("c"))
+    found = found.select("instance", "seed", "shape", "c.context", "c.word", F.explode("kinds").alias("kind"))
+    # No word at all, as at the start of a text, says nothing without the shape.
+    exact = F.concat_ws(" ", "context", F.lit("as"), "shape")
+    patterns = F.when(F.col("word"), F.array(exact, F.concat_ws(" ", "context", F.lit("alone")))).otherwise(F.array(exact))
+    found = found.select("context", F.explode(patterns).alias("pattern"), "instance", "kind", "seed")
+    return found.groupBy("pattern", "instance", "kind").agg(F.first("context").alias("context"), F.max("seed").alias("seed"))
 
 
 def discover(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance, kind, trust) of identifiers that no base pattern finds; ``rows`` from ``with_matches``."""
     edges = store.keep(_edges(rows), "edges")
-    seeds = edges.filter("seed is not null").groupBy("instance").agg(F.min("seed").alias("kind")).withColumn("trust", F.lit(1.0))
-    # Only patterns that enough seeds of a kind have can become confident; the rest of the graph is left out.
-    supported = edges.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("support"))
-    supported = supported.filter(F.col("support") >= SUPPORT).drop("support")
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    patterns = store.keep(supported.join(sizes, "pattern"), "patterns")
-    graph = store.keep(edges.join(patterns.select("pattern", "kind", "size"), "pattern"), "graph")
+    seeds = edges.filter("seed").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("trust", F.lit(1.0))
+    seeds = store.keep(seeds, "seeds")
+    # A pattern of fewer instances can't have enough trusted ones, in any round.
+    sizes = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= SUPPORT)
+    graph = store.keep(edges.join(sizes, ["pattern", "kind"]), "graph")
     trusted = seeds
     for _ in range(rounds):
-        weights = graph.join(trusted, ["instance", "kind"]).groupBy("pattern", "kind").agg((F.sum("trust") / (F.first("size") + DAMPING)).alias("confidence"))
-        weights = weights.filter(F.col("confidence") >= PATTERN_CONFIDENCE)
+        enough = F.sum((F.col("trust") >= INSTANCE_TRUST).cast("int"))
+        weights = graph.join(trusted, ["instance", "kind"]).groupBy("pattern", "kind").agg(
+            (F.sum("trust") / (F.first("size") + DAMPING)).alias("confidence"), enough.alias("support")
+        )
+        weights = weights.filter((F.col("confidence") >= PATTERN_CONFIDENCE) & (F.col("support") >= SUPPORT)).drop("support")
+        # Of a context alone and with the shape, the better one counts: they are no two witnesses.
+        better = graph.filter("not seed").join(weights, ["pattern", "kind"]).groupBy("instance", "kind", "context").agg(F.max("confidence").alias("confidence"))
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        fresh = graph.filter("seed is null").join(weights, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("trust"))
+        fresh = better.groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("trust"))
         fresh = store.keep(fresh.join(seeds.select("instance"), "instance", "left_anti"), "trusted")
         trusted = seeds.select("instance", "kind", "trust").unionByName(fresh)
     best = fresh.filter(F.col("trust") >= INSTANCE_TRUST).groupBy("instance").agg(F.min(F.struct(-F.col("trust"), "kind")).alias("b"))
@@ -171,7 +217,7 @@ def discover(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def _found(rows: DataFrame, rounds: int) -> DataFrame:
     """Per row id the further spans, as (start, kind, end)."""
-    new = rows.select("_rid", F.explode("_candidates").alias("x")).select("_rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lower("x.m").alias("instance"))
+    new = rows.select("_rid", F.explode("_candidates").alias("x")).select("_rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lower(F.translate("x.m", DIGIT_GAP + DOMAIN_DOT, " .")).alias("instance"))
     placed = new.join(discover(rows, rounds).select("instance", F.col("kind").alias("k")), "instance")
     return placed.groupBy("_rid").agg(F.collect_list(F.struct("s", "k", "e")).alias("_more"))
 

@@ -203,6 +203,22 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[len(texts) - 1]["_spans"] == []
 
 
+def test_contexts_discover_forms_that_no_base_pattern_has(spark):
+    rng = random.Random(9)
+    texts = [f"{prose(rng, 'en', 4)} phone +1 (523) 555-10{i} today {prose(rng, 'en', 4)}" for i in range(10, 22)]
+    texts += [f"{prose(rng, 'en', 4)} mail u{i}@x{i}.org please {prose(rng, 'en', 4)}" for i in range(12)]
+    found = [("go phone 523-555-1055 today now", 3, "523-555-1055"), ("go phone (523) 555 1056 today now", 3, "(523) 555 1056"), ("a mail john@localhost please", 0, "john@localhost")]
+    texts += [t for t, _, _ in found] + ["an order 523-555-9999 came", "see 12 34 56 78 there", "at @home here"]
+    # Contexts that only discovered instances have are admitted in a later round.
+    texts += [f"phone 523 777 10{i} today or line 523 777 10{i} later" for i in range(10, 16)] + ["line 523 888 4444 later"]
+    got = {r.doc_id: [tuple(s) for s in r["_spans"]] for r in private_data.with_spans(plain(spark, texts), carry=False).collect()}
+    for i, (text, kind, value) in enumerate(found, 24):
+        at = text.index(value)
+        assert (at, kind, at + len(value)) in got[i], text
+    assert got[27] == got[28] == got[29] == []
+    assert got[len(texts) - 1] == [(5, 3, 17)]
+
+
 def test_redaction(spark):
     texts = ["write to a.b@c.de or +1 (523) 555-1055!", None, "", "none"]
     got = {r.doc_id: r.text for r in private_data.redact(plain(spark, texts)).collect()}
