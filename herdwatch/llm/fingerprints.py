@@ -3,13 +3,14 @@
 A text is a row of units: runs of letters and digits, lower-cased, in pieces of at most eight
 characters.  A k-mer of units is a closed syncmer if its smallest inner s-mer (by hash) stands at
 its beginning or its end (Edgar, 2021).  That depends on the k-mer alone, not on what stands around
-it, so equal passages give equal anchors wherever they stand; anchors keep their places for
-positional matching.  A fingerprint is the ``size`` smallest distinct anchor hashes, which is a
-uniform sample of the anchor set; the likeness of two is the share of the smallest of both that
-both have.
+it, so equal passages give equal anchors wherever they stand.  The likeness of two texts is the share
+of all their distinct anchors that both have; their likeness in order is that of their links, a link
+being two successive anchors and the distance of their places.  ``matched_runs`` finds the passages
+that texts of an anchor table have in common, by anchors and places.  A fingerprint, a sketch to store,
+is the ``size`` smallest distinct anchor hashes; no likeness is computed from it.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, and two of
-these have likeness 1; a text too short for a syncmer has its units as anchors, one without letters
+these have likeness 1; a text with one anchor has that as its link; a text too short for a syncmer has its units as anchors, one without letters
 and digits has the text itself; equal texts have equal fingerprints.  The next document is the one
 with the next id; repeated ids follow each other by a hash of the text, null ids come first, and
 after the last comes the first.  An empty table gives an empty result; extra columns are ignored.
@@ -22,6 +23,8 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from herdwatch.llm import store
+
 K, S, SIZE = 4, 2, 64
 UNIT = r"[\p{L}\p{N}]{1,8}"
 #: Documents are put in order in blocks of about so many rows, and in at most so many blocks.
@@ -53,19 +56,50 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(short)).drop(u, m, f"_l_{out}")
 
 
-def sketch(anchors: str, size: int = SIZE) -> Column:
-    """The smallest distinct hashes of the anchors."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors, lambda a: a["h"]))), 1, size)
+def distinct_hashes(anchors: str) -> Column:
+    return F.array_distinct(F.transform(anchors, lambda a: a["h"]))
+
+
+def links(anchors: str) -> Column:
+    """Distinct hashes of every two successive anchors with the distance between them."""
+    a, n = F.col(anchors), F.size(anchors)
+    both = F.zip_with(F.slice(a, 1, n - 1), F.slice(a, 2, n - 1), lambda x, y: F.xxhash64(x["h"], y["h"], y["at"] - x["at"]))
+    return F.when(n > 1, F.array_distinct(both)).otherwise(distinct_hashes(anchors))
+
+
+def sketch(hashes: str | Column, size: int = SIZE) -> Column:
+    """The smallest of distinct hashes."""
+    return F.slice(F.array_sort(hashes), 1, size)
+
 
+def likeness(a: str, b: str) -> Column:
+    """Share of the hashes of two arrays, each distinct, that both have."""
+    both = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - both
+    return F.when(every == 0, 1.0).otherwise(both / every).cast("double")
 
-def likeness(a: str, b: str, size: int = SIZE) -> Column:
-    """Share of the smallest hashes of both sketches that both have."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(least, F.col(a)), F.col(b)))
-    return F.when(F.size(least) == 0, 1.0).otherwise(both / F.size(least)).cast("double")
+
+def anchor_table(docs: DataFrame, key: str = "doc_id", anchors: str = "anchors") -> DataFrame:
+    """(key, i, h, at): one row per anchor, ``i`` being its number in the text; anchors are made once."""
+    return store.keep(docs.select(key, anchors), "anchors").select(key, F.posexplode(anchors).alias("i", "a")).select(key, "i", "a.h", "a.at")
+
+
+def matched_runs(left: DataFrame, right: DataFrame, key: str = "doc_id", least: int = 1) -> DataFrame:
+    """(left, right, offset, first, last, n): runs of at least ``least`` successive anchors of one text
+    that stand in another one too, all moved by ``offset`` units; ``first`` and ``last`` are the places
+    in the left text where the run's anchors begin.
+
+    ``left`` and ``right`` are anchor tables; all occurrences meet, those of a text with itself too.
+    """
+    one, two = left.select(F.col(key).alias("left"), "i", "h", F.col("at").alias("first")), right.select(F.col(key).alias("right"), "h", "at")
+    met = one.join(two, "h").select("left", "right", (F.col("at") - F.col("first")).alias("offset"), "i", "first")
+    inside = Window.partitionBy("left", "right", "offset").orderBy("i")
+    runs = met.withColumn("_run", F.col("i") - F.row_number().over(inside)).groupBy("left", "right", "offset", "_run")
+    found = runs.agg(F.min("first").alias("first"), F.max("first").alias("last"), F.count(F.lit(1)).alias("n"))
+    return found.filter(F.col("n") >= least).drop("_run")
 
 
-def as_text(hashes: str) -> Column:
+def as_text(hashes: str | Column) -> Column:
     return F.concat_ws("", F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")))
 
 
@@ -115,22 +149,27 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
     """(doc_id, text, anchors, hashes): the anchors and the fingerprint of every text."""
     plain = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return with_anchors(plain, "text", "anchors", k, s).withColumn("hashes", sketch("anchors", size))
+    found = with_anchors(plain, "text", "anchors", k, s).withColumn("hashes", distinct_hashes("anchors"))
+    return found.withColumn("hashes", sketch("hashes", size))
 
 
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("anchors")
-    rows = with_next(docs.select("doc_id", "text", "hashes"), ["text", "hashes"])
+    docs = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = docs.withColumns({"all": distinct_hashes("anchors"), "links": links("anchors")})
+    rows = with_next(docs.select("doc_id", "text", "hashes", "all", "links"), ["text", "all", "links"])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", n - quarter), F.left("next_text", quarter))
-    rows = with_anchors(rows.withColumn("edited", edited), "edited", "edited_anchors").withColumn("edited_hashes", sketch("edited_anchors"))
+    rows = with_anchors(rows.withColumn("edited", edited), "edited", "edited_anchors")
+    rows = rows.withColumns({"edited_all": distinct_hashes("edited_anchors"), "edited_links": links("edited_anchors")})
     return rows.select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text("hashes").alias("fingerprint"),
-        as_text("edited_hashes").alias("edited_fingerprint"),
-        likeness("hashes", "edited_hashes").alias("near_edited"),
-        likeness("hashes", "next_hashes").alias("near_next"),
+        as_text(sketch("edited_all")).alias("edited_fingerprint"),
+        likeness("all", "edited_all").alias("near_edited"),
+        likeness("all", "next_all").alias("near_next"),
+        likeness("links", "edited_links").alias("in_order_edited"),
+        likeness("links", "next_links").alias("in_order_next"),
     )

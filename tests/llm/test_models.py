@@ -262,6 +262,30 @@ def test_fingerprint_query_columns(spark, tmp_path):
         assert 0 <= by_id[a].near_edited <= 1 and 0 <= by_id[a].near_next <= 1
 
 
+def test_a_passage_of_long_texts_is_found_with_its_place(spark, tmp_path):
+    rng = random.Random(12)
+
+    def text(n):
+        return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+
+    shared, first, second = text(60), text(4000), text(4000)
+    one, two = first[:1000] + shared + first[1000:], second[:3000] + shared + second[3000:]
+    turned = first[2000:] + first[:2000]
+    texts = [" ".join(t) for t in (one, two, first, turned)]
+    docs = plain(spark, texts)
+    anchors = fingerprints.anchor_table(fingerprints.fingerprints(docs))
+    left, right = (anchors.filter(f"doc_id = {i}") for i in (0, 1))
+    runs = fingerprints.matched_runs(left, right, least=5).collect()
+    assert [(r.left, r.right, r.offset) for r in runs] == [(0, 1, 2000)]
+    assert 1000 <= runs[0]["first"] < 1010 and 1045 < runs[0]["last"] <= 1056
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.op7_closed_syncmers(spark, str(tmp_path)).collect()}
+    sets = {r.doc_id: set(r.h) for r in anchors.groupBy("doc_id").agg(F.collect_set("h").alias("h")).collect()}
+    for i in range(3):
+        assert got[i].near_next == len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])
+    assert got[0].near_next > 0 and 0.9 < got[2].in_order_next < 1
+
+
 # WARC
 
 
