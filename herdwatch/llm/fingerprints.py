@@ -18,6 +18,7 @@ after the last comes the first.  An empty table gives an empty result; extra col
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -126,9 +127,11 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_block", (F.col("_coarse") - 1) * step + F.when(F.col("doc_id").isNull(), 0).otherwise(fine)).drop("_coarse")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add ``next_<column>`` of the following document; ``docs`` has doc_id and text.
 
+    ``prepare`` adds columns to rows that are already dealt to their blocks, so that these are not shuffled.
+
     Each block's first document is copied to the end of the block before, so that no block needs
     another one.
     """
@@ -141,22 +144,35 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     copies = blocked.join(F.broadcast(first), blocked["doc_id"].eqNullSafe(first["_id"]) & (blocked["_hash"] == first["_h"]))
     copies = copies.withColumn("_block", F.col("_to")).select(*blocked.columns).dropDuplicates(["_block"])
     every = blocked.withColumn("_copy", F.lit(0)).unionByName(copies.withColumn("_copy", F.lit(1)))
+    more: list[str] = []
+    if prepare is not None:
+        dealt = every.repartition("_block").sortWithinPartitions("_block", "_copy", "doc_id", "_hash")
+        every = prepare(dealt)
+        more = [c for c in every.columns if c not in dealt.columns]
     order = Window.partitionBy("_block").orderBy("_copy", "doc_id", "_hash")
     out = every.withColumn("_next", F.lead(F.struct(*columns)).over(order)).filter("_copy = 0")
-    return out.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    return out.select(*docs.columns, *more, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
     """(doc_id, text, anchors, hashes): the anchors and the fingerprint of every text."""
-    plain = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    found = with_anchors(plain, "text", "anchors", k, s).withColumn("hashes", distinct_hashes("anchors"))
+    found = with_anchors(_plain(docs), "text", "anchors", k, s).withColumn("hashes", distinct_hashes("anchors"))
     return found.withColumn("hashes", sketch("hashes", size))
 
 
+def _compared(rows: DataFrame) -> DataFrame:
+    """Add ``all`` and ``links`` of the text, which likenesses are computed from."""
+    found = with_anchors(rows, "text", "anchors")
+    return found.withColumns({"all": distinct_hashes("anchors"), "links": links("anchors")}).drop("anchors")
+
+
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    docs = docs.withColumns({"all": distinct_hashes("anchors"), "links": links("anchors")})
-    rows = with_next(docs.select("doc_id", "text", "hashes", "all", "links"), ["text", "all", "links"])
+    docs = _plain(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = with_next(docs, ["text", "all", "links"], _compared)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", n - quarter), F.left("next_text", quarter))
@@ -166,7 +182,7 @@ def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text("hashes").alias("fingerprint"),
+        as_text(sketch("all")).alias("fingerprint"),
         as_text(sketch("edited_all")).alias("edited_fingerprint"),
         likeness("all", "edited_all").alias("near_edited"),
         likeness("all", "next_all").alias("near_next"),
