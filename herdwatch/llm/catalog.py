@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdwatch.llm import decontamination, fingerprints, language, licenses, near_duplicates, pieces, private_data, quality, toxicity, warc
+from herdwatch.llm import decontamination, fingerprints, language, licenses, manifest, near_duplicates, pieces, private_data, quality, toxicity, warc
 from herdwatch.llm.oracles import ORACLES
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
         "op9_quality_resampling": quality.op9_quality_resampling,
         "op10_warc_revisits": warc.op10_warc_revisits,
+        "op11_merkle_manifest": manifest.op11_merkle_manifest,
     }
 
 

@@ -1,6 +1,6 @@
 """DuckDB texts for the operators that SQL can express, by the contract's plain definitions."""
 
-from herdwatch.llm import warc
+from herdwatch.llm import manifest, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALNUM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -67,7 +67,46 @@ SELECT record_id, record_type, canonical_url, seconds, status,
 FROM s
 """
 
+ENCODED = "coalesce(strlen({0}) || ':' || {0}, '-')"
+TAMPERED = f"translate(text, '{UPPER}', '{LOWER}')"
+LEAF = "sha256(" + " || ".join(ENCODED.format(f"CAST({c} AS VARCHAR)") for c in manifest.COLUMNS) + ")"
+
+#: crc32 is not a DuckDB function: it is made bit by bit, as its definition has it.
+CRC32 = """
+crc_table AS (SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), CAST(range(8) AS UBIGINT[])),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS UBIGINT), c >> 1) ELSE c >> 1 END) AS v FROM range(256) AS t(i)),
+crc_values AS (SELECT list(v ORDER BY i) AS vs FROM crc_table),
+crc AS (SELECT doc_id, xor(CAST(4294967295 AS UBIGINT), list_reduce(
+    list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+    lambda c, b: xor(vs[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8))) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_values)"""
+
+MANIFEST = f"""
+WITH RECURSIVE {CRC32},
+docs AS (SELECT d.*, {LEAF} AS leaf, CASE WHEN crc % 3 = 0 THEN {LEAF.replace("CAST(text AS VARCHAR)", TAMPERED)} ELSE {LEAF} END AS found
+         FROM documents d LEFT JOIN crc USING (doc_id)),
+leaves AS (SELECT doc_id, leaf, found, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS g,
+                  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM docs),
+node(g, lvl, i, n, h) AS (
+  SELECT g, 0, i, n, leaf FROM leaves
+  UNION ALL SELECT g, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY g, lvl, i // 8, n),
+subs AS (SELECT g, lvl AS depth, h, row_number() OVER (ORDER BY g) - 1 AS place FROM node WHERE n = 1),
+root AS (SELECT sha256(string_agg(h, '' ORDER BY g)) AS root, list(h ORDER BY g) AS hs FROM subs),
+run AS (SELECT g, lvl, i // 8 AS up, list(h ORDER BY i) AS hs FROM node WHERE n > 1 GROUP BY g, lvl, i // 8),
+fold(doc_id, g, i, lvl, depth, pos, leaf, acc, proof) AS (
+  SELECT doc_id, g, i, 0, depth, i, leaf, found, '' FROM leaves JOIN subs USING (g)
+  UNION ALL
+  SELECT doc_id, fold.g, fold.i, fold.lvl + 1, depth, pos // 8, leaf,
+         sha256(array_to_string(hs[1 : pos % 8], '') || acc || array_to_string(hs[pos % 8 + 2 :], '')),
+         proof || array_to_string(hs[1 : pos % 8], '') || array_to_string(hs[pos % 8 + 2 :], '')
+  FROM fold JOIN run ON run.g = fold.g AND run.lvl = fold.lvl AND run.up = pos // 8 WHERE fold.lvl < depth)
+SELECT doc_id, leaf, subs.h AS subroot, root, sha256(proof || array_to_string(hs[1 : place], '') || array_to_string(hs[place + 2 :], '')) AS proof_sha256,
+       sha256(array_to_string(hs[1 : place], '') || acc || array_to_string(hs[place + 2 :], '')) AS folded_root, folded_root = root AS verified
+FROM fold JOIN subs USING (g), root WHERE fold.lvl = fold.depth
+"""
+
 ORACLES = {
+    "op11_merkle_manifest": MANIFEST,
     "op4_minmax_near_dedup": NEAR_DUPLICATES.format(documents="documents"),
     "op10_warc_revisits": WARC,
     "op8_benchmark_decontamination": DECONTAMINATION.format(documents="documents"),
