@@ -105,7 +105,22 @@ SELECT doc_id, leaf, subs.h AS subroot, root, sha256(proof || array_to_string(hs
 FROM fold JOIN subs USING (g), root WHERE fold.lvl = fold.depth
 """
 
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM_WORDS} AS w FROM documents),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM df, total),
+q AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT row_number() OVER () AS i, item_id, unnest({ALNUM_WORDS}) AS t FROM benchmark) GROUP BY i, item_id, t),
+part AS (SELECT i, item_id, r, doc_id, times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // n_words))) AS score
+         FROM q JOIN weight USING (t) JOIN tf USING (t) JOIN d USING (r), total),
+scored AS (SELECT i, item_id, r, doc_id, CAST(sum(score) AS BIGINT) AS score FROM part GROUP BY ALL HAVING sum(score) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
 ORACLES = {
+    "op13_ranked_search": RANKED,
     "op11_merkle_manifest": MANIFEST,
     "op4_minmax_near_dedup": NEAR_DUPLICATES.format(documents="documents"),
     "op10_warc_revisits": WARC,
