@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdwatch.llm import decontamination, fingerprints, language, licenses, manifest, near_duplicates, pieces, private_data, quality, ranked, toxicity, warc
+from herdwatch.llm import decontamination, fingerprints, language, licenses, manifest, near_duplicates, ngram_model, pieces, private_data, quality, ranked, toxicity, warc
 from herdwatch.llm.oracles import ORACLES
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_resampling": quality.op9_quality_resampling,
         "op10_warc_revisits": warc.op10_warc_revisits,
         "op11_merkle_manifest": manifest.op11_merkle_manifest,
+        "op12_ngram_trie_scores": ngram_model.op12_ngram_trie_scores,
         "op13_ranked_search": ranked.op13_ranked_search,
     }
 

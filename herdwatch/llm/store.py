@@ -20,6 +20,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``keep`` in buckets of ``key``: joins on it do not shuffle the table again.
+
+    The table is registered while it is read and then dropped; its files stay in the shared folder.
+    """
+    spark, table = df.sparkSession, f"llm_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """(_rid, _doc): every row as a struct with a number of its own, written out so that the numbers stay.
 
