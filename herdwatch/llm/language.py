@@ -15,30 +15,34 @@ are rows of their own; an empty table gives an empty result; extra columns are p
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from herdwatch.llm import store
+from herdwatch.llm.store import Sendable
 from herdwatch.llm.words import keys, mix, parts
 
 BUCKETS, LONGEST = 1 << 15, 3
 #: Learned from at most so many documents of each language.
 PER_LANGUAGE = 800
+#: A language's rows are ranked in so many groups before the groups' first ones meet.
+GROUPS = 32
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-3, 1e-3
 #: Features are shares of a text; this brings their vectors to a length near one.
 SCALE = 10.0
 
 
-@cache
-def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
+def _letters(kept: list = []) -> np.ndarray:  # noqa: B006 - made once in each process
+    if not kept:
+        kept.append(np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)]))
+    return kept[0]
 
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +66,7 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
-class Model:
+class Model(Sendable):
     languages: list[str]
     #: Per bucket and language: weight times inverse document frequency, over the temperature.
     weights: np.ndarray
@@ -153,12 +157,12 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     total, n = _frequencies(known)
     if not n:
         return None
-    names = [r.lang for r in known.select("lang").distinct().orderBy("lang").collect()]
     order = [F.xxhash64("doc_id"), "doc_id"]
-    # Each language's first rows are found task by task: no language meets in one task.
-    drawn = {(r.doc_id,) for name in names for r in known.filter(F.col("lang") == name).select("doc_id").orderBy(*order).limit(per_language).collect()}
-    ids = docs.sparkSession.createDataFrame(sorted(drawn), "_id bigint")
-    chosen = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id").alias("key"), "lang", "text")
+    # Each language's first rows are found task by task and group by group: no language meets in one task.
+    drawn = known.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(GROUPS)).alias("group"))
+    for group in (["lang", "group"], ["lang"]):
+        drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("at") <= per_language)
+    chosen = known.join(drawn.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id").alias("key"), "lang", "text")
     inverse = np.log((1 + n) / (1 + total)) + 1
     sent = docs.sparkSession.sparkContext.broadcast(inverse)
 
@@ -177,12 +181,12 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         heat = _temperature(logits, np.array([r[0] for r in late])) if late and len(names) > 1 else 1.0
         final = weights * sent.value[:, None] * SCALE / heat
         has = np.flatnonzero(np.abs(final).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, has)), pa.array([[0.0] * len(names), *final[has].tolist()], pa.list_(pa.float64())), pa.array([",".join(names)] * (len(has) + 1))], names=["bucket", "w", "names"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, has)), pa.array([[0.0] * len(names), *final[has].tolist()], pa.list_(pa.float64())), pa.array([json.dumps(names)] * (len(has) + 1))], names=["bucket", "w", "names"])
 
     # The sample is bounded by its parameter: one task fits the model.
     fitted = chosen.mapInArrow(_featured, "key bigint, lang string, buckets array<int>, shares array<double>").repartition(1)
     found = fitted.mapInArrow(fit, "bucket bigint, w array<double>, names string").collect()
-    names = found[0].names.split(",")
+    names = json.loads(found[0].names)
     weights = np.zeros((BUCKETS, len(names)), np.float32)
     for r in found:
         if r.bucket >= 0:

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 
+from herdwatch.llm.store import Sendable
 from herdwatch.llm.words import keys, mix
 
 MARK = "▁"
 
 
-class Vocabulary:
+class Vocabulary(Sendable):
     """Pieces and log weights of a model; small enough to be sent to every task."""
 
     def __init__(self, model: str):

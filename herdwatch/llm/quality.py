@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdwatch.llm import store
+from herdwatch.llm.store import Sendable
 from herdwatch.llm.words import hashes, keys, mix, parts, text_bytes
 
 BUCKETS = 1 << 14
@@ -77,7 +78,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class Model:
+class Model(Sendable):
     """Log ratio per bucket; the weight that parts good from bad (None: nothing to learn from)."""
 
     ratio: np.ndarray

@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdwatch.session import shared_dir
 
 
+class _Call:
+    """Is unpickled as the result of a call."""
+
+    def __init__(self, *call):
+        self.call = call
+
+    def __reduce__(self) -> tuple:
+        return self.call[0], self.call[1:]
+
+
+def _revive(kind: type, state: dict):
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
+class Sendable:
+    """Objects that take their class along when they are broadcast: executors need not have the package."""
+
+    def __reduce__(self) -> tuple:
+        return pickle.loads, (cloudpickle.dumps(_Call(_revive, type(self), self.__dict__)),)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into a fresh folder of the shared checkpoint folder and read it back.
 
@@ -47,4 +72,3 @@ def bounded_batches(spark: SparkSession, megabytes: int = 4, rows: int = 2_000)
     """Bound what one Arrow batch between the JVM and Python can hold, for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-

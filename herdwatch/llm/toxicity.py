@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdwatch.llm import store
+from herdwatch.llm.store import Sendable
 from herdwatch.llm.words import ALNUM, hashes, mix, parts, rows_of, spans, text_bytes
 
 #: Labelled rows of each kind that are learned from, and terms the lexicon may have.
@@ -48,7 +49,7 @@ def edits_allowed(term: bytes) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
-class Automaton:
+class Automaton(Sendable):
     """The deterministic product of a lexicon's trie and its terms' Levenshtein automata."""
 
     def __init__(self, terms: list[str]):
@@ -192,7 +193,7 @@ def _hash_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 @dataclass(frozen=True)
-class Model:
+class Model(Sendable):
     automaton: Automaton | None
     #: Hashes of words that are a few edits from a term but known to be harmless.
     harmless: np.ndarray

@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 
 SPACE = 32
 #: Bytes of text that are worked on at once; a longer single text is a part of its own.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 
 
 def _table(is_separator) -> np.ndarray:
@@ -88,16 +88,23 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """64-bit hashes of the given spans (not empty, ascending, not overlapping)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    at = np.zeros(len(data), np.int64)
-    at[starts[0] :] = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    # In place as far as can be: this is what a task's memory goes to.
+    at = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    at[: starts[0]] = 0
+    at[starts[0] :] -= np.repeat(starts.astype(at.dtype), np.diff(np.append(starts, len(data))))
     longest = int((ends - starts).max())
     powers = _POWERS
     while len(powers) < longest:
         powers = np.concatenate([powers, powers * (powers[-1:] * np.array([_BASE], np.uint64))])
     # Bytes between words may lie further from a word's start than the powers go; they cancel out.
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[np.minimum(at, len(powers) - 1)], out=total[1:])
-    return mix(total[ends] - total[starts])
+    np.minimum(at, len(powers) - 1, out=at)
+    total = powers.take(at)
+    del at
+    total *= _BYTE.take(data)
+    np.cumsum(total, out=total)
+    before = total[starts - 1]
+    before[starts == 0] = 0
+    return mix(total[ends - 1] - before)
 
 
 def words(column: pa.Array, kind: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

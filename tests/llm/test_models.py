@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from itertools import product
 from pathlib import Path
@@ -19,6 +22,57 @@ from tests.llm.data import frame, plain, prose, rows
 
 needs_model = pytest.mark.skipif(not Path(pieces.MODEL).exists(), reason="the tokenizer is not here")
 
+# Executors without the package
+
+AWAY = """
+import sys
+sys.path.insert(0, {repo!r})
+from herdwatch.session import build_session
+spark = build_session(master="local[2]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false", spark__checkpoint__dir={shared!r})
+from herdwatch.llm import decontamination, language, ngram_model, pieces, quality, ranked, toxicity
+try:
+    spark.range(1).mapInArrow(lambda batches: __import__("herdwatch") and batches, "id bigint").count()
+    print("the package is there")
+except Exception:
+    pass
+docs = spark.read.parquet({docs!r})
+labels = docs.selectExpr("doc_id", "doc_id % 2 as toxic", "doc_id % 2 as quality")
+items = docs.limit(3).selectExpr("cast(doc_id as string) as item_id", "text")
+print("language", language.with_language(docs, language.learn(docs)).select("language.lang").distinct().count())
+print("toxicity", toxicity.with_toxicity(docs, toxicity.learn(docs, labels)).count())
+print("quality", quality.resample(docs, labels).count() > 0)
+print("decontamination", decontamination.contamination(docs, items).count())
+print("ranked", ranked.rank(docs, items).count() > 0)
+print("scores", ngram_model.score_documents(docs, docs["doc_id"] > 3).count())
+if {model}:
+    print("pieces", pieces.with_samples(docs.select("doc_id", "text")).count())
+"""
+
+
+def test_workers_need_no_package(spark, tmp_path):
+    """A session started elsewhere, whose workers can't import the package, runs every operator that sends objects."""
+    docs = plain(spark, [t for _, t, *_ in rows(30) if t and len(t) < 5000]).selectExpr("doc_id", "text", "case when doc_id % 2 = 0 then 'a,b' else 'c' end as lang")
+    docs.write.parquet(str(tmp_path / "docs"))
+    n = docs.count()
+    script = AWAY.format(repo=str(Path(__file__).parents[2]), shared=str(tmp_path / "shared"), docs=str(tmp_path / "docs"), model=Path(pieces.MODEL).exists())
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    said = dict(line.split() for line in out.stdout.splitlines() if len(line.split()) == 2)
+    assert "the package is there" not in out.stdout
+    expected = {"language": "2", "toxicity": str(n), "quality": "True", "decontamination": str(n), "ranked": "True", "scores": str(n)}
+    assert said.items() >= expected.items(), out.stderr[-2000:]
+    assert not Path(pieces.MODEL).exists() or said["pieces"] == str(n)
+
+
+def test_a_language_with_a_comma(spark):
+    docs = plain(spark, [prose(random.Random(i), "en" if i % 2 else "de", 40) for i in range(40)])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en,us").otherwise('d"e, 1'))
+    model = language.learn(docs)
+    assert sorted(model.languages) == ['d"e, 1', "en,us"]
+    got = language.with_language(docs, model).select("lang", "language.lang").collect()
+    assert sum(a == b for a, b in got) >= 38
+
+
 # SentencePiece
 
 
