@@ -351,7 +351,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = store.numbered(docs, "rows")
     found = contamination(rows.select(F.col("_rid").alias("doc_id"), F.col("_doc.text").alias("text")), benchmark)
     bad = found.filter("contaminated").select(F.col("doc_id").alias("_rid"))
-    return rows.join(bad, "_rid", "left_anti").select("_doc.*")
+    return store.without(rows, bad, "_rid").select("_doc.*")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

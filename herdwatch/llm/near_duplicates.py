@@ -332,7 +332,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ids = rows.select("_rid", F.col("_doc.doc_id").cast("bigint").alias("_id"))
     placed = found.select(F.col("doc_id").alias("_rid"), "component_id").join(ids, "_rid")
     first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("unknown"), "_id", "_rid")).alias("f"))
-    return rows.join(first.select(F.col("f._rid").alias("_rid")), "_rid", "left_semi").select("_doc.*")
+    others = placed.select("_rid").join(first.select(F.col("f._rid").alias("_rid")), "_rid", "left_anti")
+    return store.without(rows, others, "_rid").select("_doc.*")
 
 
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +36,53 @@ class Sendable:
         return pickle.loads, (cloudpickle.dumps(_Call(_revive, type(self), self.__dict__)),)
 
 
+#: Ids (8 bytes each) that are sent to all tasks rather than joined.
+FEW = 1_000_000
+#: Folders that steps have written and the next step removes, by session; and the running step's own.
+_done: dict[int, list[str]] = {}
+_running: list[list[str]] = []
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    if _running:
+        _running[-1].append(path)
+    return path
+
+
+@contextmanager
+def step(docs: DataFrame):
+    """A step of a chain in which each step's result is written before the next step begins.
+
+    The tables that earlier steps have written along the way go, unless ``docs`` is still to be read
+    from them; those of this step are kept until then.
+    """
+    spark, read, left = docs.sparkSession, docs.inputFiles(), []
+    for path in _done.pop(id(spark), []):
+        if any(path.rpartition("/")[2] in f for f in read):
+            left.append(path)
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    _running.append(left)
+    try:
+        yield
+    finally:
+        _done[id(spark)] = _running.pop()
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among ``ids``: few of these are sent to all tasks, many are joined."""
+    ids = keep(ids.select(key).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, key, "left_anti")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into a fresh folder of the shared checkpoint folder and read it back.
 
     A lost executor then costs one task of a later step, not the steps before it.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = _path(df.sparkSession, f"llm-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,7 +93,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     The table is registered while it is read and then dropped; its files stay in the shared folder.
     """
     spark, table = df.sparkSession, f"llm_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    path = _path(spark, table)
     df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
     found = spark.table(table)
     found.schema  # resolved before the name goes
