@@ -110,7 +110,8 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return keep(docs.select(F.monotonically_increasing_id().alias("_rid"), whole), name)
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 4, rows: int = 2_000) -> None:
-    """Bound what one Arrow batch between the JVM and Python can hold, for very long texts."""
+def bounded_batches(spark: SparkSession, megabytes: int = 4, rows: int = 2_000, scanned: int = 512) -> None:
+    """Bound what one Arrow batch between the JVM and Python, and one batch of a scan, can hold: texts may be very long."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(scanned))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
