@@ -53,17 +53,11 @@ def _latencies(spark, sf_dir):
 
 def _percentiles(spark, sf_dir):
     def start(stream, root):
-        return streams.stream_latencies(stream, f"{root}/out", f"{root}/cp", batch.ONE_OP, ["search_query"], **NOW)
-
-    root = _arrive(spark, sf_dir, start, ("node", "ts", "seq", *batch.ONE_OP["search_query"]))
-    return spark.read.parquet(f"{root}/out").select(
-        "node",
-        "seq",
-        F.col("search_query_latency_us").alias("us"),
-        F.col("search_query_p95").alias("p95"),
-        F.col("search_query_p99").alias("p99"),
-        F.col("search_query_overflowed").alias("overflowed"),
-    )
+        return streams.stream_latencies(stream, f"{root}/out", f"{root}/cp", percentile_of=list(counters.OPERATIONS), **NOW)
+
+    counted = (c for op in counters.OPERATIONS.values() for c in op)
+    root = _arrive(spark, sf_dir, start, ("node", "ts", "seq", *counted))
+    return batch.by_operation(spark.read.parquet(f"{root}/out"))
 
 
 def _signals(name: str, *columns: str):

@@ -191,6 +191,19 @@ def long_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unpivot(["node"], list(counters.OPERATIONS), "op", "us")
 
 
+def by_operation(wide: DataFrame) -> DataFrame:
+    """Samples with running percentiles of all operations, as one row per sample and operation."""
+    fields = {"us": "latency_us", "p95": "p95", "p99": "p99", "overflowed": "overflowed"}
+    each = [F.struct(F.lit(op).alias("op"), *(F.col(f"{op}_{c}").alias(n) for n, c in fields.items())) for op in counters.OPERATIONS]
+    return wide.select("node", "seq", F.explode(F.array(*each)).alias("_o")).select("node", "seq", "_o.*")
+
+
+def running_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running percentiles of all seven operations, in one pass over the deltas."""
+    deltas = latencies(spark, sf_dir, counters.OPERATIONS, keep_slices=True)
+    return by_operation(histogram.running_percentiles(deltas, {op: f"{op}_latency_us" for op in counters.OPERATIONS}))
+
+
 LONG_LATENCIES = " union all ".join(
     f"select node, '{op}' as op, {op}_latency_us as us from d" for op in counters.OPERATIONS
 )
@@ -522,19 +535,11 @@ def entries() -> list[Entry]:
                 d=_D_TWO,
             ),
         ),
-        Entry(
-            "running_percentile",
-            lambda s, d: histogram.running_percentile(
-                latencies(s, d, TWO_OPS, keep_slices=True), "search_query_latency_us"
-            ).select("node", "seq", F.col("search_query_latency_us").alias("us"), "p95", "p99", "overflowed"),
-            _running_oracle("search_query_latency_us", _D_TWO),
-        ),
+        Entry("running_percentile", running_percentiles, _running_oracle()),
         Entry(
             "running_percentile_overflow",
-            lambda s, d: histogram.running_percentile(
-                latencies(s, d, TWO_OPS, keep_slices=True), "index_delete_latency_us"
-            ).select("node", "seq", F.col("index_delete_latency_us").alias("us"), "p95", "p99", "overflowed"),
-            _running_oracle("index_delete_latency_us", _D_TWO),
+            lambda s, d: running_percentiles(s, d).filter("overflowed").groupBy("node", "op").agg(F.count(F.lit(1)).alias("ticks"), F.min("seq").alias("first_seq")),
+            _running_oracle("select node, op, count(*) as ticks, min(seq) as first_seq from p where overflowed group by all"),
         ),
         Entry(
             "health_codes",
@@ -576,7 +581,9 @@ def entries() -> list[Entry]:
     ]
 
 
-def _running_oracle(column: str, deltas: str) -> str:
+def _running_oracle(body: str = "select * from p") -> str:
+    """``p``: the running percentiles of all operations, one row per sample and operation."""
+
     def at(p: float) -> str:
         k = f"cast(floor(len(past) * cast({p} as double)) as bigint)"
         return (
@@ -584,9 +591,11 @@ def _running_oracle(column: str, deltas: str) -> str:
             f"else list_sort(past)[{k}] end"
         )
 
+    us = " union all ".join(f"select node, ts, seq, '{op}' as op, {op}_latency_us as us from d" for op in counters.OPERATIONS)
     return _oracle(
-        f"select node, seq, us, {at(0.95)} as p95, {at(0.99)} as p99, coalesce(list_max(past) = {OVERFLOW}, false) as overflowed from "
-        f"(select node, seq, us, list(bound) filter (where bound is not null) over {RUN} as past from "
-        f"(select node, ts, seq, {column} as us, {_bound_sql(column)} as bound from d) as b) as p",
-        d=deltas,
+        body,
+        d=_D_ALL,
+        p=f"select node, seq, op, us, {at(0.95)} as p95, {at(0.99)} as p99, coalesce(list_max(past) = {OVERFLOW}, false) as overflowed from "
+        f"(select node, seq, op, us, list(bound) filter (where bound is not null) over (partition by node, op order by ts, seq rows between unbounded preceding and current row) as past from "
+        f"(select node, ts, seq, op, us, {_bound_sql('us')} as bound from ({us}) as u) as b) as w",
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from herdwatch.functions.buckets import BOUNDS, OVERFLOW, bound_before, bucket_index, hist_label, to_bucket
-from herdwatch.plans.slices import SLICE, carried, slice_group, with_slices, without_slices
+from herdwatch.plans.slices import PART, SLICE, slice_group, with_slices, without_slices
 
 PERCENTILES = {"p95": 0.95, "p99": 0.99}
 EDGES = [*BOUNDS, OVERFLOW]
@@ -110,6 +110,27 @@ def counts_array(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hist.groupBy(*keys).agg(*per_bucket).select(*keys, F.array(*_PLACES).alias("counts"))
 
 
+#: What the running counts of several columns start from: (column's number, bucket, count), used buckets only.
+SEEN = "array<struct<column:int,bucket:int,n:bigint>>"
+
+
+def counts_of_all(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: DataFrame | None = None) -> DataFrame:
+    """Counts of several columns per key, from one pass: ``(*keys, seen)``, with a row for every key.
+
+    ``seen`` may hold earlier counts, which are added.
+    """
+    buckets = [F.struct(F.lit(i).alias("column"), bucket_index(c).alias("bucket"), F.lit(1).cast("bigint").alias("n")) for i, c in enumerate(columns)]
+    # A key without any value is kept by an entry of no column.
+    none = F.struct(F.lit(-1).alias("column"), F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("n"))
+    entries = df.select(*keys, F.explode(F.array(none, *buckets)).alias("_e")).filter("_e.bucket IS NOT NULL")
+    entries = entries.select(*keys, "_e.*")
+    if seen is not None:
+        entries = entries.unionByName(seen.select(*keys, F.explode_outer("seen").alias("_e")).select(*keys, "_e.*"))
+    counted = entries.groupBy(*keys, "column", "bucket").agg(F.sum("n").alias("n"))
+    used = F.when(F.col("column") >= 0, F.struct("column", "bucket", "n"))
+    return counted.groupBy(*keys).agg(F.sort_array(F.collect_list(used)).alias("seen"))
+
+
 def running_percentile(
     df: DataFrame,
     column: str,
@@ -119,57 +140,96 @@ def running_percentile(
     initial: DataFrame | None = None,
     **slicing,
 ) -> DataFrame:
-    """Per row, percentiles over the key's whole past including the row itself.
+    """``running_percentiles`` of one column: adds the percentiles and ``overflowed`` by their own names.
 
-    The histogram behind it is never cleared.  A row whose value is NULL (a tick without
-    traffic) adds nothing and reports 0.  After an overflow the percentiles are NULL.
     ``initial`` may hold what was seen before the frame starts, as ``counts_array``.
+    """
+    if initial is not None:
+        entries = F.transform("counts", lambda n, i: F.struct(F.lit(0).alias("column"), i.alias("bucket"), n.cast("bigint").alias("n")))
+        initial = initial.select(*keys, F.filter(entries, lambda e: e["n"] > 0).alias("seen"))
+    return running_percentiles(df, {"": column}, keys, percentiles, order, initial, **slicing)
+
 
-    Every slice gets one extra row in front with the counts of all earlier slices; Spark brings
-    the rows of a slice together in order, and the counting itself runs over Arrow batches.
-    91 running counts per row are too many for a window: it updates them one by one.
+def running_percentiles(
+    df: DataFrame,
+    columns: Mapping[str, str],
+    keys: Sequence[str] = ("node",),
+    percentiles: Mapping[str, float] = PERCENTILES,
+    order: Sequence[str] = ("ts", "seq"),
+    initial: DataFrame | None = None,
+    **slicing,
+) -> DataFrame:
+    """Per row, percentiles of several columns over the key's whole past including the row itself.
+
+    For each entry ``name -> column`` adds ``<name>_<percentile>`` and ``<name>_overflowed`` (without the
+    underscore if the name is empty).  The histograms behind them are never cleared.  A row whose value
+    is NULL (a tick without traffic) adds nothing and reports 0.  After an overflow the percentiles are
+    NULL.  ``initial`` may hold what was seen before the frame starts: ``(*keys, seen)`` as made by
+    ``counts_of_all``, with columns numbered as here.
+
+    Any number of columns takes one pass to count them per slice and one to go through the rows.  What
+    a slice inherits, for all columns, is joined to its first row; the rows stay where the window over
+    their slice has them.  The counting itself runs over Arrow batches: 91 running counts per row and
+    column are too many for a window, which updates them one by one.
     """
     tie = order[1] if len(order) > 1 else None
     had_slices = SLICE in df.columns
     sliced = with_slices(df, keys, order[0], tie, **slicing)
-    group = slice_group(keys)
-
-    # A slice without any value still needs its row in front, hence the outer join.
-    per_slice = counts_array(histogram(sliced, group, column), group)
-    every = sliced.select(*group).distinct().join(per_slice, group, "left")
-    wide = every.select(*group, *(F.coalesce(F.col("counts")[i], F.lit(0)).alias(c) for i, c in enumerate(_PLACES)))
-    front = carried(wide, keys, {c: F.expr(f"sum({c})") for c in _PLACES})
-    counts = F.array(*(F.coalesce(c, F.lit(0)) for c in _PLACES))
-    if initial is None:
-        front = front.select(*group, counts.alias("_counts"))
-    else:
-        seen = initial.select(*keys, F.col("counts").alias("_seen"))
-        added = F.coalesce(F.zip_with(counts, "_seen", lambda a, b: a + b), counts)
-        front = front.join(seen, list(keys), "left").select(*group, added.alias("_counts"))
-
-    # As text: a column of mostly missing arrays is slow to hand over.
-    front = front.withColumn("_counts", F.array_join(F.col("_counts").cast("array<string>"), " "))
-    rows = sliced.withColumn("_bucket", bucket_index(column))
-    together = (
-        rows.unionByName(front, allowMissingColumns=True)
-        .repartition(*group)
-        .sortWithinPartitions(*group, F.col("_counts").isNull(), *order)
-    )
+    group, values = slice_group(keys), list(columns.values())
+
+    per_slice = counts_of_all(sliced, group, values)
+    if initial is not None:
+        # Older than all slices: no slice has a NULL number.
+        old = {c: F.lit(None).cast(sliced.schema[c].dataType) for c in (SLICE, PART)}
+        per_slice = per_slice.unionByName(initial.select(*keys, "seen").withColumns(old))
+    in_order = per_slice.repartition(*keys).sortWithinPartitions(*group)
+    schema = T.StructType([sliced.schema[c] for c in group]).add("_counts", T.BinaryType())
+    fronts = in_order.mapInArrow(_inherited(list(keys), group, len(values)), schema)
+
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
+    marked = sliced.withColumns({"_first": first, **{f"_bucket{i}": bucket_index(c) for i, c in enumerate(values)}})
+    together = marked.join(fronts, group, "left").withColumn("_counts", F.when(F.col("_first"), F.col("_counts")))
+    together = together.drop("_first").sortWithinPartitions(*group, *order)
     names, shares = list(percentiles), list(percentiles.values())
+    added = [[f"{column}_{n}" if column else n for n in (*names, "overflowed")] for column in columns]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in sliced.schema])
-    for name in names:
-        schema = schema.add(name, T.LongType())
-    schema = schema.add("overflowed", T.BooleanType())
-    out = together.mapInArrow(_running(sliced.columns, names, shares), schema)
+    for one in added:
+        for name in one[:-1]:
+            schema = schema.add(name, T.LongType())
+        schema = schema.add(one[-1], T.BooleanType())
+    out = together.mapInArrow(_running(sliced.columns, added, shares), schema)
     return out if had_slices else without_slices(out)
 
 
+def _inherited(keys: list[str], group: list[str], n_columns: int):
+    """Per slice, in order, the counts of all earlier slices of its key, a row of buckets for each column."""
+
+    def run(batches):
+        key, counts = None, None
+        for batch in batches:
+            out = []
+            here = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            numbered = batch.column(group[-2]).is_valid().to_pylist()
+            for at, entries in enumerate(batch.column("seen")):
+                if counts is None or here[at] != key:
+                    key, counts = here[at], np.zeros((n_columns, len(EDGES)), dtype=np.int64)
+                # Counts from before the frame have no slice.
+                out.append(counts.tobytes() if numbered[at] else None)
+                if entries.is_valid and len(entries.values):
+                    column, bucket, n = (f.to_numpy() for f in entries.values.flatten())
+                    np.add.at(counts, (column, bucket), n)
+            whole = pa.RecordBatch.from_arrays([*(batch.column(c) for c in group), pa.array(out, pa.binary())], [*group, "_counts"])
+            yield whole.filter(pa.array(numbered))
+
+    return run
+
+
 # Rows counted at a time: small enough for 91 counts per row to stay in the processor's cache.
 _BLOCK = 1024
 
 
-def _running(columns: list[str], names: list[str], shares: list[float]):
-    """The counting of ``running_percentile`` over the ordered batches of one task."""
+def _running(columns: list[str], added: list[list[str]], shares: list[float]):
+    """The counting of ``running_percentiles`` over the ordered batches of one task."""
     bounds, last = np.array([*BOUNDS, 0]), len(EDGES) - 1
 
     def ranks(base, seg, upto, share):
@@ -184,41 +244,46 @@ def _running(columns: list[str], names: list[str], shares: list[float]):
             low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
         return np.where(k == 0, 0, bounds[low])
 
+    def one_column(bucket, start, part, given, seen, above):
+        """Percentiles and overflow of one column; ``given`` has what each slice starts with, and ``seen``
+        and ``above`` what the slice of the first row has so far: values up to each bound, values above the last."""
+        given = np.vstack([seen, given.cumsum(axis=1)])
+        is_over = bucket == last
+        over = is_over.cumsum()
+        front = np.concatenate([[above], given[1:, last] - given[1:, last - 1] - (over - is_over)[start]])
+        over = over + front[part]
+        held = np.flatnonzero(bucket >= 0)
+        found = [np.zeros(len(bucket), dtype=np.int64) for _ in shares]
+        for at in range(0, len(held), _BLOCK):
+            rows = held[at : at + _BLOCK]
+            upto = (bucket[rows, None] <= np.arange(last + 1)).cumsum(axis=0, dtype=np.int32)
+            change = np.flatnonzero(np.diff(part[rows])) + 1
+            seg = np.zeros(len(rows), dtype=np.int64)
+            seg[change] = 1
+            seg = seg.cumsum()
+            base = given[part[rows[np.concatenate([[0], change])]]]
+            base[1:] -= upto[change - 1]
+            for values, share in zip(found, shares, strict=True):
+                values[rows] = ranks(base, seg, upto, share)
+            given[part[rows[-1]]] = base[seg[-1]] + upto[-1]
+        arrays = [pa.array(values, mask=(over > 0) & (bucket >= 0)) for values in found]
+        return [*arrays, pa.array(over > 0)], (given[part[-1]], over[-1])
+
     def run(batches):
-        # Values up to each bound, and values above the last one, of the slice a batch starts in.
-        seen, above = np.zeros(last + 1, dtype=np.int64), 0
+        state = [(np.zeros(last + 1, dtype=np.int64), 0)] * len(added)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             counts = batch.column("_counts")
             start = np.flatnonzero(counts.is_valid().to_numpy(zero_copy_only=False))
-            given = [np.array(text.split(), dtype=np.int64).cumsum() for text in counts.drop_null().to_pylist()]
-            given = np.vstack([seen, *given])
-            bucket = batch.column("_bucket").fill_null(-1).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(start, np.arange(len(bucket)), side="right")
-
-            over = (bucket == last).cumsum()
-            front = np.concatenate([[above], given[1:, last] - given[1:, last - 1] - over[start]])
-            over = over + front[part]
-
-            held = np.flatnonzero(bucket >= 0)
-            found = {n: np.zeros(len(bucket), dtype=np.int64) for n in names}
-            for at in range(0, len(held), _BLOCK):
-                rows = held[at : at + _BLOCK]
-                upto = (bucket[rows, None] <= np.arange(last + 1)).cumsum(axis=0, dtype=np.int32)
-                change = np.flatnonzero(np.diff(part[rows])) + 1
-                seg = np.zeros(len(rows), dtype=np.int64)
-                seg[change] = 1
-                seg = seg.cumsum()
-                base = given[part[rows[np.concatenate([[0], change])]]]
-                base[1:] -= upto[change - 1]
-                for name, share in zip(names, shares, strict=True):
-                    found[name][rows] = ranks(base, seg, upto, share)
-                given[part[rows[-1]]] = base[seg[-1]] + upto[-1]
-            if len(bucket):
-                seen, above = given[part[-1]], over[-1]
-
-            results = [pa.array(found[n], mask=(over > 0) & (bucket >= 0)) for n in names]
-            arrays = [batch.column(c) for c in columns] + results + [pa.array(over > 0)]
-            whole = pa.RecordBatch.from_arrays(arrays, [*columns, *names, "overflowed"])
-            yield whole.filter(counts.is_null())
+            given = np.frombuffer(b"".join(counts.drop_null().to_pylist()), dtype=np.int64).reshape(-1, len(added), last + 1)
+            part = np.searchsorted(start, np.arange(batch.num_rows), side="right")
+            results = []
+            for i, (seen, above) in enumerate(state):
+                bucket = batch.column(f"_bucket{i}").fill_null(-1).to_numpy(zero_copy_only=False)
+                arrays, state[i] = one_column(bucket, start, part, given[:, i], seen, above)
+                results += arrays
+            names = [n for one in added for n in one]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *results], [*columns, *names])
 
     return run

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from herdwatch.functions.buckets import to_bucket
 from herdwatch.operators.counters import OPERATIONS, operation_deltas
 from herdwatch.operators.health import process_down, transitions
-from herdwatch.operators.histogram import PERCENTILES, counts_array, histogram, running_percentile
+from herdwatch.operators.histogram import PERCENTILES, counts_of_all, running_percentiles
 from herdwatch.streaming.state import StateTable, mark_late
 
 WATERMARK = "10 minutes"
@@ -78,15 +78,11 @@ def stream_latencies(
             seeds = seeds.join(fresh.select(*keys).distinct(), list(keys), "left_semi")
             fresh = fresh.unionByName(seeds, allowMissingColumns=True)
         result = operation_deltas(fresh, operations, keys, keep_slices=bool(percentile_of))
-        for op in percentile_of:
-            latency = f"{op}_latency_us"
-            # The seed row is no interval and must not count.
-            result = result.withColumn(latency, F.when(~F.col("_seed"), F.col(latency)))
-            initial = None if state is None else state.select(*keys, F.col(f"hist_{op}").alias("counts"))
-            named = {name: F.col(name) for name in percentiles}
-            result = running_percentile(result, latency, keys, percentiles, ORDER, initial=initial)
-            named["overflowed"] = F.col("overflowed")
-            result = result.withColumns({f"{op}_{n}": c for n, c in named.items()}).drop(*named)
+        if percentile_of:
+            # The seed rows are no intervals and must not count.
+            named = {op: f"{op}_latency_us" for op in percentile_of}
+            result = result.withColumns({c: F.when(~F.col("_seed"), F.col(c)) for c in named.values()})
+            result = running_percentiles(result, named, keys, percentiles, ORDER, initial=state)
         result = result.filter("NOT _seed").drop("_seed", "_slice", "_part")
         result.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         table.write(_next_state(spark.read.parquet(f"{out}/epoch={epoch}"), state), epoch)
@@ -97,10 +93,10 @@ def stream_latencies(
             *(F.max(c).alias(c) for c in counters),
             *(F.max_by(t, F.struct(*ORDER)).alias(t) for t in timers),
         )
-        for op in percentile_of:
-            hist = counts_array(histogram(done, keys, f"{op}_latency_us"), keys)
-            counted = counted.join(hist.withColumnRenamed("counts", f"hist_{op}"), list(keys), "left")
-        new = counted.select(*keys, "_at.*", *counters, *timers, *(f"hist_{op}" for op in percentile_of))
+        new = counted.select(*keys, "_at.*", *counters, *timers)
+        if percentile_of:
+            latencies = [f"{op}_latency_us" for op in percentile_of]
+            new = new.join(counts_of_all(done, keys, latencies, seen=state), list(keys), "full")
         if state is None:
             return new
         # At most two rows per key meet here.
@@ -111,9 +107,8 @@ def stream_latencies(
             **{c: F.when(later, F.col(c)).otherwise(F.col(f"_{c}")) for c in (*ORDER, *timers)},
             **{c: F.greatest(F.col(c), F.col(f"_{c}")) for c in counters},
         }
-        for op in percentile_of:
-            h, o = F.col(f"hist_{op}"), F.col(f"_hist_{op}")
-            merged[f"hist_{op}"] = F.coalesce(F.zip_with(h, o, lambda a, b: a + b), h, o)
+        if percentile_of:
+            merged["seen"] = F.col("seen")  # earlier counts are in it
         return both.select(*keys, *(c.alias(n) for n, c in merged.items()))
 
     return _start(samples, _per_batch(handle), checkpoint, **trigger)

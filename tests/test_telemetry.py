@@ -212,3 +212,20 @@ def test_one_instant_is_cut_by_any_tie_breaker(spark, tie):
     assert sizes.agg({"count": "max"}).first()[0] <= 20
     rows = slices.running_before(df, ["node"], {"s": ("sum", "v"), "l": ("last", "v")}, max_rows=20).collect()
     assert all((r.l, r.s) == ((r.v - 1, r.v * (r.v - 1) // 2) if r.v else (None, None)) for r in rows)
+
+
+def test_running_percentiles_of_many_columns_take_no_more_scans(spark, tmp_path):
+    rows = random_rows(4)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "rows"))
+    df = counters.operation_deltas(spark.read.parquet(str(tmp_path / "rows")), OPS, keep_slices=True, max_rows=None)
+    df = df.withColumns({f"c{i}": F.col("op_latency_us") * (i + 1) for i in range(7)})
+
+    def scans(n: int) -> int:
+        out = histogram.running_percentiles(df, {f"p{i}": f"c{i}" for i in range(n)})
+        return out._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    assert scans(7) == scans(1)
+    out = histogram.running_percentiles(df, {"a": "op_latency_us", "b": "c0"})
+    expected = replay(rows)
+    for r in out.collect():
+        assert (r.a_p95, r.a_p99) == (r.b_p95, r.b_p99) == expected[(r.node, r.seq)][3:]
