@@ -142,6 +142,29 @@ HALF_DAYS = (
 )
 
 
+# Numbered clusters: each customer's datasets, named as the customer's policy has it.
+_K = "'c' || cast(o_custkey as string)"
+CUSTOMER_NAMES = (
+    "select distinct c_custkey, case m when 0 then k || '_' || y when 1 then k || '_' || y || mo when 3 then k || '_' || y || mo || d || '07' "
+    "when 4 then k || '-' || y || '-' || mo || '-' || d when 5 then k || y || mo || d else k || '_' || y || mo || d end as name from "
+    f"(select o_custkey as c_custkey, cast(o_custkey % 12 as int) as m, {_K} as k, cast(year(o_orderdate) as string) as y, "
+    "lpad(cast(month(o_orderdate) as string), 2, '0') as mo, lpad(cast(day(o_orderdate) as string), 2, '0') as d from {orders}) as x"
+)
+
+
+def _customer_matches(spark, sf_dir):
+    listing = on_spark(spark, sf_dir, CUSTOMER_NAMES).select("name").distinct()
+    return lifecycle.match_policies(_customer_policies(spark, sf_dir), listing).select("c_custkey", "pattern", "name")
+
+
+# A caller's filter: names of a pattern's first word, of any form, as long as the pattern without its quotes.
+BY_WORD = lifecycle.NameFilter(
+    matches=lambda name, pattern: F.length(name) == F.length(F.replace(pattern, F.lit("'"), F.lit(""))),
+    name_key=lambda name: F.regexp_extract(name, "^[a-z]*", 0),
+    pattern_key=lambda pattern: F.regexp_extract(pattern, "^'([a-z]*)", 1),
+)
+
+
 def _named(view: str, pattern: str):
     def run(spark, sf_dir):
         names = on_spark(spark, sf_dir, view).select("name").distinct()
@@ -164,6 +187,19 @@ def entries() -> list[Entry]:
             lambda s, d: lifecycle.match_policies(policies(s), datasets(s, d)).select("name", "pattern"),
             _oracle("select name, pattern from matches"),
         ),
+        Entry(
+            "match_customer_policies",
+            _customer_matches,
+            with_views("select e.c_custkey, e.pattern, n.name from e join n using (c_custkey) where e.actionable", e=_EXPECTED, n=CUSTOMER_NAMES),
+        ),
+        Entry(
+            "match_policies_by_filter",
+            lambda s, d: lifecycle.match_policies(policies(s), datasets(s, d), BY_WORD).select("name", "pattern"),
+            _oracle(
+                "select name, pattern from datasets, policies where length(name) = length(replace(pattern, chr(39), '')) "
+                "and regexp_extract(name, '^[a-z]*') = regexp_extract(pattern, '^' || chr(39) || '([a-z]*)', 1)"
+            ),
+        ),
         Entry(
             "week_names",
             _named(WEEK_NAMES, "'wk'-YYYY-ww"),
@@ -195,12 +231,10 @@ def entries() -> list[Entry]:
         ),
         Entry(
             "datasets_to_create",
-            lambda s, d: lifecycle.to_create(
-                datasets(s, d).filter("name <> 'audit-1999.06.16'"), policies(s), NOW
-            ),
+            lambda s, d: lifecycle.to_create(datasets(s, d), policies(s), NOW),
             _oracle(
                 "select distinct pattern, next_name, cast(null as string) as error from matches where pre_create "
-                "and (next_name not in (select name from datasets) or next_name = 'audit-1999.06.16')"
+                "and next_name not in (select name from datasets)"
             ),
         ),
         Entry(

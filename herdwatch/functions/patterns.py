@@ -32,7 +32,7 @@ _DIGITS = {"y": 4, "Y": 4, "x": 4, "D": 3, "S": 1}
 
 FORM = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("error", "spark", "week")]
-    + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("pieces", "shapes")]
+    + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("pieces", "shapes", "layouts", "texts")]
 )
 
 
@@ -41,7 +41,8 @@ def compile_pattern(pattern: str | None) -> dict:
 
     ``error`` says why it cannot be used.  ``spark`` is the pattern in Spark's letters; week
     patterns have ``week``, a regular expression, and ``pieces`` instead.  ``shapes`` are the
-    printed forms it can have, with digits as 0.
+    printed forms it can have, with digits as 0.  ``layouts`` say, for each of the lengths its fields
+    can have, how long a name is and where its literal text stands; ``texts`` are these texts.
     """
     form = dict.fromkeys(FORM.names)
     if pattern is None:
@@ -52,6 +53,8 @@ def compile_pattern(pattern: str | None) -> dict:
     if form["error"]:
         return form
     form["shapes"] = sorted({"".join(c) for c in itertools.product(*map(_shapes, tokens))})
+    laid_out = sorted({_layout(tokens, c) for c in itertools.product(*map(_widths, tokens))})
+    form["layouts"], form["texts"] = [x for x, _ in laid_out], [x for _, x in laid_out]
     if any(t[0] == "w" for t in fields):
         form["week"] = "^" + "".join(map(_week_rule, tokens)) + "$"
         form["pieces"] = [{"w": "week"}.get(t[0], "year") if t[0].isalpha() else "=" + _text(t) for t in tokens]
@@ -88,13 +91,40 @@ def _week_rule(token: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", _text(token))
 
 
+def _widths(token: str) -> list[int]:
+    """How many characters a token can print."""
+    if not token[0].isalpha():
+        return [len(_text(token))]
+    if token[0] == "a":
+        return [2]
+    return list(range(len(token), max(len(token), _DIGITS.get(token[0], 2)) + 1))
+
+
 def _shapes(token: str) -> list[str]:
     if not token[0].isalpha():
         return [re.sub("[0-9]", "0", _text(token))]
-    if token[0] == "a":
-        return ["AM", "PM"]
-    widest = max(len(token), _DIGITS.get(token[0], 2))
-    return ["0" * n for n in range(len(token), widest + 1)]
+    return ["AM", "PM"] if token[0] == "a" else ["0" * n for n in _widths(token)]
+
+
+def _layout(tokens: list[str], widths: tuple[int, ...]) -> tuple[str, str]:
+    """``size|start+length,...`` of the literal text, and the text."""
+    ends = list(itertools.accumulate(widths))
+    literal = [(end - n, n, _text(t)) for t, n, end in zip(tokens, widths, ends, strict=True) if not t[0].isalpha() and n]
+    return f"{ends[-1] if ends else 0}|" + ",".join(f"{at}+{n}" for at, n, _ in literal), "".join(t for _, _, t in literal)
+
+
+def layout_size(layout: Column) -> Column:
+    return F.substring_index(layout, "|", 1).cast("int")
+
+
+def cut_by_layout(name: Column, layout: Column) -> Column:
+    """What a name has in the places where the layout has literal text."""
+    spans = F.filter(F.split(F.substring_index(layout, "|", -1), ","), lambda x: x != "")
+    cut = F.transform(
+        spans,
+        lambda x: F.substr(name, F.substring_index(x, "+", 1).cast("int") + 1, F.substring_index(x, "+", -1).cast("int")),
+    )
+    return F.array_join(cut, "")
 
 
 def pattern_form(pattern: str) -> Column:
@@ -104,7 +134,7 @@ def pattern_form(pattern: str) -> Column:
     as_array = lambda v: F.lit(None) if v is None else F.array(*map(F.lit, v))
     return F.struct(
         *(as_text(form[f]).alias(f) for f in ("error", "spark", "week")),
-        *(as_array(form[f]).cast("array<string>").alias(f) for f in ("pieces", "shapes")),
+        *(as_array(form[f]).cast("array<string>").alias(f) for f in ("pieces", "shapes", "layouts", "texts")),
     )
 
 
@@ -118,8 +148,10 @@ _compile_once = _compile.asNondeterministic()
 
 
 def with_form(df: DataFrame, pattern: str, into: str = "form") -> DataFrame:
-    """Add the form of a pattern column."""
-    return df.withColumn(into, _compile_once(F.col(pattern)))
+    """Add the form of a pattern column; each distinct pattern is compiled once."""
+    forms = df.select(F.col(pattern).alias("_pattern")).filter("_pattern IS NOT NULL").distinct()
+    forms = forms.withColumn(into, _compile_once(F.col("_pattern")))
+    return df.join(forms, df[pattern] == forms["_pattern"], "left").drop("_pattern")
 
 
 def _monday(date: Column) -> Column:

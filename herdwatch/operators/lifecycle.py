@@ -6,6 +6,8 @@ instead of stopping the others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,18 +94,44 @@ def list_tables(spark: SparkSession, database: str) -> DataFrame:
     return spark.sql(f"SHOW TABLES IN {database}").select(F.col("tableName").alias("name"))
 
 
-def match_policies(policies: DataFrame, datasets: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class NameFilter:
+    """A caller's own rule for which names belong to a pattern.
+
+    ``matches`` takes the name and the pattern.  ``name_key`` and ``pattern_key`` are equal wherever it
+    holds: only such pairs are tested, so the more they tell apart, the fewer.
+    """
+
+    matches: Callable[[Column, Column], Column]
+    name_key: Callable[[Column], Column]
+    pattern_key: Callable[[Column], Column]
+
+
+def candidates(policies: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Datasets with the actionable policies whose literal text they have in its places.
+
+    Not a cross join.  Patterns have few layouts: a length, and the places of literal text.  A name is
+    cut by the layouts of its length, and what is cut out is joined to the patterns' text by equality,
+    digits included, so that numbered clusters of one layout do not meet.
+    """
+    laid_out = policies.filter("actionable").withColumn("_l", F.explode(F.arrays_zip("form.layouts", "form.texts")))
+    laid_out = laid_out.withColumns({"_layout": F.col("_l.layouts"), "_text": F.col("_l.texts")}).drop("_l")
+    layouts = laid_out.select("_layout").distinct().withColumn("_size", patterns.layout_size(F.col("_layout")))
+    sized = datasets.withColumn("_size", F.length("name")).join(layouts, "_size").drop("_size")
+    cut = sized.withColumn("_text", patterns.cut_by_layout(F.col("name"), F.col("_layout")))
+    return cut.join(laid_out, ["_layout", "_text"]).drop("_layout", "_text")
+
+
+def match_policies(policies: DataFrame, datasets: DataFrame, name_filter: NameFilter | None = None) -> DataFrame:
     """Every dataset with every actionable policy that its name matches; policies may overlap.
 
-    Not a cross join: a name can only match a pattern whose printed form has the same shape
-    (digits aside, the same text), so the shape is a join key and only equal shapes are tested.
+    A name matches if it has the pattern's form, or by ``name_filter`` if one is given.
     """
-    shaped_policies = policies.filter("actionable").withColumn(
-        "_shape", F.explode("form.shapes")
-    )
-    shaped = datasets.withColumn("_shape", patterns.name_shape(F.col("name")))
-    pairs = shaped.join(shaped_policies, "_shape").drop("_shape")
-    return pairs.filter(patterns.matches_form(F.col("name"), F.col("form")))
+    if name_filter is None:
+        return candidates(policies, datasets).filter(patterns.matches_form(F.col("name"), F.col("form")))
+    named = datasets.withColumn("_key", name_filter.name_key(F.col("name")))
+    pairs = named.join(policies.filter("actionable").withColumn("_key", name_filter.pattern_key(F.col("pattern"))), "_key").drop("_key")
+    return pairs.filter(name_filter.matches(F.col("name"), F.col("pattern")))
 
 
 def _now(now: datetime | str | Column) -> Column:
@@ -118,9 +146,11 @@ def cutoff(policies: DataFrame, now: datetime | str | Column) -> DataFrame:
     )
 
 
-def expired(datasets: DataFrame, policies: DataFrame, now: datetime | str | Column) -> DataFrame:
+def expired(
+    datasets: DataFrame, policies: DataFrame, now: datetime | str | Column, name_filter: NameFilter | None = None
+) -> DataFrame:
     """The drop plan: matches dated strictly before the policy's cutoff."""
-    dated = match_policies(cutoff(policies, now), datasets).withColumn(
+    dated = match_policies(cutoff(policies, now), datasets, name_filter).withColumn(
         "name_date", patterns.name_date(F.col("name"), F.col("form"))
     )
     return dated.filter(F.col("name_date") < F.col("cutoff"))
@@ -135,13 +165,15 @@ def next_name(policies: DataFrame, now: datetime | str | Column) -> DataFrame:
     return named.withColumn("next_name", first).drop("_now_name", "_ahead")
 
 
-def to_create(datasets: DataFrame, policies: DataFrame, now: datetime | str | Column) -> DataFrame:
+def to_create(
+    datasets: DataFrame, policies: DataFrame, now: datetime | str | Column, name_filter: NameFilter | None = None
+) -> DataFrame:
     """Datasets to create: next names of ``pre_create`` policies that match something already.
 
     Names that exist are left out.  A pattern whose name never changes gives an ``error`` row.
     """
     wanted = next_name(policies.filter("actionable AND pre_create"), now)
-    in_use = match_policies(policies.filter("pre_create"), datasets).select("pattern").distinct()
+    in_use = match_policies(policies.filter("pre_create"), datasets, name_filter).select("pattern").distinct()
     named = wanted.join(in_use, "pattern", "left_semi").withColumn(
         "error", F.when(F.col("next_name").isNull(), "pattern never changes")
     )

@@ -161,3 +161,34 @@ def test_drop_plan_applies(spark):
     assert [r.v for r in lifecycle.kept(rows, plan).collect()] == [3]
     stats = rows.select("name", F.lit(1).alias("rows"), F.col("v").alias("bytes"))
     assert tuple(lifecycle.reclaim_report(plan, stats).first()) == ("a2012", 2, 3)
+
+
+def test_numbered_clusters_only_meet_their_own_policies(spark):
+    texts = ["'c%d_'yyyyMMdd", "'c%d_'yyyy", "yyyy-MM'/c%d'", "'c%d-'yyyy-D", "'c%d.'YYYYww"]
+    usable = [(texts[i % 5] % i,) for i in range(100, 300)]
+    policies = patterns.with_form(spark.createDataFrame(usable, "pattern string"), "pattern").withColumn("actionable", F.lit(True))
+    names = ["c%d_20240229", "c%d_2024", "2024-02/c%d", "c%d-2024-60", "c%d.202409"]
+    datasets = spark.createDataFrame([(names[i % 5] % i,) for i in range(100, 300)] + [("c100_20240230",), ("other",)], "name string")
+    assert lifecycle.candidates(policies, datasets).count() <= 2 * 200 + 1
+    got = {(r.pattern, r.name) for r in lifecycle.match_policies(policies, datasets).select("pattern", "name").collect()}
+    assert got == {(texts[i % 5] % i, names[i % 5] % i) for i in range(100, 300)}
+
+
+def test_layouts_hold_every_name_that_matches(spark):
+    rows = [(p, n) for p, (good, _) in NAMES.items() for n in good]
+    df = spark.createDataFrame(rows, "pattern string, name string")
+    policies = patterns.with_form(df.select("pattern").distinct(), "pattern").withColumn("actionable", F.lit(True))
+    found = {(r.pattern, r.name) for r in lifecycle.candidates(policies, df.select("name").distinct()).select("pattern", "name").collect()}
+    assert found >= set(rows)
+
+
+def test_a_callers_filter(spark):
+    policies = patterns.with_form(spark.createDataFrame([("'a'yyyy",), ("'b'yyyyMM",)], "pattern string"), "pattern").withColumn("actionable", F.lit(True))
+    datasets = spark.createDataFrame([("axx",), ("bxx",), ("cxx",), ("a1999",)], "name string")
+    own = lifecycle.NameFilter(
+        matches=lambda name, pattern: ~name.contains("1") & pattern.contains("yyyy"),
+        name_key=lambda name: F.substring(name, 1, 1),
+        pattern_key=lambda pattern: F.substring(pattern, 2, 1),
+    )
+    got = lifecycle.match_policies(policies, datasets, own).select("name", "pattern").collect()
+    assert sorted(map(tuple, got)) == [("axx", "'a'yyyy"), ("bxx", "'b'yyyyMM")]
