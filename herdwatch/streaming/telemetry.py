@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from herdwatch.functions.buckets import to_bucket
 from herdwatch.operators.counters import OPERATIONS, operation_deltas
 from herdwatch.operators.health import process_down, transitions
-from herdwatch.operators.histogram import PERCENTILES, counts_of_all, running_percentiles
-from herdwatch.streaming.state import StateTable, mark_late
+from herdwatch.operators.histogram import PERCENTILES, counts_of_all, histogram, running_percentiles
+from herdwatch.streaming.state import ChangeLog, StateTable, mark_late
 
 WATERMARK = "10 minutes"
 ORDER = ("ts", "seq")
@@ -54,6 +54,7 @@ def stream_latencies(
     percentile_of: Sequence[str] = (),
     percentiles: Mapping[str, float] = PERCENTILES,
     keys: Sequence[str] = ("node",),
+    expire_after: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Deltas and interval latency as samples arrive (G2), with running percentiles.
@@ -61,13 +62,14 @@ def stream_latencies(
     Writes the samples with the columns of ``operation_deltas``; for each operation in
     ``percentile_of`` also ``<op>_<percentile>`` and ``<op>_overflowed``.  Late samples go to ``<out>-late``.
     """
-    table = StateTable(f"{checkpoint}/state")
+    table = StateTable(f"{checkpoint}/state", keys, expire_after=expire_after)
     counters = [c for c, _ in operations.values()]
     timers = [t for _, t in operations.values()]
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        state = table.read(spark, epoch)
+        touched = table.touched(batch)
+        state = table.read(spark, epoch, touched)
         marked = mark_late(batch, state, keys, ORDER)
         marked.filter("late").drop("late").write.mode("overwrite").parquet(f"{out}-late/epoch={epoch}")
         fresh = marked.filter("NOT late").drop("late").withColumn("_seed", F.lit(False))
@@ -85,7 +87,7 @@ def stream_latencies(
             result = running_percentiles(result, named, keys, percentiles, ORDER, initial=state)
         result = result.filter("NOT _seed").drop("_seed", "_slice", "_part")
         result.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        table.write(_next_state(spark.read.parquet(f"{out}/epoch={epoch}"), state), epoch)
+        table.write(_next_state(spark.read.parquet(f"{out}/epoch={epoch}"), state), epoch, touched)
 
     def _next_state(done: DataFrame, state: DataFrame | None) -> DataFrame:
         counted = done.groupBy(*keys).agg(
@@ -115,14 +117,15 @@ def stream_latencies(
 
 
 def stream_process_signals(
-    samples: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("node",), **trigger
+    samples: DataFrame, out: str, checkpoint: str, keys: Sequence[str] = ("node",), expire_after: str | None = None, **trigger
 ) -> StreamingQuery:
     """Down codes and up/down changes (G4): ``<out>-down``, ``<out>-transitions`` and ``<out>-late``."""
-    table = StateTable(f"{checkpoint}/state")
+    table = StateTable(f"{checkpoint}/state", keys, expire_after=expire_after)
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        state = table.read(spark, epoch)
+        touched = table.touched(batch)
+        state = table.read(spark, epoch, touched)
         columns = [*keys, *ORDER, "up"]
         marked = mark_late(batch.select(*columns), state, keys, ORDER)
         marked.filter("late").drop("late").write.mode("overwrite").parquet(f"{out}-late/epoch={epoch}")
@@ -145,7 +148,7 @@ def stream_process_signals(
         rows = rows if state is None else rows.unionByName(state)
         newest = F.max_by(F.struct(*ORDER, "last_up"), F.struct(*ORDER))
         merged = rows.groupBy(*keys).agg(newest.alias("_n"), F.bool_or("seen").alias("seen"))
-        table.write(merged.select(*keys, "_n.ts", "_n.seq", "seen", "_n.last_up"), epoch)
+        table.write(merged.select(*keys, "_n.ts", "_n.seq", "seen", "_n.last_up"), epoch, touched)
 
     return _start(samples, _per_batch(handle), checkpoint, **trigger)
 
@@ -165,24 +168,69 @@ def window_histogram(samples: DataFrame, keys: Sequence[str], column: str, windo
     )
 
 
+def _added(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("epoch").alias("epoch"))
+
+
+def stream_windows(
+    samples: DataFrame, out: str, checkpoint: str, keys: Sequence[str], column: str, window: str, watermark: str = WATERMARK, **trigger
+) -> StreamingQuery:
+    """Histograms per tumbling window (G5) that keep late rows: whole rows of windows which the watermark of
+    the last finished micro-batch has passed go to ``<out>-late``, rows without a time as well.
+
+    Counts of a micro-batch are added to a folded log, which ``read_windows`` reads.
+    """
+    counted = [*keys, "window_start", "bound"]
+    log = ChangeLog(out, _added(counted))
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{checkpoint}/mark/epoch={epoch - 1}").first()[0] if epoch else None
+        # A window of a NULL time would drop the row.
+        timed, timeless = batch.filter("ts IS NOT NULL").withColumn("_w", F.window("ts", window)), batch.filter("ts IS NULL")
+        over = F.lit(False) if before is None else F.col("_w.end") <= F.lit(before) - F.expr(f"INTERVAL {watermark}")
+        late = timed.filter(over).select(*batch.columns).unionByName(timeless)
+        late.write.mode("overwrite").parquet(f"{out}-late/epoch={epoch}")
+        fresh = timed.filter(~over & F.col(column).isNotNull()).withColumn("window_start", F.col("_w.start"))
+        log.write(histogram(fresh, [*keys, "window_start"], column), epoch)
+        mark = batch.agg(F.greatest(F.max("ts").cast("timestamp"), F.lit(before).cast("timestamp")).alias("mark"))
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/mark/epoch={epoch}")
+
+    return _start(samples, _per_batch(handle), checkpoint, **trigger)
+
+
+def read_windows(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """What ``stream_windows`` has counted: ``(*keys, window_start, bound, n)``."""
+    return ChangeLog(out, _added([*keys, "window_start", "bound"])).read(spark).drop("epoch")
+
+
 def latest_sample(samples: DataFrame, keys: Sequence[str] = ("node",)) -> DataFrame:
     """Streaming newest sample per key (G6), for update mode."""
     newest = F.max_by(F.struct("*"), F.struct(*ORDER)).alias("_newest")
     return samples.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(newest).select("_newest.*")
 
 
-def stream_updates(updates: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the changed rows of an update-mode aggregate, micro-batch by micro-batch."""
+def _last(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """The last change of each key."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in keys]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
+        return last.select(*keys, "_v.*")
+
+    return fold
+
+
+def stream_updates(updates: DataFrame, out: str, checkpoint: str, keys: Sequence[str], every: int = 8, **trigger) -> StreamingQuery:
+    """Write the changed rows of an update-mode aggregate (a row per key), micro-batch by micro-batch, and fold them."""
+    log = ChangeLog(out, _last(keys), every)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        log.write(batch, epoch)
 
     return _start(updates, handle, checkpoint, "update", **trigger)
 
 
 def read_updates(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
     """The current state of what ``stream_updates`` wrote: the last change of each key."""
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in (*keys, "epoch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v"))
-    return last.select(*keys, "_v.*")
+    return ChangeLog(out, _last(keys)).read(spark).drop("epoch")
