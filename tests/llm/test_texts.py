@@ -73,6 +73,12 @@ def test_decontamination_of_awkward_tables(spark):
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_items_without_an_id_count_as_one(spark):
+    bench = spark.createDataFrame([(None, "red green"), (None, "green blue"), (4, "red green"), (4, "blue")], "item_id bigint, text string")
+    got = decontamination.contamination(plain(spark, ["red green blue", "a blue b", "none"]), bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r["items"]) for r in got] == [(3, 2, ["4"]), (1, 1, ["4"]), (0, 0, [])]
+
+
 def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
     bad = prose(random.Random(4), "en", 20)
     bench = spark.createDataFrame([(0, bad)], "item_id bigint, text string")
