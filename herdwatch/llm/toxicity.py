@@ -1,20 +1,23 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie.
 
-The lexicon is learned: words that stand in many different contexts of toxic documents and hardly
-ever in others.  Its trie is intersected with the Levenshtein automata of its terms and made
-deterministic, so that one table look-up per byte decides whether a word is a term, or one with a
-bounded number of edits.  All words of all texts are run through it side by side.
-
-A find counts by its context window: inside quotation marks it is a quotation, next to words of
-address it is abuse.  The counts per document, together with its length, are the features of a
-logistic regression.  Words a few edits from a term that stand in one half of the good sample are
+The lexicon is learned: words of any length that stand in toxic documents so much more often than in
+others that chance would not bring one such word into it.  Its trie is intersected with the Levenshtein
+automata of its terms and made deterministic, so that one table look-up per byte decides whether a
+word is a term, or one with a bounded number of edits; a large lexicon is several such tables.  All
+words of all texts are run through them side by side.
+
+A find counts by its context window: between an opening and a closing quotation mark that stand near
+it, it is a quotation, next to words of address it is abuse.  The logarithms of the counts per document,
+and of its length, are the features of a logistic regression.  Words a few edits from a term that stand in one half of the good sample are
 harmless ones; the other half shows what is still found by chance.  Everything is learned from at
 most ``sample`` labelled rows of each kind whose crc32 of the id, modulo 4, is not 2; scores use the
 text only.
 
 Defined results: null and empty texts have no finds and the score that belongs to none; without
-labelled rows of both kinds every score is 0; edits are counted in UTF-8 bytes; null and repeated
-ids are rows of their own; an empty table gives an empty result; extra columns are passed through.
+labelled rows of both kinds every score is 0; edits are counted in UTF-8 bytes; long texts are taken
+whole; null and repeated ids are rows of their own, and ``held_out`` is null for a null id; ties between
+terms do not matter, as all that pass are taken; an empty table gives an empty result; extra columns
+are passed through.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ from herdwatch.llm import store
 from herdwatch.llm.store import Sendable
 from herdwatch.llm.words import ALNUM, hashes, mix, parts, rows_of, spans, text_bytes
 
-#: Labelled rows of each kind that are learned from, and terms the lexicon may have.
-SAMPLE, MOST_TERMS = 10_000, 400
-#: A term stands in so many contexts and this share of the toxic sample's, and is so much likelier there.
-LEAST_CONTEXTS, LEAST_SHARE, LEAST_RATIO = 5, 0.01, 20.0
-#: Words on either side that make up a find's context.
-WINDOW = 4
+#: Labelled rows of each kind that are learned from.
+SAMPLE = 10_000
+#: Words below so many toxic documents can't be told from chance; a term is so much likelier in toxic ones.
+LEAST_SEEN, LEAST_RATIO = 5, 20.0
+#: Terms of one automaton.
+GROUP = 40
+#: Words on either side that make up a find's context; bytes on either side that have its quotation marks.
+WINDOW, QUOTE = 4, 300
 THRESHOLD = 0.3
 
 # Words of address in the languages at hand.
@@ -128,43 +133,102 @@ class Automaton(Sendable):
         return found
 
 
+class Lexicon(Sendable):
+    """All terms, in alphabetical groups with an automaton each."""
+
+    def __init__(self, terms: list[str], group: int = GROUP):
+        words = sorted(set(terms))
+        self.automata = [Automaton(words[i : i + group]) for i in range(0, len(words), group)]
+
+    def edits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Edits from each word to the nearest term that it may stand for, or -1."""
+        found = np.full(len(starts), -1, np.int8)
+        for automaton in self.automata:
+            got = automaton.edits(data, starts, ends)
+            found = np.where((got >= 0) & ((found < 0) | (got < found)), got, found)
+        return found
+
+
 _ADDRESS = np.sort(hashes(np.frombuffer(" ".join(ADDRESS).encode(), np.uint8), *spans(ALNUM[np.frombuffer(" ".join(ADDRESS).encode(), np.uint8)], np.array([0, len(" ".join(ADDRESS).encode())]))[:2]))
-#: Counts are capped here: more finds of a kind than this say nothing new.
-CAPS = (3, 2, 2, 2, 2, 3)
+#: Features of a text.
+N_FEATURES = 6
 #: Weights before anything is learned, and how strongly they hold.  Labelled samples hardly have misspellings,
 #: so a find with edits counts as a find, less a little unless good documents show more of them.
 PRIOR, HOLD = (4.0, -0.5, -1.5, 0.0, 0.5, 0.0), 1.0
 
 
-def _quoted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per byte, whether quotation marks of its text stand open before it."""
-    straight = data == 0x22
-    third = np.append(np.zeros(2, bool), (data[:-2] == 0xE2) & (data[1:-1] == 0x80)) if len(data) > 2 else np.zeros(len(data), bool)
-    second = np.append(False, data[:-1] == 0xC2) if len(data) else third
-    opened = (third & (data == 0x9C)) | (second & (data == 0xAB))
-    closed = (third & (data == 0x9D)) | (second & (data == 0xBB))
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+#: Bytes of letters and digits, and ASCII marks after which none opens.
+ALNUM_BYTE = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+_CLOSERS = np.frombuffer(b")]}.,;:!?%", np.uint8)
+
 
-    def since_start(x: np.ndarray) -> np.ndarray:
-        total = np.append(0, np.cumsum(x))
-        return total[:-1] - total[offsets[:-1]][row]
+def _separated(raw: np.ndarray) -> np.ndarray:
+    """The bytes with separators as spaces, punctuation outside ASCII (U+2000 to U+206F, guillemets and
+    inverted marks) among them."""
+    data = ALNUM[raw]
+    if len(raw) > 1:
+        three = np.flatnonzero((raw[:-1] == 0xE2) & ((raw[1:] == 0x80) | (raw[1:] == 0x81)))
+        two = np.flatnonzero((raw[:-1] == 0xC2) & np.isin(raw[1:], (0xA0, 0xA1, 0xAB, 0xBB, 0xBF)))
+        for places, size in ((three, 3), (two, 2)):
+            for shift in range(size):
+                data[places + shift] = 32
+    return data
 
-    return (since_start(straight) % 2 == 1) | (since_start(opened) > since_start(closed))
 
+def _quoted(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, reach: int = QUOTE) -> np.ndarray:
+    """Whether the nearest mark before each place opens a quotation and the nearest one after it closes one,
+    both in the same text and at most ``reach`` bytes away.
 
-def features(automaton: Automaton, harmless: np.ndarray, column: pa.Array) -> np.ndarray:
-    """Per text: all finds, those with one and with two edits, quoted finds, addressed finds (all
-    capped), and the size of the text.  Quoted finds are only counted as such."""
+    Marks that may do both open after a space or a bracket and close before white space or punctuation; the
+    sign of inches in ``3.5" disk`` thus opens nothing.
+    """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    previous, following = np.append(np.uint8(32), data[:-1]), np.append(data[1:], np.uint8(32))
+    previous[edge[:-1]] = 32
+
+    def sign(*code: int) -> np.ndarray:
+        """The first bytes of a character."""
+        here = np.ones(len(data), bool)
+        for shift, byte in enumerate(code):
+            here[max(0, len(data) - shift) :] = False
+            here[: max(0, len(data) - shift)] &= data[shift:] == byte
+        return np.flatnonzero(here)
+
+    either = [(m, 1) for m in (sign(0x22),)] + [(sign(0xE2, 0x80, 0x9C), 3)]
+    after_space, before_space = ~ALNUM_BYTE[previous] & ~np.isin(previous, _CLOSERS), ~ALNUM_BYTE
+    opens, closes = [sign(0xE2, 0x80, 0x9E), sign(0xC2, 0xAB)], [sign(0xE2, 0x80, 0x9D), sign(0xC2, 0xBB)]
+    for marks, size in either:
+        last = marks + size - 1
+        end = edge[last + 1] | before_space[following[last]]
+        opening = after_space[marks] & ~(edge[last + 1] | (following[last] == 32))
+        opens.append(marks[opening])
+        closes.append(marks[~opening & end])
+    marks = np.concatenate(opens + closes)
+    order = np.argsort(marks)
+    opening = np.append(np.repeat([True, False], [sum(map(len, opens)), sum(map(len, closes))])[order], False)
+    marks = marks[order]
+    after = np.searchsorted(marks, at)
+    left = np.append(marks, -1)[after - 1]
+    right = np.append(marks, len(data))[after]
+    row = np.searchsorted(offsets, at, "right") - 1
+    near = (left >= offsets[row]) & (at - left <= reach) & (right < offsets[row + 1]) & (right - at <= reach)
+    return near & (after > 0) & opening[after - 1] & ~opening[after]
+
+
+def features(automaton: Lexicon, harmless: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Per text: all finds, those with one and with two edits, quoted finds, addressed finds (by number of
+    binary digits), and the size of the text.  Quoted finds are only counted as such."""
     raw, offsets = text_bytes(column)
-    data = ALNUM[raw]
+    data = _separated(raw)
     starts, ends, first = spans(data, offsets)
     edits = automaton.edits(data, starts, ends)
     hit = np.flatnonzero(edits >= 0)
     hit = hit[(edits[hit] == 0) | ~np.isin(_hash_at(data, starts[hit], ends[hit]), harmless)]
     row = rows_of(first)
-    out = np.zeros((len(offsets) - 1, len(CAPS)), np.int64)
+    out = np.zeros((len(offsets) - 1, N_FEATURES), np.int64)
     if len(hit):
-        quoted = _quoted(raw, offsets)[starts[hit]]
+        quoted = _quoted(raw, offsets, starts[hit])
         near = np.zeros(len(hit), bool)
         for shift in range(-WINDOW, WINDOW + 1):
             other = hit + shift
@@ -176,8 +240,9 @@ def features(automaton: Automaton, harmless: np.ndarray, column: pa.Array) -> np
         said = edits[hit].astype(np.int64)
         for column_, chosen in enumerate([~quoted, (said == 1) & ~quoted, (said == 2) & ~quoted, quoted, near & ~quoted]):
             out[:, column_] = np.bincount(row[hit[chosen]], minlength=len(out))
+    out[:, :5] = np.frexp(out[:, :5])[1]
     out[:, 5] = np.log10(np.maximum(np.diff(first), 1)).astype(np.int64)
-    return np.minimum(out, CAPS)
+    return out
 
 
 def _hash_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -194,7 +259,7 @@ def _hash_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 @dataclass(frozen=True)
 class Model(Sendable):
-    automaton: Automaton | None
+    automaton: Lexicon | None
     #: Hashes of words that are a few edits from a term but known to be harmless.
     harmless: np.ndarray
     weights: np.ndarray
@@ -217,17 +282,18 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
 
 
 def lexicon(chosen: DataFrame, n_good: int, n_bad: int) -> list[str]:
-    """Words of the toxic sample that stand in many contexts there and are rare in the other.
+    """Words of the toxic sample that are much likelier there, by a test on counts.
 
-    Contexts (the words on both sides) are counted instead of documents, so that copies of one
-    document count once.
+    A word's count is that of its documents or, if these are fewer, of its contexts (the words on both
+    sides): neither copies of one document nor one that repeats a word make a term.  The likelihood-ratio
+    test's level is one over the number of words tested, so that chance brings in about one at most.
     """
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
                 raw, offsets = text_bytes(part["text"])
-                data = ALNUM[raw]
+                data = _separated(raw)
                 starts, ends, first = spans(data, offsets)
                 hashed, row = hashes(data, starts, ends), rows_of(first)
                 left, right = np.append(np.uint64(0), hashed[:-1])[: len(hashed)], np.append(hashed[1:], np.uint64(0))[: len(hashed)]
@@ -236,29 +302,34 @@ def lexicon(chosen: DataFrame, n_good: int, n_bad: int) -> list[str]:
                 # Of the good ones only whether a word stands in a document matters.
                 _, once = np.unique(hashed ^ mix(row.astype(np.uint64)), return_index=True)
                 use = np.union1d(once[toxic[once] == 0], np.flatnonzero(toxic == 1))
-                use = use[(ends - starts)[use] >= 4]
+                begins = np.zeros(len(hashed), np.int64)
+                begins[once] = 1
                 text = data.tobytes()
                 words = [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[use], ends[use], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic[use]), pa.array(context[use])], names=["word", "toxic", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic[use]), pa.array(context[use]), pa.array(begins[use])], names=["word", "toxic", "context", "docs"])
 
-    rows = chosen.mapInArrow(seen, "word string, toxic bigint, context bigint")
-    bad = rows.filter("toxic = 1").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("bad"))
-    bad = bad.filter(F.col("bad") >= max(LEAST_CONTEXTS, LEAST_SHARE * n_bad))
+    rows = chosen.mapInArrow(seen, "word string, toxic bigint, context bigint, docs bigint")
+    bad = rows.filter("toxic = 1").groupBy("word", "context").agg(F.sum("docs").alias("docs"))
+    bad = bad.groupBy("word").agg(F.least(F.sum("docs"), F.count(F.lit(1))).alias("bad")).filter(F.col("bad") >= LEAST_SEEN)
     good = rows.filter("toxic = 0").groupBy("word").agg(F.count(F.lit(1)).alias("good"))
-    both = bad.join(good, "word", "left").fillna(0, ["good"])
+    both = store.keep(bad.join(good, "word", "left").fillna(0, ["good"]), "words")
     ratio = ((F.col("bad") + 0.5) / float(n_bad + 1)) / ((F.col("good") + 0.5) / float(n_good + 1))
-    found = both.withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    return [r.word for r in found.orderBy(F.desc(F.col("bad") * F.log("ratio")), "word").limit(MOST_TERMS).collect()]
+    every, share = F.col("bad") + F.col("good"), n_bad / float(n_bad + n_good)
+    by_good = F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (every * (1 - share)))).otherwise(0.0)
+    # Half the test's statistic: minus the logarithm of a chance, about.
+    evidence = F.col("bad") * F.log(F.col("bad") / (every * share)) + by_good
+    found = both.filter((ratio >= LEAST_RATIO) & (evidence >= float(np.log(max(both.count(), 1)))))
+    return sorted(r.word for r in found.select("word").collect())
 
 
-def _harmless(chosen: DataFrame, automaton: Automaton) -> np.ndarray:
+def _harmless(chosen: DataFrame, automaton: Lexicon) -> np.ndarray:
     """Words of one half of the good sample that are a few edits from a term."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
                 raw, offsets = text_bytes(part["text"])
-                data = ALNUM[raw]
+                data = _separated(raw)
                 starts, ends, _ = spans(data, offsets)
                 edited = np.flatnonzero(automaton.edits(data, starts, ends) > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hash_at(data, starts[edited], ends[edited])).view(np.int64))], names=["word"])
@@ -286,9 +357,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     store.bounded_batches(docs.sparkSession)
     chosen, n_good, n_bad = _sample(docs, labels, sample)
     if not n_good or not n_bad:
-        return Model(None, np.zeros(0, np.uint64), np.zeros(len(CAPS) + 1), [])
+        return Model(None, np.zeros(0, np.uint64), np.zeros(N_FEATURES + 1), [])
     terms = lexicon(chosen, n_good, n_bad)
-    automaton = Automaton(terms)
+    automaton = Lexicon(terms)
     harmless = _harmless(chosen, automaton)
     sent = docs.sparkSession.sparkContext.broadcast((automaton, harmless))
 
@@ -298,7 +369,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 rows, counts = np.unique(np.column_stack([features(*sent.value, part["text"]), part["toxic"].to_numpy()]), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.int64())), pa.array(counts)], names=["f", "n"])
 
-    # As many rows come back as there are different feature rows, which the caps bound.
+    # As many rows come back as there are different feature rows, which are logarithms.
     rows = chosen.filter("toxic = 1 or not half").mapInArrow(count, "f array<bigint>, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect()
     counts: dict[tuple[int, ...], list[int]] = defaultdict(lambda: [0, 0])
     for r in sorted(rows):
