@@ -1,13 +1,16 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions only.
 
-A text is a row of units: runs of letters and digits, lower-cased, in pieces of at most eight
-characters.  A k-mer of units is a closed syncmer if its smallest inner s-mer (by hash) stands at
+A text is a row of units: runs of letters and digits, lower-cased.  Characters of scripts that are
+written without spaces are units of their own, and a run of more than LONG others is cut where the hash of
+four successive characters says so, wherever these stand.  A k-mer of units is a closed syncmer if its smallest inner s-mer (by hash) stands at
 its beginning or its end (Edgar, 2021).  That depends on the k-mer alone, not on what stands around
 it, so equal passages give equal anchors wherever they stand.  The likeness of two texts is the share
 of all their distinct anchors that both have; their likeness in order is that of their links, a link
 being two successive anchors and the distance of their places.  ``matched_runs`` finds the passages
-that texts of an anchor table have in common, by anchors and places.  A fingerprint, a sketch to store,
-is the ``size`` smallest distinct anchor hashes; no likeness is computed from it.
+that texts of an anchor table have in common, by anchors and places.  A fingerprint is all anchors in
+order: of each the upper half of its hash, in eight hexadecimal digits, and its distance from the one before
+it (from the text's beginning for the first), which is less than ten for k up to 11.  Likenesses are of these
+hashes.  A sketch is the ``size`` smallest distinct anchor hashes.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, and two of
 these have likeness 1; a text with one anchor has that as its link; a text too short for a syncmer has its units as anchors, one without letters
@@ -27,17 +30,45 @@ from pyspark.sql import functions as F
 from herdwatch.llm import store
 
 K, S, SIZE = 4, 2, 64
-UNIT = r"[\p{L}\p{N}]{1,8}"
+RUN = r"[\p{L}\p{N}]+"
+#: Thai, Lao, Burmese, Khmer, kana and ideographs.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+#: Longer runs are cut, after one of CUT groups of four characters.
+LONG, CUT = 16, 8
 #: Documents are put in order in blocks of about so many rows, and in at most so many blocks.
 BLOCK_ROWS, MOST_BLOCKS = 256, 10_000
 
 
+def _cut(run: Column) -> Column:
+    """A long run in pieces that depend on the characters around each cut only."""
+
+    def pieces(letters: Column) -> Column:
+        n = F.size(letters)
+        pairs = F.zip_with(F.slice(letters, 1, n - 1), F.slice(letters, 2, n - 1), lambda x, y: F.xxhash64(x, y))
+        fours = F.zip_with(F.slice(pairs, 1, n - 3), F.slice(pairs, 3, n - 3), lambda x, y: F.xxhash64(x, y))
+        marked = F.zip_with(letters, fours, lambda c, h: F.when(h % CUT == 0, F.concat(c, F.lit(" "))).otherwise(c))
+        return F.split(F.array_join(marked, ""), " ")
+
+    return F.get(F.transform(F.array(F.split(run, "")), pieces), 0)
+
+
+def with_units(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: the units of ``text``."""
+    low, runs = f"_t_{out}", f"_r_{out}"
+    df = df.withColumn(low, F.lower(text))
+    apart = F.when(F.col(low).rlike(UNSPACED), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(F.col(low))
+    found = F.regexp_extract_all(apart, F.lit(RUN), F.lit(0))
+    df = df.withColumn(runs, F.coalesce(found, F.array().cast("array<string>")))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > LONG, _cut(r)).otherwise(F.array(r))))
+    return df.withColumn(out, F.when(F.exists(runs, lambda r: F.length(r) > LONG), cut).otherwise(F.col(runs))).drop(low, runs)
+
+
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """Add ``out``: the anchors of ``text`` as (h, at), ``at`` being the unit where each begins."""
     u, w, m = f"_u_{out}", k - s + 1, f"_m_{out}"
     n = F.size(u)
-    units = F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0))
-    df = df.withColumn(u, F.transform(F.coalesce(units, F.array().cast("array<string>")), lambda x: F.xxhash64(x)))
+    df = with_units(df, text, u)
+    df = df.withColumn(u, F.transform(u, lambda x: F.xxhash64(x)))
     smers = F.col(u)
     for shift in range(1, s):
         smers = F.zip_with(F.slice(smers, 1, n - shift), F.slice(u, 1 + shift, n - shift), lambda x, y: F.xxhash64(x, y))
@@ -58,7 +89,18 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
 
 
 def distinct_hashes(anchors: str) -> Column:
-    return F.array_distinct(F.transform(anchors, lambda a: a["h"]))
+    """What fingerprints hold of the hashes, each once."""
+    return F.array_distinct(F.transform(anchors, lambda a: F.shiftrightunsigned(a["h"], 32)))
+
+
+def as_text(anchors: str) -> Column:
+    """The fingerprint: all anchors with their places, nine digits each."""
+
+    def digits(a: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col(anchors), i - 1)["at"], F.lit(0))
+        return F.concat(F.lpad(F.hex(F.shiftrightunsigned(a["h"], 32)), 8, "0"), (a["at"] - before).cast("string"))
+
+    return F.array_join(F.transform(anchors, digits), "")
 
 
 def links(anchors: str) -> Column:
@@ -100,10 +142,6 @@ def matched_runs(left: DataFrame, right: DataFrame, key: str = "doc_id", least:
     return found.filter(F.col("n") >= least).drop("_run")
 
 
-def as_text(hashes: str | Column) -> Column:
-    return F.concat_ws("", F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")))
-
-
 def in_blocks(docs: DataFrame) -> DataFrame:
     """Add ``_block``: documents in order of ``doc_id`` are in blocks of ascending number.
 
@@ -159,15 +197,15 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
-    """(doc_id, text, anchors, hashes): the anchors and the fingerprint of every text."""
+    """(doc_id, text, anchors, fingerprint, hashes): the anchors, the fingerprint and the sketch of every text."""
     found = with_anchors(_plain(docs), "text", "anchors", k, s).withColumn("hashes", distinct_hashes("anchors"))
-    return found.withColumn("hashes", sketch("hashes", size))
+    return found.withColumns({"fingerprint": as_text("anchors"), "hashes": sketch("hashes", size)})
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """Add ``all`` and ``links`` of the text, which likenesses are computed from."""
+    """Add the text's ``fingerprint``, and ``all`` and ``links``, which likenesses are computed from."""
     found = with_anchors(rows, "text", "anchors")
-    return found.withColumns({"all": distinct_hashes("anchors"), "links": links("anchors")}).drop("anchors")
+    return found.withColumns({"fingerprint": as_text("anchors"), "all": distinct_hashes("anchors"), "links": links("anchors")}).drop("anchors")
 
 
 def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +220,8 @@ def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(sketch("all")).alias("fingerprint"),
-        as_text(sketch("edited_all")).alias("edited_fingerprint"),
+        "fingerprint",
+        as_text("edited_anchors").alias("edited_fingerprint"),
         likeness("all", "edited_all").alias("near_edited"),
         likeness("all", "next_all").alias("near_next"),
         likeness("links", "edited_links").alias("in_order_edited"),

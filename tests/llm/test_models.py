@@ -6,6 +6,7 @@ import hashlib
 import math
 import os
 import random
+import struct
 import subprocess
 import sys
 from collections import Counter, defaultdict
@@ -15,6 +16,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from herdwatch.llm import fingerprints, language, lattice, pieces, quality, toxicity, warc
@@ -223,6 +226,85 @@ def test_toxicity_is_learned_with_misspellings_and_quotations(spark):
     assert {r[0] for r in toxicity.with_toxicity(frame(spark), empty).select("toxicity").collect()} == {0.0}
 
 
+def test_large_lexicons_equal_edit_distance():
+    rng = random.Random(8)
+    terms = sorted({"".join(rng.choice("abcdeft") for _ in range(rng.randint(2, 7))) for _ in range(120)})
+    words = sorted({"".join(rng.choice("abcdeft") for _ in range(rng.randint(1, 8))) for _ in range(300)} | set(terms))
+    raw, offsets = toxicity.text_bytes(pa.array([" ".join(words)]))
+    starts, ends, _ = toxicity.spans(raw, offsets)
+    lexicon = toxicity.Lexicon(terms, 25)
+    assert len(lexicon.automata) == -(-len(terms) // 25)
+    for word, edits in zip(words, lexicon.edits(raw, starts, ends), strict=True):
+        near = [d for t in terms if (d := distance(word.encode(), t.encode())) <= toxicity.edits_allowed(t.encode())]
+        assert edits == min(near, default=-1), word
+
+
+def test_lexicon_has_short_rare_and_many_terms(spark):
+    rng = random.Random(10)
+    many = [f"t{i:03d}x" for i in range(1000)]
+    data = []
+    for i in range(2000):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(30)]
+        bad = i % 2
+        if bad:
+            words += rng.sample(many, 60) + [f"w{rng.randint(0, 3000)}", "zog"]
+            rng.shuffle(words)
+        # Few of the toxic ones, and one document that repeats a word.
+        words += ["rarely"] * (bad and i % 80 == 1) + ["burst", f"w{i}"] * (40 if i == 1 else 0)
+        data.append((" ".join(words), bad))
+    data += [("here is copied text", 1)] * 300
+    chosen = spark.createDataFrame(data, "text string, toxic bigint")
+    found = toxicity.lexicon(chosen, 1000, 1300)
+    assert {"zog", "rarely", *many} <= set(found) and not {"burst", "copied"} & set(found)
+    assert len(found) <= len(many) + 4
+
+
+def test_quotations_have_marks_near_the_find():
+    cases = {
+        'a 3.5" disk, you idiot': [False], 'a 3.5" disk and "idiot" then idiot': [True, False], '"idiot': [False], 'idiot"': [False],
+        "\u201cidiot\u201d idiot \u201eidiot\u201c \u00abidiot\u00bb": [True, False, True, True], '("idiot.") idiot': [True, False],
+        '"' + "a " * 200 + 'idiot"': [False], '"one" idiot "two"': [False], '"an idiot he said" idiot': [True, False],
+    }
+    raw, offsets = toxicity.text_bytes(pa.array([*cases, '"', 'idiot"']))
+    data = toxicity._separated(raw)
+    starts, ends, first = toxicity.spans(data, offsets)
+    at = np.array([a for a, b in zip(starts, ends, strict=True) if data[a:b].tobytes() == b"idiot"])
+    got = toxicity._quoted(raw, offsets, at)
+    assert got.tolist() == [q for expected in cases.values() for q in expected] + [False]
+
+
+def plain_features(terms, text):
+    """Finds, with one edit, with two, quoted, addressed; words."""
+    words = [w for w in regex.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower()) if w]
+    out = [0] * 5
+    for i, word in enumerate(words):
+        edits = [d for t in terms if (d := distance(word.encode(), t.encode())) <= toxicity.edits_allowed(t.encode())]
+        if not edits:
+            continue
+        if f'"{word}"' in text.lower():
+            out[3] += 1
+            continue
+        out[0] += 1
+        out[1] += min(edits) == 1
+        out[2] += min(edits) == 2
+        out[4] += any(w in toxicity.ADDRESS for w in words[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1])
+    return [x.bit_length() for x in out] + [int(math.log10(max(len(words), 1)))]
+
+
+def test_features_and_score_equal_a_plain_version(spark):
+    rng = random.Random(13)
+    terms = ["gribbelfant", "zog", "plomdoof"]
+    forms = ["gribbelfant", "gribelfant", "gribblfnt", "zog", "zig", "plomdof", '"plomdoof"', "you", "Tú", "ZOG"]
+    texts = [" ".join(rng.choice(forms) if rng.random() < 0.2 else f"w{rng.randint(0, 99)}" for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    lexicon, harmless = toxicity.Lexicon(terms, 2), np.zeros(0, np.uint64)
+    expected = [plain_features(terms, t) for t in texts]
+    assert toxicity.features(lexicon, harmless, pa.array(texts)).tolist() == expected
+    weights = np.array([-4.0, 4.0, -0.5, -1.5, 0.2, 0.5, 0.6])
+    model = toxicity.Model(lexicon, harmless, weights, terms)
+    got = [r[0] for r in toxicity.with_toxicity(plain(spark, texts), model).orderBy("doc_id").select("toxicity").collect()]
+    assert got == pytest.approx([1 / (1 + math.exp(-max(-30, min(30, weights[0] + np.dot(weights[1:], x))))) for x in expected])
+
+
 # Quality
 
 
@@ -275,19 +357,73 @@ def test_quality_of_awkward_tables(spark):
 # Fingerprints
 
 
-def test_syncmers_are_context_free_and_equal_a_plain_version(spark):
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def chain(*values):
+    """Spark's xxhash64 of strings and long integers."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return signed(seed)
+
+
+def plain_units(text):
+    out = []
+    unspaced = fingerprints.UNSPACED.replace(r"\x{20000}-\x{3FFFF}", "\U00020000-\U0003ffff")
+    for run in regex.findall(r"[\p{L}\p{N}]+", regex.sub(f"({unspaced})", r" \1 ", text.lower())):
+        if len(run) <= fingerprints.LONG:
+            out.append(run)
+            continue
+        pairs = [chain(x, y) for x, y in zip(run, run[1:], strict=False)]
+        piece = ""
+        for i, letter in enumerate(run):
+            piece += letter
+            if i + 3 < len(run) and chain(pairs[i], pairs[i + 2]) % fingerprints.CUT == 0:
+                out.append(piece)
+                piece = ""
+        out.append(piece)
+    return out
+
+
+def plain_anchors(text, k=fingerprints.K, s=fingerprints.S):
+    units = [chain(u) for u in plain_units(text)]
+    out = []
+    for at in range(len(units) - k + 1):
+        inner = [chain(*units[i : i + s]) for i in range(at, at + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((chain(*units[at : at + k]), at))
+    return out or [(u, i) for i, u in enumerate(units)] or ([(chain("text", text), 0)] if text else [])
+
+
+def as_fingerprint(anchors):
+    return "".join(f"{(h % 2**64) >> 32:08X}{at - before}" for (h, at), before in zip(anchors, [0] + [at for _, at in anchors], strict=False))
+
+
+def test_syncmers_equal_a_plain_version(spark):
     rng = random.Random(3)
-    shared = prose(rng, "en", 60)
-    texts = [shared, prose(rng, "de", 30) + " " + shared, "one two", "...", "", None, shared]
-    rows_ = {r.doc_id: r for r in fingerprints.fingerprints(plain(spark, texts)).collect()}
-    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in set(shared.split())], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    units = [hashed[u] for u in shared.split()] if all(len(w) <= 8 for w in shared.split()) else None
-    inner = {a.at: a.h for a in rows_[0].anchors}
-    offset = len([x for w in texts[1][: -len(shared)].split() for x in range(0, len(w), 8)])
-    moved = {a.at - offset: a.h for a in rows_[1].anchors if a.at >= offset}
-    assert inner == moved and 0 < len(inner) and (units is None or len(inner) < len(units))
-    assert rows_[0].hashes == rows_[6].hashes == sorted(set(inner.values()))[: fingerprints.SIZE]
-    assert len(rows_[2].anchors) == 2 and len(rows_[3].anchors) == 1 and rows_[4].hashes == rows_[5].hashes == []
+    shared, dna = prose(rng, "en", 60), "".join(rng.choice("acgt") for _ in range(3000))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300))
+    texts = [shared, prose(rng, "de", 30) + " " + shared, "one two", "...", "", None, shared, dna, han + shared + "한국어 문장 ภาษาไทย", "a" * 500, "\U0001d4d0\U00020001x" * 30]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(plain(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        expected = plain_anchors(text or "")
+        assert [tuple(a) for a in got[i].anchors] == expected, i
+        assert got[i].fingerprint == as_fingerprint(expected)
+        assert got[i].hashes == sorted({(h % 2**64) >> 32 for h, _ in expected})[: fingerprints.SIZE]
+    inner, offset = set(plain_anchors(shared)), len(plain_units(texts[1])) - len(plain_units(shared))
+    assert inner == {(h, at - offset) for h, at in plain_anchors(texts[1]) if at >= offset}
+
+
+def test_anchors_do_not_depend_on_what_stands_before(spark):
+    rng = random.Random(4)
+    for letters, size in ((range(0x4E00, 0x9000), 2000), ([ord(c) for c in "abcdefgh0123"], 4000), ([ord(c) for c in "acgt"], 8000)):
+        run = "".join(chr(rng.choice(letters)) for _ in range(size))
+        texts = [run, "x" + run, run[: size // 2] + "y" + run[size // 2 :]]
+        sets = {r.doc_id: {a.h for a in r.anchors} for r in fingerprints.fingerprints(plain(spark, texts)).collect()}
+        for other in (1, 2):
+            assert len(sets[0] & sets[other]) >= len(sets[0]) - 8 and len(sets[0]) > size // 40, (size, other)
 
 
 def test_next_document_follows_by_id(spark):
@@ -334,7 +470,10 @@ def test_a_passage_of_long_texts_is_found_with_its_place(spark, tmp_path):
     assert 1000 <= runs[0]["first"] < 1010 and 1045 < runs[0]["last"] <= 1056
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in fingerprints.op7_closed_syncmers(spark, str(tmp_path)).collect()}
-    sets = {r.doc_id: set(r.h) for r in anchors.groupBy("doc_id").agg(F.collect_set("h").alias("h")).collect()}
+    # The likenesses are those of the returned fingerprints.
+    sets = {i: {r.fingerprint[j : j + 8] for j in range(0, len(r.fingerprint), 9)} for i, r in got.items()}
+    edited = {i: {r.edited_fingerprint[j : j + 8] for j in range(0, len(r.edited_fingerprint), 9)} for i, r in got.items()}
+    assert all(got[i].near_edited == len(sets[i] & edited[i]) / len(sets[i] | edited[i]) for i in range(4))
     for i in range(3):
         assert got[i].near_next == len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])
     assert got[0].near_next > 0 and 0.9 < got[2].in_order_next < 1
