@@ -14,11 +14,19 @@ in common with the other; ``mismatch`` if validators disagree, ``no-response`` w
 response, ``no-url`` and ``no-date`` where these are missing or empty: these are not resolved and
 have no merged headers.  Equal times are ordered by record id.  Rows with a null id refer but are not
 referred to; of responses with the same id the smallest (by date and digest) is referred to.  An
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored.  ``unvalidated`` revisits are resolved
+too, nothing speaking against it: leave them out by ``status`` if a validator is asked for.  Files are
+read by ``read_warc``, which gives what is no record as rows with an error.
 """
 
 from __future__ import annotations
 
+import re
+from collections import deque
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +39,12 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|sessionid|jsessionid|sid|phpsessid)(=|$)"
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 CRLF = "\r\n"
+#: What all version lines begin with; a whole one; the header line that states the length of what follows the header.
+MARK, VERSION = b"WARC/1.", re.compile(rb"WARC/1\.[0-9]+\r\n")
+LENGTH = re.compile(rb"\r\ncontent-length[ \t]*:[ \t]*([0-9]{1,18})[ \t]*\r\n", re.I)
+#: Records of more bytes are error rows.
+LONGEST = 1 << 30
+CUT = (pa.string(), pa.binary(), pa.string())
 
 
 def canonical_url(url: Column) -> Column:
@@ -61,16 +75,96 @@ def with_headers(df: DataFrame, block: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(single, F.map_from_arrays("_names", "_values")).otherwise(joined)).drop("_names", "_values", "_once")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed or gzipped WARC files, parsed; large plain files are read in splits."""
-    lines = spark.read.option("lineSep", "WARC/1.1" + CRLF).text(path).filter("value <> ''")
-    return parse(lines.select(F.concat(F.lit("WARC/1.1" + CRLF), "value").alias("record")))
+def _size(start: bytes) -> tuple[int | None, str | None]:
+    """Bytes from the version line to the end of the payload, None while the header is not whole; an error."""
+    end = start.find(b"\r\n\r\n")
+    if end < 0:
+        return None, None
+    stated = LENGTH.search(start, 0, end + 2)
+    return (end + 4 + int(stated[1]), None) if stated else (None, "no length")
+
+
+def cut_records(pieces: Iterator[bytes], longest: int = LONGEST) -> Iterator[tuple[bytes, str | None]]:
+    """(record, error) of a file, which is given in pieces that begin wherever a version line may stand.
+
+    A record ends where its Content-Length says, if nothing but line ends stands between there and the
+    next piece; version lines before that are payload.  What does not add up is a row with an error, and
+    reading goes on at the next piece: ``no version line``, ``no header end``, ``no length``, ``wrong
+    length``, ``truncated``, ``too long``.
+    """
+    waiting: deque[bytes] = deque()
+    take = lambda: waiting.popleft() if waiting else next(pieces, None)
+    while (piece := take()) is not None:
+        held, size, need, error = [piece], len(piece), None, None if VERSION.match(piece) else "no version line"
+        while not error:
+            if need is None:
+                need, error = _size(b"".join(held))
+            if error or (need is not None and size >= need):
+                break
+            if size > longest or (need is not None and need > longest):
+                error = "too long"
+            elif (more := take()) is None:
+                error = "truncated" if need is not None else "no header end"
+            elif need is None and VERSION.match(more):
+                waiting.appendleft(more)
+                error = "no header end"
+            else:
+                held.append(more)
+                size += len(more)
+        whole = b"" if error else b"".join(held)
+        if not error and whole[need:].strip(b"\r\n"):
+            error = "wrong length"
+        if error:
+            yield held[0], error
+            waiting.extendleft(reversed(held[1:]))
+        else:
+            yield whole[:need] + b"\r\n\r\n", None
+
+
+def _cut_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((f.as_py(), p.as_py()) for batch in batches for f, p in zip(batch["file"], batch["piece"], strict=True))
+
+    def found() -> Iterator[tuple[str, bytes, str | None]]:
+        for file, mine in groupby(rows, key=lambda r: r[0]):
+            before = next(mine)[1]  # what stands before the first version line
+            if before:
+                yield file, before, "no version line"
+            for record, error in cut_records(MARK + p for _, p in mine):
+                yield file, record, error
+
+    held, size = [], 0
+    for row in found():
+        held.append(row)
+        size += len(row[1])
+        if size > 4 << 20 or len(held) == 1_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), CUT, strict=True)], names=["file", "record", "error"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), CUT, strict=True)], names=["file", "record", "error"])
+
+
+def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of WARC/1.x files, plain or gzipped, as ``parse`` gives them, with ``file`` and ``error``;
+    where ``error`` is set, ``raw`` is the text that is no record and all else is null.
+
+    A file is gone through in order, a record at a time, since only lengths tell records from payloads:
+    gzipped files as they are scanned, plain ones after a shuffle that brings their splits together.
+    """
+    store.bounded_batches(spark)
+    text, name = spark.read.option("lineSep", MARK.decode()).text(path), F.col("_metadata.file_path")
+    place = [name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"), F.col("value").cast("binary").alias("piece")]
+    packed, plain = (text.filter(x).select(*place) for x in (name.endswith(".gz"), ~name.endswith(".gz")))
+    plain = plain.repartition("file").sortWithinPartitions("file", "block", "no")
+    cut = [x.select("file", "piece").mapInArrow(_cut_files, "file string, record binary, error string") for x in (packed, plain)]
+    whole, said = F.col("error").isNull(), F.col("record").cast("string")
+    rows = cut[0].unionAll(cut[1]).select("file", "error", F.when(~whole, said).alias("raw"), F.when(whole, said).alias("record"))
+    return parse(rows, keep=("file", "error", "raw"))
 
 
-def parse(records: DataFrame, column: str = "record") -> DataFrame:
-    """(record_id, record_type, url, date, profile, http_status, headers, payload) of records as text."""
-    blocks = records.select(F.split(records[column], CRLF + CRLF, 3).alias("b"))
-    out = blocks.select(F.get("b", 0).alias("warc"), F.get("b", 1).alias("http"), F.get("b", 2).alias("payload"))
+def parse(records: DataFrame, column: str = "record", keep: Sequence[str] = ()) -> DataFrame:
+    """(record_id, record_type, url, date, profile, http_status, headers, payload) of records as text, and the columns to ``keep``."""
+    blocks = records.select(F.split(records[column], CRLF + CRLF, 3).alias("b"), F.struct(F.lit(0), *(records[x] for x in keep)).alias("_kept"))
+    out = blocks.select("_kept", F.get("b", 0).alias("warc"), F.get("b", 1).alias("http"), F.get("b", 2).alias("payload"))
     out = with_headers(with_headers(out, "warc", "w"), "http", "headers")
     return out.select(
         F.col("w")["warc-record-id"].alias("record_id"),
@@ -81,6 +175,7 @@ def parse(records: DataFrame, column: str = "record") -> DataFrame:
         F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]{3})", 1).alias("http_status"),
         "headers",
         F.when(F.col("payload").endswith(CRLF + CRLF), F.left("payload", F.length("payload") - 4)).otherwise(F.col("payload")).alias("payload"),
+        *(F.col("_kept")[x].alias(x) for x in keep),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import os
@@ -519,8 +520,76 @@ def test_revisits(spark):
     assert warc.resolve(parsed.unionAll(parsed)).count() == 2 * len(got)
 
 
-def test_records_are_read_from_files(spark, tmp_path):
+def test_records_without_a_length_are_errors(spark, tmp_path):
     one = record("response", "r1", "http://a.b/c", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nA: b", "text") + "\r\n\r\n"
     (tmp_path / "x.warc").write_bytes((one + one.replace("r1", "r2")).encode())
     got = warc.read_warc(spark, str(tmp_path)).collect()
-    assert {(r.record_id, r.payload, r.headers["a"]) for r in got} == {("r1", "text", "b"), ("r2", "text", "b")}
+    assert all(r.error for r in got) and "".join(sorted(r.raw for r in got if "r1" in r.raw)).startswith("WARC/1.1")
+
+
+def sized(number, body, version="1.1", length=None):
+    """A record as files have it, with the length of what follows its header."""
+    block = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+    stated = "" if length == "" else f"Content-Length: {len(block) if length is None else length}\r\n"
+    head = f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: r{number}\r\n{stated}\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_files_of_both_versions_are_read_by_lengths(spark, tmp_path):
+    inner = b"see WARC/1.1\r\nWARC-Type: response\r\n\r\nx" + sized(99, b"inside") + b"\r\n\r\n"
+    bodies = [b"plain", b"", inner, b"WARC/1.0\r\n", "\u00fcber\u2028".encode(), b"WARC/1."]
+    for version in ("1.0", "1.1"):
+        file = b"".join(sized(i, b, version) for i, b in enumerate(bodies))
+        (tmp_path / f"{version}.warc").write_bytes(file)
+        (tmp_path / f"{version}.warc.gz").write_bytes(b"".join(gzip.compress(sized(i, b, version)) for i, b in enumerate(bodies)))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert not any(r.error for r in got) and len({r.file for r in got}) == 4
+    expected = {(f"r{i}", b.decode()) for i, b in enumerate(bodies)}
+    assert len(got) == 4 * len(bodies) and {(r.record_id, r.payload) for r in got} == expected
+
+
+def test_splits_of_a_file_do_not_cut_records(spark, tmp_path):
+    rng = random.Random(3)
+    bodies = [b"WARC/1.1\r\n".join(rng.randbytes(rng.randrange(40)).hex().encode() for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    (tmp_path / "x.warc").write_bytes(b"".join(sized(i, b) for i, b in enumerate(bodies)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")
+        got = warc.read_warc(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((int(r.record_id[1:]), r.payload) for r in got) == [(i, b.decode()) for i, b in enumerate(bodies)]
+
+
+def test_broken_records_are_rows_with_an_error():
+    whole = [sized(i, b"text %d" % i) for i in range(9)]
+    cases = {
+        "wrong length": sized(7, b"shorter than stated", length=70), "no length": sized(7, b"x", length=""),
+        "no header end": b"WARC/1.1\r\nWARC-Type: response\r\n", "no version line": b"WARC/1.x\r\n\r\nrest\r\n",
+        "too long": sized(7, b"x", length=10**12),
+    }
+
+    def pieces(data):
+        return [warc.MARK + p for p in data.split(warc.MARK)[1:]]
+
+    for error, broken in cases.items():
+        got = list(warc.cut_records(iter(pieces(b"".join(whole[:3]) + broken + b"".join(whole[3:])))))
+        assert [r for r, e in got if not e] == whole, error
+        assert [(r, e) for r, e in got if e] == [(broken, error)], error
+    got = list(warc.cut_records(iter(pieces(whole[0] + whole[1][:-9]))))
+    assert got == [(whole[0], None), (whole[1][:-9], "truncated")]
+    short = sized(7, b"longer than stated", length=30)
+    assert list(warc.cut_records(iter(pieces(short + whole[0])))) == [(short, "wrong length"), (whole[0], None)]
+    assert not list(warc.cut_records(iter([])))
+
+
+def test_errors_of_files_come_with_their_text(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"junk" + sized(1, b"good") + sized(2, b"bad", length=""))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.error or "", r.raw or "", r.record_id or "") for r in got) == [
+        ("", "", "r1"), ("no length", sized(2, b"bad", length="").decode(), ""), ("no version line", "junk", ""),
+    ]
+    assert [r.record_id for r in warc.resolve(warc.read_warc(spark, str(tmp_path))).collect()] == ["r1"]
