@@ -16,8 +16,9 @@ never listed; no bucket is dropped or capped.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are
 kept; fewer than k words are one shingle; rows with a null id link like others, and their
-component is the smallest id in it, or null; repeated ids are rows of their own.  Extra columns
-are ignored.
+component is the smallest id in it, or null; repeated ids are rows of their own; ids that are no
+whole numbers count as null.  Of equal sets and of equal sizes the smallest class leads (ties).  Very
+long texts are cut into batches, not shortened.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ PAIRS_A_TASK = 4_000
 #: At most so many classes (40 bytes each) are sent to all tasks to find their texts; more are joined.
 FEW_CLASSES = 400_000
 
-SIGNATURES = "doc_id bigint, n int, set_a bigint, set_b bigint, bands array<bigint>, parity array<bigint>"
+SIGNATURES = "doc_id bigint, h bigint, n int, set_a bigint, set_b bigint, bands array<bigint>, parity array<bigint>"
 SETS = "c bigint, s binary"
 
 
@@ -60,7 +61,7 @@ def _document_sets(part: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.n
     counts = np.diff(first)
     shingles = np.zeros(len(hashed), np.uint64)
     for i, key in enumerate(keys(k, 4)):
-        shingles[: len(hashed) - i] += mix(hashed[i:] ^ key)
+        shingles[: max(0, len(hashed) - i)] += mix(hashed[i:] ^ key)
     for row in np.flatnonzero((counts > 0) & (counts < k)):
         a, b = first[row], first[row + 1]
         shingles[a] = sum(int(mix(hashed[a + i : a + i + 1] ^ key)[0]) for i, key in enumerate(keys(b - a, 5))) % 2**64
@@ -106,8 +107,8 @@ def _signatures(k: int):
                 parity = np.concatenate([_parity(x) for x in sets])
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(parity))
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], *_identity(sets), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())), parity],
-                    names=["doc_id", "n", "set_a", "set_b", "bands", "parity"],
+                    [part["doc_id"], part["h"], *_identity(sets), pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel())), parity],
+                    names=["doc_id", "h", "n", "set_a", "set_b", "bands", "parity"],
                 )
 
     return run
@@ -202,10 +203,11 @@ class _Search:
 
     def sets_of(self, classes: DataFrame, few: bool) -> DataFrame:
         """(c, s): the full shingle sets of the given classes (c), sorted; ``few`` of them are sent to all tasks."""
-        used = self.nodes.join(classes, "c").select("c", "n", "set_a", "set_b", F.col("min_id").alias("_id"))
+        used = self.nodes.join(classes, "c").select("c", "n", "set_a", "set_b", F.col("min_id").alias("_id"), F.col("h").alias("_h"))
         used = F.broadcast(used) if few else used
-        # One text per class is read again.  Its id may have other texts too: their sets are other ones.
-        texts = self.docs.join(used, self.docs["doc_id"].eqNullSafe(used["_id"])).select("c", "n", "set_a", "set_b", "text")
+        # One text per class is read again.  Null or repeated ids have many texts: their hashes tell them apart.
+        same = self.docs["doc_id"].eqNullSafe(used["_id"]) & (self.docs["h"] == used["_h"])
+        texts = self.docs.join(used, same).select("c", "n", "set_a", "set_b", "text")
         return store.keep(texts.mapInArrow(_full_sets(self.k), SETS).groupBy("c").agg(F.first("s").alias("s")), "sets")
 
     def confirmed(self, likely: DataFrame, sets: DataFrame | None = None) -> DataFrame:
@@ -307,16 +309,23 @@ class _Search:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: size of its shingle set, smallest id of its component, and whether it is that one."""
+    if percent < 80:
+        raise ValueError("bands and bounds are made for similarities of 80 percent or more")
     store.bounded_batches(docs.sparkSession)
-    plain = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    plain = docs.select(docs[doc_id].try_cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
+    plain = plain.withColumn("h", F.xxhash64("text"))
     rows = store.keep(plain.mapInArrow(_signatures(k), SIGNATURES), "signatures")
     identity = ["n", "set_a", "set_b"]
-    nodes = rows.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
-    nodes = store.keep(nodes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    names = _Search(plain, nodes, k, percent).labels()
-    placed = nodes.select(*identity, "c", "min_id").join(names.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    component = placed.groupBy("label").agg(F.min("min_id").alias("component_id"))
-    placed = placed.join(component, "label").select(*identity, "component_id")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")).alias("one")
+    nodes = rows.filter("n > 0").groupBy(*identity).agg(one, F.first("bands").alias("bands"), F.first("parity").alias("parity"))
+    nodes = nodes.withColumns({"c": F.monotonically_increasing_id(), "min_id": F.col("one.doc_id"), "h": F.col("one.h")}).drop("one")
+    nodes = store.keep(nodes, "classes")
+    names = store.keep(_Search(plain, nodes, k, percent).labels().withColumnRenamed("node", "c"), "labels")
+    # Written out, so that the join below has plain exchanges on both sides: Spark splits a label that many classes have.
+    component = names.join(nodes.select("c", "min_id"), "c").groupBy("label").agg(F.min("min_id").alias("component_id"))
+    component = store.keep(component, "component")
+    placed = nodes.select(*identity, "c", "min_id").join(names, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    placed = placed.join(component, "label", "left").select(*identity, F.coalesce("component_id", "min_id").alias("component_id"))
     out = rows.select("doc_id", *identity).join(placed, identity, "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"))

@@ -162,6 +162,34 @@ def test_one_row_of_a_component_stays_whatever_its_id(spark):
     assert len(kept) == 6 and sum(not t for _, t in kept) == 3
 
 
+def test_texts_of_null_ids_are_told_apart(spark, monkeypatch):
+    """A text is compared once, not with all texts that have its id."""
+    rng = random.Random(8)
+    texts = [prose(rng, "en", 40) for _ in range(60)]
+    texts = [t for x in texts for t in (x, x + " more", x + " more")]
+    read = []
+    sets_of = near_duplicates._Search.sets_of
+
+    def counted(self, classes, few):
+        used = self.nodes.join(classes, "c")
+        same = self.docs["doc_id"].eqNullSafe(used["min_id"]) & (self.docs["h"] == used["h"])
+        read.append((self.docs.join(used, same).count(), classes.count()))
+        return sets_of(self, classes, few)
+
+    monkeypatch.setattr(near_duplicates._Search, "sets_of", counted)
+    got = near_duplicates.near_duplicates(plain(spark, texts, [None] * len(texts)), 5).collect()
+    assert len(got) == len(texts) and all(r.component_id is None and r.kept for r in got)
+    assert read and all(n <= 2 * classes for n, classes in read)
+
+
+def test_ids_of_any_type_and_similarities_that_are_served(spark):
+    docs = spark.createDataFrame([("a", "one two three"), ("7", "one two three"), ("8", "four")], "doc_id string, text string")
+    got = {(r.doc_id, r.component_id) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == {(None, 7), (7, 7), (8, 8)}
+    with pytest.raises(ValueError, match="80"):
+        near_duplicates.near_duplicates(docs, percent=50)
+
+
 # Personal data
 
 KINDS = ("email", "ip", "card", "phone")
