@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from herdwatch.catalog import views
 from herdwatch.catalog.base import Entry, on_spark, table, with_views
 from herdwatch.functions import text
 from herdwatch.operators import settings
-from herdwatch.sources.properties import parse_properties
+from herdwatch.session import shared_dir
+from herdwatch.sources.properties import read_properties
 
 PREFIX = "app."
 RESOLVED = "select scope, k, arg_min(v, layer) as v from layers where v is not null group by scope, k"
@@ -32,14 +35,25 @@ def _customers(spark, sf_dir):
 
 
 def _property_files(spark, sf_dir):
-    """One file text per customer: comments, a bare key, a continued line, a repeated key."""
+    """Files of the settings of 500 customers each, read back: comments, bare keys, continued lines (one after
+    an escaped backslash is none), repeated keys, escapes in keys and values."""
+    key = F.concat(F.lit("\n"), F.col("scope"), F.lit("."))
     body = F.concat(
-        F.lit("# settings\n! more\n\napp.name = es_"), F.col("c_custkey").cast("string"),
-        F.lit("\napp.bare\napp.zone:z"), F.col("c_nationkey").cast("string"),
-        F.lit("\n  app.path=/data,\\\n     /logs\r\napp.port=1\napp.port="), (F.col("c_custkey") % 100).cast("string"),
-        F.lit("\napp.empty=\n"),
+        F.lit("# settings \\\n! more\n"), key, F.lit("app.name = es_"), F.col("c_custkey").cast("string"),
+        key, F.lit("app.bare"), key, F.lit("app.zone:z"), F.col("c_nationkey").cast("string"),
+        F.lit("\n  "), F.col("scope"), F.lit(".app.path=/data,\\\n     /logs\r"), key, F.lit("app.port=1"),
+        key, F.lit("app.port="), (F.col("c_custkey") % 100).cast("string"), key, F.lit("app.empty="),
+        key, F.lit("app.share=a\\:b\\tc\\\\\n"), key, F.lit("app.\\u00e9t\\u00E9\\=x \\u4e2d\\ud83d\\ude00\\!"),
     )
-    return _customers(spark, sf_dir).select("scope", body.alias("body"))
+    path = f"{shared_dir(spark)}/catalog-properties-{uuid.uuid4().hex}"
+    dealt = _customers(spark, sf_dir).select(body.alias("value"), F.floor(F.col("c_custkey") / 500).alias("part"))
+    dealt.repartition("part").write.partitionBy("part").text(path)
+    return read_properties(spark, path)
+
+
+def _properties(spark, sf_dir):
+    cut = F.instr("k", ".")
+    return _property_files(spark, sf_dir).select(F.substring("k", F.lit(1), cut - 1).alias("scope"), F.substring("k", cut + 1, F.length("k")).alias("k"), "v")
 
 
 def _typed(spark, sf_dir):
@@ -166,9 +180,10 @@ def entries() -> list[Entry]:
     return [
         Entry(
             "read_properties",
-            lambda s, d: parse_properties(_property_files(s, d), "body"),
-            "select scope, unnest(['app.name', 'app.zone', 'app.path', 'app.port']) as k, "
-            "unnest(['es_' || c_custkey, 'z' || c_nationkey, '/data,/logs', cast(c_custkey % 100 as string)]) as v from "
+            _properties,
+            "select scope, unnest(['app.name', 'app.zone', 'app.path', 'app.port', 'app.share', 'app.\u00e9t\u00e9=x']) as k, "
+            "unnest(['es_' || c_custkey, 'z' || c_nationkey, '/data,/logs', cast(c_custkey % 100 as string), "
+            "'a:b' || chr(9) || 'c' || chr(92), '\u4e2d\U0001f600!']) as v from "
             "(select *, 'i-' || lpad(cast(c_custkey as string), 8, '0') as scope from customer) as c",
         ),
         Entry(
