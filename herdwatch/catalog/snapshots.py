@@ -114,10 +114,12 @@ def _stored(spark, sf_dir):
 
 
 def _restored(spark, sf_dir):
-    """Write everything as a snapshot, restore a part of it under other names."""
+    """Write everything as a snapshot, restore a part of it under other names into a store, twice, and read that."""
     root = f"{shared_dir(spark)}/catalog-restore-{uuid.uuid4().hex}"
     snapshot_store.write_snapshot(parts(spark, sf_dir), root, "es", "199906151234")
-    back = snapshot_store.restore_snapshot(spark, root, "es", "199906151234", "orders_1998*", "^orders_(.*)$", "restored-$1")
+    for _ in range(2):
+        snapshot_store.restore_into(spark, root, "es", "199906151234", f"{root}-store", "orders_1998*", "^orders_(.*)$", "restored-$1")
+    back = snapshot_store.read_restored(spark, f"{root}-store")
     return back.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("price").cast("bigint")).alias("price"))
 
 

@@ -106,6 +106,48 @@ def test_write_change_restore(spark, tmp_path):
     assert snapshots.latest_snapshot(catalog.select("repo", "snapshot")).first().snapshot == "s2"
 
 
+def test_a_broken_restore_leaves_nothing_and_a_repeat_changes_nothing(spark, tmp_path, monkeypatch):
+    root, target = str(tmp_path / "root"), str(tmp_path / "target")
+    df = spark.createDataFrame([("x", i) for i in range(50)] + [("y", i) for i in range(30)], "name string, v long")
+    snapshot_store.write_snapshot(df, root, "r", "s")
+    with pytest.raises(ValueError, match="nothing"):
+        snapshot_store.read_restored(spark, target)
+    snapshot_store.restore_into(spark, root, "r", "s", target, "x")
+
+    def broken(self, name):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # rows are staged, the manifest is not written
+        m.setattr("pyspark.sql.classic.dataframe.DataFrame.coalesce", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            snapshot_store.restore_into(spark, root, "r", "s", target, "y")
+    assert {tuple(r) for r in snapshot_store.read_restored(spark, target).groupBy("name").count().collect()} == {("x", 50)}
+    for _ in range(2):
+        done = snapshot_store.restore_into(spark, root, "r", "s", target, "y")
+        assert [(r.repo, r.snapshot, r.name, r.row_count) for r in done.collect()] == [("r", "s", "y", 30)]
+    assert {tuple(r) for r in snapshot_store.read_restored(spark, target).groupBy("name").count().collect()} == {("x", 50), ("y", 30)}
+    with pytest.raises(ValueError, match="x"):
+        snapshot_store.restore_into(spark, root, "r", "s", target)
+    assert snapshot_store.read_manifest(spark, target).count() == 2
+
+
+ESCAPES = {
+    "a=b\\\\\nc=d": {"a": "b\\", "c": "d"}, "a=b\\\\\\\n  c": {"a": "b\\c"}, "# x\\\na=1": {"a": "1"}, "a=b\\\n# c": {"a": "b# c"},
+    "a\\ b\\:c = d\\te": {"a b:c": "d\te"}, "\\u0061=\\u00e9\\u00E9x": {"a": "\u00e9\u00e9x"}, "a=\\ud83d\\ude00\\ud83d": {"a": "\U0001f600\ufffd"},
+    "a=\\\\u0041": {"a": "\\u0041"}, "a=\\u00g": {"a": "u00g"}, "a=x\\": {"a": "x"}, "a=1\rb=2\r\nc=3\n\r\n": {"a": "1", "b": "2", "c": "3"},
+    "a=b\\\n\nc=1": {"a": "b", "c": "1"}, "  \t\n ! z\n a  b c ": {"a": "b c "}, "a==b": {"a": "=b"}, "": {}, "=x": {"": "x"}, "a:": {},
+    "long=" + "x\\\n" * 3000 + "y": {"long": "x" * 3000 + "y"},
+}
+
+
+def test_logical_lines_and_escapes(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ESCAPES)] + [(99, None)], "i int, t string")
+    got = {i: {} for i in range(len(ESCAPES))}
+    for r in properties.parse_properties(df, "t").collect():
+        got[r.i][r.k] = r.v
+    assert [got[i] for i in range(len(ESCAPES))] == list(ESCAPES.values())
+
+
 def test_many_chosen_datasets_are_joined(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(snapshot_store, "PUSHED_NAMES", 3)
     df = spark.createDataFrame([(f"d{i}", i) for i in range(20)], "name string, v long")
