@@ -373,9 +373,10 @@ def _long_metrics_sql() -> str:
 
 
 def _health(spark, sf_dir):
-    # What a registry would know is made of the sample's value; 4 is the desired count.
-    df = samples(spark, sf_dir).withColumn("known", (F.col("v") % 5 + 2).cast("int"))
-    out = health.health_codes(df, registry_nodes="known", discovery_nodes=F.lit(4))
+    # A user's samples are those of a cluster; 4 is the count by discovery.
+    df = samples(spark, sf_dir).select("node", "seq", "ts", "status", "nodes", F.concat(F.lit("es_"), "node").alias("app"))
+    df = health.with_registry_count_at(df, on_spark(spark, sf_dir, views.REGISTRATIONS))
+    out = health.health_codes(df, registry_nodes="registry_nodes", discovery_nodes=F.lit(4))
     return out.select("node", "seq", "green_or_red", "green_or_yellow", "node_match", "discovery_node_match")
 
 
@@ -547,8 +548,11 @@ def entries() -> list[Entry]:
             _oracle(
                 "select node, seq, cast(case upper(status) when 'RED' then 1 when 'GREEN' then 0 when 'YELLOW' then 0 else -1 end as int) as green_or_red, "
                 "cast(case upper(status) when 'YELLOW' then 1 when 'GREEN' then 0 when 'RED' then 0 else -1 end as int) as green_or_yellow, "
-                "cast(case when status is null then -1 when nodes <> v % 5 + 2 then 1 else 0 end as int) as node_match, "
-                "cast(case when status is null then -1 when nodes <> 4 then 1 else 0 end as int) as discovery_node_match from samples"
+                "cast(case when status is null then -1 when nodes <> known then 1 else 0 end as int) as node_match, "
+                "cast(case when status is null then -1 when nodes <> 4 then 1 else 0 end as int) as discovery_node_match from "
+                "(select node, seq, any_value(status) as status, any_value(nodes) as nodes, count(id) as known from samples left join registrations "
+                "on app = 'es_' || node and registered_at <= ts and (removed_at is null or removed_at > ts) group by node, seq) as k",
+                registrations=views.REGISTRATIONS,
             ),
         ),
         Entry("long_metrics", _long_metrics, _oracle(_long_metrics_sql())),

@@ -119,6 +119,14 @@ REGISTRY = (
     "from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey"
 )
 
+# Clusters of six instances that come and go while samples are taken.
+REGISTRATIONS = (
+    f"select 'es_' || cast(cast(floor(c_custkey / 6) as bigint) as string) as app, {_INSTANCE} as id, "
+    "cast('2024-01-01 00:00:00' as timestamp) + interval '7' hour * (c_custkey % 97) as registered_at, "
+    "case when c_custkey % 3 = 0 then cast('2024-01-01 00:00:00' as timestamp) + interval '7' hour * (c_custkey % 97 + c_custkey % 31) end as removed_at "
+    "from {customer}"
+)
+
 MEMBERSHIP = (
     f"select {_ASG} as asg, {_INSTANCE} as instance_id, "
     "case when c_acctbal < 0 then 'Terminating' when c_custkey % 11 = 0 then 'terminated' when c_custkey % 19 = 0 then 'SHUTTING-DOWN' else 'InService' end as state "

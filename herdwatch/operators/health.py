@@ -61,6 +61,40 @@ def with_registry_count(df: DataFrame, registry: DataFrame, key: str = "app") ->
     return joined.withColumn("registry_nodes", F.coalesce("registry_nodes", F.lit(0)))
 
 
+def with_registry_count_at(
+    df: DataFrame,
+    registry: DataFrame,
+    key: str = "app",
+    order: Sequence[str] = ("ts", "seq"),
+    registered: str = "registered_at",
+    removed: str = "removed_at",
+    **slicing,
+) -> DataFrame:
+    """Add ``registry_nodes``: how many instances the registry knew for the sample's cluster at its time.
+
+    An instance counts from its registration on, and no longer at the instant of its removal; a null
+    removal means that it is still there, a null registration that it always was.  Arrivals and leavings
+    are summed by cluster and instant, and a running sum over time slices carries them to the samples, so
+    that a cluster's history is not one task.  Samples without a cluster or a time count 0; ``order`` is
+    the samples' time and tie-breaker, a whole number.
+    """
+    ts, tie = order
+    came = registry.select(F.col(key).alias("_key"), F.coalesce(F.col(registered).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("_ts"), F.lit(1).alias("_d"))
+    left = registry.filter(F.col(removed).isNotNull()).select(F.col(key), F.col(removed).cast("timestamp"), F.lit(-1))
+    # Changes come before samples of the same instant.
+    changes = came.unionAll(left).filter("_key is not null").groupBy("_key", "_ts").agg(F.sum("_d").alias("_d"))
+    changes = changes.select("_key", "_ts", F.lit(False).alias("_asks"), F.lit(0).cast("bigint").alias("_tie"), "_d")
+    whole = F.struct(*(F.col(c) for c in df.columns))
+    rows = df.select(F.col(key).alias("_key"), F.col(ts).cast("timestamp").alias("_ts"), F.lit(True).alias("_asks"), F.col(tie).cast("bigint").alias("_tie"), whole.alias("_row"))
+    placeable = F.col("_key").isNotNull() & F.col("_ts").isNotNull()
+    both = changes.unionByName(rows.filter(placeable), allowMissingColumns=True)
+    both = both.withColumn("_tie", F.struct("_asks", "_tie")).drop("_asks")
+    counted = without_slices(running_before(both, ["_key"], {"_known": ("sum", "_d")}, order=("_ts", "_tie"), **slicing))
+    found = counted.filter("_row is not null").select("_row", F.coalesce("_known", F.lit(0)).alias("_known"))
+    found = found.unionAll(rows.filter(~placeable).select("_row", F.lit(0).cast("bigint")))
+    return found.select("_row.*", F.col("_known").cast("int").alias("registry_nodes"))
+
+
 def process_down(df: DataFrame, keys: Sequence[str] = ("node",), **slicing) -> DataFrame:
     """``down`` = 0 or 1 per sample, silent (no row) until the process was first seen up."""
     seen = running_before(df, keys, {"_seen": ("max", F.col("up").cast("int"))}, **slicing)

@@ -174,6 +174,19 @@ def test_registry_count_decides_the_node_match(spark):
     assert {r.app: r.node_match for r in out.collect()} == {"c1": 0, "c2": 1}
 
 
+@pytest.mark.parametrize("cut", [{}, {"width": 60, "max_rows": None}, {"max_rows": 3}])
+def test_members_are_counted_at_the_time_of_the_sample(spark, cut):
+    at = lambda m: None if m is None else START + timedelta(minutes=m)
+    members = [("a", 0, 9), ("a", 3, None), ("a", None, 5), ("a", 3, 3), ("b", 7, None), (None, 1, None)]
+    asked = [(c, m, i) for i, (c, m) in enumerate((c, m) for c in ("a", "b", "c", None) for m in [*range(12), 3, None])]
+    registry = spark.createDataFrame([(c, at(x), at(y)) for c, x, y in members], "app string, registered_at timestamp, removed_at timestamp")
+    df = spark.createDataFrame([(c, at(m), i) for c, m, i in asked], "app string, ts timestamp, seq long")
+    got = health.with_registry_count_at(df, registry, **cut)
+    assert got.columns == [*df.columns, "registry_nodes"]
+    known = lambda c, m: sum(c == a and (x is None or x <= m) and (y is None or y > m) for a, x, y in members) if c and m is not None else 0
+    assert {r.seq: r.registry_nodes for r in got.collect()} == {i: known(c, m) for c, m, i in asked}
+
+
 @pytest.mark.parametrize("cut", [{}, {"width": 60, "max_rows": None}])
 def test_process_latch_and_edges(spark, cut):
     ups = [False, False, True, False, False, True, True]
