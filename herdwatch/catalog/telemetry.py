@@ -191,17 +191,34 @@ def long_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unpivot(["node"], list(counters.OPERATIONS), "op", "us")
 
 
-def by_operation(wide: DataFrame) -> DataFrame:
+def by_operation(wide: DataFrame, *more: str) -> DataFrame:
     """Samples with running percentiles of all operations, as one row per sample and operation."""
-    fields = {"us": "latency_us", "p95": "p95", "p99": "p99", "overflowed": "overflowed"}
+    fields = {"us": "latency_us", "p95": "p95", "p99": "p99", "overflowed": "overflowed", **{m: m for m in more}}
     each = [F.struct(F.lit(op).alias("op"), *(F.col(f"{op}_{c}").alias(n) for n, c in fields.items())) for op in counters.OPERATIONS]
     return wide.select("node", "seq", F.explode(F.array(*each)).alias("_o")).select("node", "seq", "_o.*")
 
 
+LATENCIES = {op: f"{op}_latency_us" for op in counters.OPERATIONS}
+
+
 def running_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running percentiles of all seven operations, in one pass over the deltas."""
     deltas = latencies(spark, sf_dir, counters.OPERATIONS, keep_slices=True)
-    return by_operation(histogram.running_percentiles(deltas, {op: f"{op}_latency_us" for op in counters.OPERATIONS}))
+    return by_operation(histogram.running_percentiles(deltas, LATENCIES))
+
+
+def running_overflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running percentiles, and the overflowed samples of each node and operation: how many, their smallest number."""
+    deltas = latencies(spark, sf_dir, counters.OPERATIONS, keep_slices=True)
+    # Flags alone are cheap, and their input is the same shuffle.
+    flags, totals = histogram.running_percentiles(deltas, LATENCIES, percentiles={}), {}
+    for op in counters.OPERATIONS:
+        over = F.col(f"{op}_overflowed")
+        totals |= {f"{op}_ticks": F.count_if(over), f"{op}_first_seq": F.min(F.when(over, F.col("seq")))}
+    per_node = flags.groupBy(F.col("node").alias("_node")).agg(*(c.alias(n) for n, c in totals.items()))
+    # Every node has its row, and so have samples without a node.
+    wide = histogram.running_percentiles(deltas, LATENCIES).join(per_node, F.col("node").eqNullSafe(F.col("_node")))
+    return by_operation(wide, "ticks", "first_seq")
 
 
 LONG_LATENCIES = " union all ".join(
@@ -539,8 +556,11 @@ def entries() -> list[Entry]:
         Entry("running_percentile", running_percentiles, _running_oracle()),
         Entry(
             "running_percentile_overflow",
-            lambda s, d: running_percentiles(s, d).filter("overflowed").groupBy("node", "op").agg(F.count(F.lit(1)).alias("ticks"), F.min("seq").alias("first_seq")),
-            _running_oracle("select node, op, count(*) as ticks, min(seq) as first_seq from p where overflowed group by all"),
+            running_overflows,
+            _running_oracle(
+                "select *, count(*) filter (where overflowed) over (partition by node, op) as ticks, "
+                "min(seq) filter (where overflowed) over (partition by node, op) as first_seq from p"
+            ),
         ),
         Entry(
             "health_codes",

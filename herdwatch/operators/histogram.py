@@ -164,8 +164,8 @@ def running_percentiles(
     For each entry ``name -> column`` adds ``<name>_<percentile>`` and ``<name>_overflowed`` (without the
     underscore if the name is empty).  The histograms behind them are never cleared.  A row whose value
     is NULL (a tick without traffic) adds nothing and reports 0.  After an overflow the percentiles are
-    NULL.  ``initial`` may hold what was seen before the frame starts: ``(*keys, seen)`` as made by
-    ``counts_of_all``, with columns numbered as here.
+    NULL.  Without any percentiles only the flags are added.  ``initial`` may hold what was seen before
+    the frame starts: ``(*keys, seen)`` as made by ``counts_of_all``, with columns numbered as here.
 
     Any number of columns takes one pass to count them per slice and one to go through the rows.  What
     a slice inherits, for all columns, is joined to its first row; the rows stay where the window over
@@ -252,7 +252,8 @@ def _running(columns: list[str], added: list[list[str]], shares: list[float]):
         over = is_over.cumsum()
         front = np.concatenate([[above], given[1:, last] - given[1:, last - 1] - (over - is_over)[start]])
         over = over + front[part]
-        held = np.flatnonzero(bucket >= 0)
+        # Flags alone need no counts per bucket.
+        held = np.flatnonzero(bucket >= 0) if shares else []
         found = [np.zeros(len(bucket), dtype=np.int64) for _ in shares]
         for at in range(0, len(held), _BLOCK):
             rows = held[at : at + _BLOCK]

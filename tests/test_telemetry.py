@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from herdwatch.catalog import telemetry as telemetry_catalog
 from herdwatch.functions import buckets
 from herdwatch.operators import counters, health, histogram, telemetry
 from herdwatch.plans import slices
@@ -242,3 +244,31 @@ def test_running_percentiles_of_many_columns_take_no_more_scans(spark, tmp_path)
     expected = replay(rows)
     for r in out.collect():
         assert (r.a_p95, r.a_p99) == (r.b_p95, r.b_p99) == expected[(r.node, r.seq)][3:]
+
+
+def test_overflow_query_has_all_samples_with_their_percentiles(spark, tmp_path):
+    """Also those that did not overflow, and those without a node; the totals come with each of them."""
+    rows = [(i * 700, START + timedelta(hours=i), i % 3 if i % 10 else None, "view", float(i % 90), "{}") for i in range(1, 150)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    entry = next(e for e in telemetry_catalog.entries() if e.name == "running_percentile_overflow")
+    found = entry.run(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) * len(counters.OPERATIONS)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    result = duck.execute(entry.oracle)
+    names = [d[0] for d in result.description]
+    key = lambda r: (r["node"], r["op"], r["seq"])
+    named = [r.asDict() for r in found if r.node is not None]
+    expected = [r for r in (dict(zip(names, r, strict=True)) for r in result.fetchall()) if r["node"] is not None]
+    assert sorted(named, key=key) == sorted(expected, key=key)
+    assert {r.ticks > 0 for r in found} == {True, False}
+
+
+def test_flags_without_percentiles_are_those_with_them(spark):
+    values = [None, 5, 30_000_000, 7, None, 100]
+    df = spark.createDataFrame([("n", i * 86_400, i, v) for i, v in enumerate(values)], "node string, ts long, seq long, us long")
+    df = df.withColumn("ts", F.timestamp_seconds("ts"))
+    flags = histogram.running_percentiles(df, {"a": "us"}, percentiles={}, width=2 * 86_400)
+    assert [c for c in flags.columns if c.startswith("a_")] == ["a_overflowed"]
+    assert [r.a_overflowed for r in flags.orderBy("seq").collect()] == [False, False, True, True, True, True]
