@@ -19,6 +19,9 @@ CELLS = {
     "cluster": "app", "availabilityZone": "availability_zone", "hostname": "host_name", "ip": "public_ip",
     "instanceId": "instance_id", "asgname": "asg", "location": "dc",
 }
+# Parts that cells are dealt to, which AQE splits and merges by size.  Up to 200 are written straight to
+# files; for more, a task keeps what it writes in memory.
+PARTS = 200
 # Instance field -> name in the JSON listing.  Fixed values.
 JSON_NAMES = {
     "host_name": "host_name", "id": "id", "app": "app_name", "instance_id": "instance_id",
@@ -47,7 +50,12 @@ def cells_to_instances(cells: DataFrame) -> DataFrame:
     """Instances from stored cells; the newest write of a cell counts.
 
     The id is ``location.instanceId``, the update time is when the cluster cell was written.
+
+    Rows of text are aggregated in sorted order, so a task would sort all cells of its part of the input
+    at once.  The cells are dealt to even parts first, those of one write together: in each part they become
+    one row before these meet by key, however often a key was written.
     """
+    cells = cells.hint("rebalance", PARTS, F.col("row_key"), F.col("write_ts"))
     newest = {
         field: F.max_by(F.when(F.col("col") == cell, F.col("value")), F.when(F.col("col") == cell, F.col("write_ts")))
         for cell, field in CELLS.items()

@@ -91,6 +91,20 @@ def test_newest_cell_counts(spark):
     assert (r.app, r.id, r.update_time) == ("c", "d.i1", 7)
 
 
+def test_cells_are_dealt_to_even_parts_before_they_are_sorted(spark):
+    """Also many writes of one key, and one write that is stored many times."""
+    names = ["cluster", "location", "instanceId"]
+    often = [("hot", c, f"{c}{t}", t) for t in range(500) for c in names]
+    same = [("same", c, c, 5) for c in names] * 300
+    cells = spark.createDataFrame(often + same, "row_key string, col string, value string, write_ts long").coalesce(1)
+    out = registry.cells_to_instances(cells)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    first_aggregate = plan[plan.rindex("SortAggregate") :]
+    assert "REBALANCE_PARTITIONS_BY_COL" in first_aggregate and first_aggregate.index("Sort [") < first_aggregate.index("Exchange")
+    found = {r.row_key: (r.app, r.id, r.host_name, r.update_time) for r in out.collect()}
+    assert found == {"hot": ("cluster499", "location499.instanceId499", None, 499), "same": ("cluster", "location.instanceId", None, 5)}
+
+
 @pytest.mark.parametrize(
     ("answer", "leads"),
     [("10.0.0.1", True), ("  10.0.0.1 ", True), ("HOST", True), ("10.0.0.2", False), (None, False), ("", False)],
