@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -68,6 +69,28 @@ def test_tribe_ids(spark):
     assert one(spark, settings.tribe_id(F.col("v")), v="zone.i-1") is None
 
 
+def test_one_cluster_of_many_tribe_nodes_is_spread(spark, monkeypatch):
+    """Blocks of nodes meet blocks of instances, each pair of rows once; repeated rows stay, null clusters meet nothing."""
+    monkeypatch.setattr(settings, "NODES", 10)
+    monkeypatch.setattr(settings, "INSTANCES", 20)
+    apps = ["big"] * 34 + ["small", "none", None]
+    config = [(f"i{n}", "tribe.t1.cluster.name", app) for n, app in enumerate(apps)]
+    nodes = [(f"i{n}", f"i{n}/t1") for n in range(len(apps))] + [("i0", "i0/t1"), ("i1", "i1"), ("i2", "i2/t7")]
+    members = [("big", f"m{n}") for n in range(90)] + [("big", "m0"), ("big", None), ("small", "s"), (None, "x")]
+    frame = lambda rows, names: spark.createDataFrame(rows, names).coalesce(1)
+    out = settings.tribe_nodes(
+        frame(config, "scope string, k string, v string"),
+        frame(members, "app string, instance_id string"),
+        frame(nodes, "scope string, node_name string"),
+    )
+    found = Counter((r.node_name, r.tribe_id, r.app, r.instance_id) for r in out.collect())
+    by_scope = {scope: app for scope, _, app in config}
+    asked = [(scope, name) for scope, name in nodes if name.endswith("/t1")]
+    expected = Counter((name, "t1", app, m) for scope, name in asked for app, m in members if app and app == by_scope[scope])
+    assert found == expected
+    assert out.select(F.spark_partition_id()).distinct().count() > 4
+
+
 @pytest.mark.parametrize(
     ("spec", "expected"),
     [
