@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdwatch.llm import store
-from herdwatch.llm.words import ALNUM, parts, words
+from herdwatch.llm.words import ALNUM, lean, parts, words
 
 WINDOW = 13
 #: Words of a segment; a longer document is a segment of its own.
@@ -76,7 +76,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Write the positional inverted index of all documents and return it as a table."""
     store.bounded_batches(docs.sparkSession)
     plain = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return store.keep(plain.mapInArrow(_segments, INDEX), "postings")
+    return store.keep(plain.mapInArrow(lean(_segments), INDEX), "postings")
 
 
 def phrases_of(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -230,7 +230,7 @@ def _term_counts(index: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.n
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["term", "n"])
 
-    rows = index.select("terms", "ends").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = index.select("terms", "ends").mapInArrow(lean(count), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     sent.destroy()
     rows = sorted((r.term, r.n) for r in rows)
     return wanted[[t for t, _ in rows]], np.array([n for _, n in rows], np.int64)
@@ -250,7 +250,7 @@ def search(index: DataFrame, phrases: DataFrame, reach: int | None = None, block
         if not len(query[0]):
             continue
         sent = spark.sparkContext.broadcast(query)
-        found.append(store.keep(index.mapInArrow(_matcher(sent, reach), MATCHES), "matches"))
+        found.append(store.keep(index.mapInArrow(lean(_matcher(sent, reach)), MATCHES), "matches"))
         sent.destroy()
     if not found:
         return spark.createDataFrame([], MATCHES)
@@ -309,7 +309,7 @@ def documents_of(index: DataFrame) -> DataFrame:
                     names=["segment", "doc", "doc_id", "n_words"],
                 )
 
-    return index.select("segment", "doc_ids", "doc_starts").mapInArrow(listed, "segment string, doc int, doc_id bigint, n_words bigint")
+    return index.select("segment", "doc_ids", "doc_starts").mapInArrow(lean(listed), "segment string, doc int, doc_id bigint, n_words bigint")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:

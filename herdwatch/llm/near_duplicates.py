@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from herdwatch.llm import store
 from herdwatch.llm.components import components
-from herdwatch.llm.words import SPACED, keys, mix, parts, words
+from herdwatch.llm.words import SPACED, keys, lean, mix, parts, words
 
 PERMUTATIONS, BANDS = 64, 32
 #: Buckets with at most so many classes outside their largest component compare those with all members.
@@ -208,7 +208,7 @@ class _Search:
         # One text per class is read again.  Null or repeated ids have many texts: their hashes tell them apart.
         same = self.docs["doc_id"].eqNullSafe(used["_id"]) & (self.docs["h"] == used["_h"])
         texts = self.docs.join(used, same).select("c", "n", "set_a", "set_b", "text")
-        return store.keep(texts.mapInArrow(_full_sets(self.k), SETS).groupBy("c").agg(F.first("s").alias("s")), "sets")
+        return store.keep(texts.mapInArrow(lean(_full_sets(self.k)), SETS).groupBy("c").agg(F.first("s").alias("s")), "sets")
 
     def confirmed(self, likely: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) of classes whose full sets are similar enough."""
@@ -221,7 +221,7 @@ class _Search:
         both = likely.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
         # A task is worth its start from some thousand pairs on.
         both = both.select("a", "b", "x", "y").coalesce(max(1, pairs // PAIRS_A_TASK))
-        return store.keep(both.mapInArrow(_similar(self.percent), "a bigint, b bigint"), "confirmed")
+        return store.keep(both.mapInArrow(lean(_similar(self.percent)), "a bigint, b bigint"), "confirmed")
 
     def _prefix_labels(self, classes: DataFrame, links: DataFrame) -> DataFrame:
         """(node, label) after adding to ``links`` all that could still join components of the given classes (c).
@@ -232,12 +232,12 @@ class _Search:
         their shingles; what this does not join meets across components.
         """
         sets = self.sets_of(classes, classes.count() <= FEW_CLASSES)
-        often = sets.select("s").mapInArrow(_counted, COUNTS).repartition("chunk").mapInArrow(_summed, COUNTS).collect()
+        often = sets.select("s").mapInArrow(lean(_counted), COUNTS).repartition("chunk").mapInArrow(lean(_summed), COUNTS).collect()
         counts = np.zeros(FREQUENCIES, np.int64)
         for row in often:
             counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(bytes(row.counts), np.int64)
         sent = self.docs.sparkSession.sparkContext.broadcast(counts)
-        prefix = store.keep(sets.mapInArrow(_prefixes(sent, self.percent), "token bigint, c bigint, n int, i int, parity array<bigint>"), "prefix")
+        prefix = store.keep(sets.mapInArrow(lean(_prefixes(sent, self.percent)), "token bigint, c bigint, n int, i int, parity array<bigint>"), "prefix")
         follow = 1 + F.least(F.col("n_a") - F.col("i_a") - 1, F.col("n_b") - F.col("i_b") - 1)
         able = (follow * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent) & self._able()
 
@@ -311,10 +311,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     """Per document: size of its shingle set, smallest id of its component, and whether it is that one."""
     if percent < 80:
         raise ValueError("bands and bounds are made for similarities of 80 percent or more")
-    store.bounded_batches(docs.sparkSession)
+    store.bounded_batches(docs.sparkSession, 1)
     plain = docs.select(docs[doc_id].try_cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     plain = plain.withColumn("h", F.xxhash64("text"))
-    rows = store.keep(plain.mapInArrow(_signatures(k), SIGNATURES), "signatures")
+    rows = store.keep(plain.mapInArrow(lean(_signatures(k)), SIGNATURES), "signatures")
     identity = ["n", "set_a", "set_b"]
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")).alias("one")
     nodes = rows.filter("n > 0").groupBy(*identity).agg(one, F.first("bands").alias("bands"), F.first("parity").alias("parity"))

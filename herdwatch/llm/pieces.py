@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from herdwatch.llm import store
 from herdwatch.llm.lattice import Lattice, Vocabulary, chunks, uniforms, walk
-from herdwatch.llm.words import keys, mix, parts
+from herdwatch.llm.words import give_back, keys, mix, parts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, THETA, SEED = 2, 1.0, 29
-#: Bytes of text whose lattice is built at once.
-PART_BYTES = 2 << 20
+#: Bytes of text whose lattice is built at once; it takes some 160 times as much memory.
+PART_BYTES = 1 << 18
 
 SAMPLE = "array<struct<pieces:array<int>,score:double,inclusion:double>>"
 
@@ -182,6 +182,7 @@ def sampler(spark: SparkSession, model: str = MODEL, k: int = SAMPLES, theta: fl
 
     @F.arrow_udf(SAMPLE)
     def sample(text: pa.Array, key: pa.Array) -> pa.Array:
+        give_back()
         vocabulary = sent.value.open()
         samples, ids, sizes, score, inclusion = [], [], [], [], []
         for part in parts(pa.RecordBatch.from_arrays([text, key], names=["text", "key"]), "text", PART_BYTES):
@@ -192,6 +193,7 @@ def sampler(spark: SparkSession, model: str = MODEL, k: int = SAMPLES, theta: fl
             sizes.append(np.diff(begins))
             score += s
             inclusion += i
+        give_back()
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
         ends = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1)
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
@@ -237,7 +239,7 @@ def encoder(model: str = MODEL):
 
 def with_samples(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, k: int = SAMPLES, theta: float = THETA, seed: int = SEED) -> DataFrame:
     """Add ``samples``: up to k distinct segmentations of the text with scores and inclusion."""
-    store.bounded_batches(docs.sparkSession, 4, 1_000)
+    store.bounded_batches(docs.sparkSession, 1, 1_000)
     row_key: Column = F.coalesce(docs[key].cast("bigint"), F.xxhash64(docs[text]))
     return docs.withColumn("samples", sampler(docs.sparkSession, model, k, theta, seed)(docs[text].cast("string"), row_key))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from herdwatch.llm import store
 from herdwatch.llm.store import Sendable
-from herdwatch.llm.words import hashes, keys, mix, parts, text_bytes
+from herdwatch.llm.words import give_back, hashes, keys, lean, mix, parts, text_bytes
 
 BUCKETS = 1 << 14
 #: Labelled rows of each kind that the target model and the dividing weight are learned from.
@@ -101,7 +101,7 @@ def _counts(docs: DataFrame, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         has = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(raw[has]), pa.array(target[has])], names=["bucket", "raw", "target"])
 
-    rows = docs.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    rows = docs.mapInArrow(lean(count), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in rows:
         raw[bucket], target[bucket] = r, t
@@ -118,6 +118,7 @@ def scorer(ratio: np.ndarray):
             grams, row = ngrams(part["text"])
             weight.append(np.bincount(row, ratio[grams], part.num_rows))
             number.append(np.bincount(row, minlength=part.num_rows))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(np.concatenate(weight)), pa.array(np.concatenate(number).astype(np.int64))], names=["log_weight", "n"])
 
     return score
@@ -132,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Rows whose crc32 of the id, modulo 4, is 2 are held out and never learned from.
     """
-    store.bounded_batches(docs.sparkSession)
+    store.bounded_batches(docs.sparkSession, 1)
     plain = _plain(docs)
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
     known = known.filter("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 4 <> 2")

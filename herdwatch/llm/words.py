@@ -7,7 +7,8 @@ share one with a chance of 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,25 @@ def parts(table: pa.RecordBatch, column: str, limit: int = PART_BYTES) -> Iterat
         start = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep it, and a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that holds nothing of earlier tasks when it begins, nor of this one when it ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins (one more entry than rows); null is empty."""
     column = pa.concat_arrays([pa.compute.fill_null(column.cast(pa.large_string()), "")])

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from herdwatch.llm import decontamination, licenses, near_duplicates, private_data
@@ -150,6 +154,36 @@ def test_near_duplicates_of_awkward_tables(spark):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="reads Linux's own figures")
+def test_workers_do_not_hold_what_earlier_tasks_have_freed(spark):
+    """Tasks of near-dedup run in workers of earlier stages: what these have freed goes back to the system."""
+
+    def used():
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) // 1024
+
+    def leave(batches):
+        list(batches)
+        blocks = [np.ones(12_500) for _ in range(1_500)]
+        sys.left = np.ones(12_500)  # above them, so that the allocator keeps all of them
+        del blocks
+        yield pa.RecordBatch.from_pydict({"id": pa.array([os.getpid() * 100_000 + used()], pa.int64())})
+
+    def look(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"id": pa.array([os.getpid() * 100_000 + used()], pa.int64())})
+
+    def seen(task):
+        found = [r.id for r in spark.range(8, numPartitions=8).mapInArrow(task, "id bigint").collect()]
+        return {i // 100_000: i % 100_000 for i in found}
+
+    before = seen(leave)
+    docs = plain(spark, [prose(random.Random(i), "en", 30) for i in range(40)]).repartition(8)
+    near_duplicates.near_duplicates(docs).collect()
+    after = seen(look)
+    assert any(before[p] - after[p] > 100 for p in before.keys() & after.keys())
+
+
 def test_one_row_of_a_component_stays_whatever_its_id(spark):
     rng = random.Random(6)
     one, two, three = (prose(rng, "en", 60) for _ in range(3))
